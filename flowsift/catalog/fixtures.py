@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsift.session import scratch_path
+
 VIEWS = {
     "ev": """
 SELECT event_id, user_id, event_type, value, {US} AS us, {K} AS k FROM {EVENTS}""",
@@ -117,3 +119,21 @@ def ctes(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_with([name], _spark_tokens(sf_dir)) + f"\nSELECT * FROM {name}")
+
+
+_staged: dict[tuple[str, str, str], str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view as a Parquet table in the shared folder, written once per application.
+
+    Operators then read plain columns, as they would from a real flow table, instead of
+    repeating the JSON parsing behind every derived column.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _staged:
+        path = scratch_path(spark, f"fixture-{name}")
+        rows = view(spark, sf_dir, name)
+        rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])

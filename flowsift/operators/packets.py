@@ -40,20 +40,6 @@ def _to_self() -> Column:
     return (F.col("lo_ip") == F.col("hi_ip")) & (F.col("lo_port") == F.col("hi_port"))
 
 
-def _sided(packets: DataFrame) -> DataFrame:
-    """Canonical packets; in a flow from an endpoint to itself only the first packet is side a.
-
-    The first packets of such flows are found by a combinable minimum and joined back on the
-    ordinal, which is unique, so even a flood from one endpoint to itself spreads evenly.
-    """
-    canonical = _canonical(packets)
-    to_self = canonical.filter(_to_self())
-    first = to_self.groupBy(*FLOW).agg(F.min("ord").alias("ord")).select("ord", F.lit("a").alias("first_side"))
-    resolved = (to_self.join(first, "ord", "left")
-                .withColumn("side", F.coalesce("first_side", F.lit("b"))).drop("first_side"))
-    return canonical.filter(~_to_self()).unionByName(resolved)
-
-
 def _flags() -> tuple[Column, Column, Column]:
     tcp = F.coalesce(F.col("is_tcp"), F.lit(False))
     s = F.coalesce(F.col("flags").contains("S"), F.lit(False))
@@ -70,11 +56,17 @@ def _first(value: str, cond: Column, name: str) -> list[Column]:
 
 
 def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per (flow, block, side) with everything a block can tell about its packets."""
+    """One row per (flow, block, side) with everything a block can tell about its packets.
+
+    In a flow from an endpoint to itself side a is the first packet of the block and side b the
+    rest; ``_stitched`` keeps side a only in the flow's first block.
+    """
     syn, synack, ack = _flags()
-    rows = _sided(packets).withColumn("block", F.floor(F.col("ord") / block))
+    rows = _canonical(packets).withColumn("block", F.floor(F.col("ord") / block))
     in_block = Window.partitionBy(*FLOW, "block")
     sequence = Window.partitionBy(*FLOW, "block", "side").orderBy("ord")
+    block_first = F.col("ord") == F.min("ord").over(in_block)
+    rows = rows.withColumn("side", F.when(_to_self(), F.when(block_first, "a").otherwise("b")).otherwise(F.col("side")))
     mark = {side: F.min(F.when(synack & (F.col("side") == side), F.col("ord"))).over(in_block) for side in "ab"}
     rows = (rows
             .withColumn("peer_synack", F.when(F.col("side") == "a", mark["b"]).otherwise(mark["a"]))
@@ -99,7 +91,9 @@ def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
 def _stitched(segments: DataFrame) -> DataFrame:
     """One row per flow with both sides' totals (suffix _a, _b)."""
     flow = Window.partitionBy(*FLOW)
-    per_side = Window.partitionBy(*FLOW, "side").orderBy("block")
+    per_side = Window.partitionBy(*FLOW, "side").orderBy("head_ord")
+    later = _to_self() & (F.col("block") > F.min("block").over(flow))
+    segments = segments.withColumn("side", F.when(later, "b").otherwise(F.col("side")))
     synack_block = {side: F.min(F.when((F.col("side") == side) & F.col("synack_ord").isNotNull(), F.col("block")))
                     .over(flow) for side in "ab"}
     # Blocks follow the ordinal, so the first SYN+ACK lies in the first block that has one.
@@ -117,17 +111,17 @@ def _stitched(segments: DataFrame) -> DataFrame:
     aggs: list[Column] = []
     for side in "ab":
         own = F.col("side") == side
-        block = F.when(own, F.col("block"))
+        position = F.when(own, F.col("head_ord"))
 
-        def first(name: str, order: Column = block) -> Column:
+        def first(name: str, order: Column = position) -> Column:
             return F.min_by(F.col(name), order).alias(f"{name}_{side}")
 
         aggs += [F.sum(F.when(own, F.col(c))).alias(f"{c}_{side}") for c in ("n", "bytes", "bends")]
         aggs += [F.min(F.when(own, F.col("head_ord"))).alias(f"head_ord_{side}")]
         aggs += [first(c) for c in ("head", "head_ttl", "head_win")]
         aggs += [first(c, F.when(own, F.col(f"{c}_ord"))) for c in ("ttl", "win", "syn", "synack")]
-        aggs += [F.max_by(F.col("tail"), block).alias(f"tail_{side}"),
-                 first("ack_time", F.when(own & F.col("ack_time").isNotNull(), F.col("block")))]
+        aggs += [F.max_by(F.col("tail"), position).alias(f"tail_{side}"),
+                 first("ack_time", F.when(F.col("ack_time").isNotNull(), position))]
     return rows.groupBy(*FLOW).agg(*aggs)
 
 
@@ -137,8 +131,16 @@ def _losses(packets: DataFrame) -> DataFrame:
     A packet counts if it has payload and its sequence number was seen before on its side: all
     packets with payload of that number, less one if the first had payload. Both parts combine
     map-side, so no flow and no sequence number gathers its packets in one task.
+
+    In a flow from an endpoint to itself the first packet is alone on its side. It is found by
+    a combinable minimum and marked by a join on the ordinal, which is unique and so free of skew.
     """
-    tcp = _sided(packets).filter("is_tcp")
+    canonical = _canonical(packets)
+    to_self = canonical.filter(_to_self())
+    first = to_self.groupBy(*FLOW).agg(F.min("ord").alias("ord")).select("ord", F.lit("a").alias("first_side"))
+    marked = (to_self.filter("is_tcp").join(first, "ord", "left")
+              .withColumn("side", F.coalesce("first_side", F.lit("b"))).drop("first_side"))
+    tcp = canonical.filter("is_tcp").filter(~_to_self()).unionByName(marked)
     loaded = F.coalesce(F.col("payload_len") > 0, F.lit(False))
     per_seq = (tcp.groupBy(*FLOW, "side", "seq")
                .agg(F.count(F.when(loaded, 1)).alias("loaded"),
