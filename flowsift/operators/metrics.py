@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from flowsift.functions.scalars import INF, count_where, q, ratio
 from flowsift.operators.order import _bucketize, _cuts, default_buckets
 
-# The 17 sweep thresholds: 0.1 to 0.9 in steps of 0.05, left as the doubles the sum gives.
-SWEEP = [0.1 + 0.05 * i for i in range(17)]
+# The 17 sweep thresholds, 0.1 to 0.9. The step is the double between the first two, as numpy's
+# arange takes it; thresholds are compared as they are and rounded only for display.
+SWEEP = [0.1 + ((0.1 + 0.05) - 0.1) * i for i in range(17)]
 
 
 def _pick_counts(flag: Column, label: Column) -> dict[str, Column]:

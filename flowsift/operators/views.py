@@ -82,29 +82,23 @@ def activity_series(df: DataFrame, n: int = 30, time: str = "flow_time", tie: st
             .orderBy(F.col("flow_time").asc_nulls_first(), F.col("detection_id").desc()))
 
 
-def filter_incidents(df: DataFrame, search: str = "", severity: str = "", trigger: str = "") -> DataFrame:
-    """Rows whose source or destination address contains ``search`` and whose severity and
-    trigger equal the given ones; an empty criterion does not filter."""
-    out = df
+def _criteria(search: str, severity: str, trigger: str) -> Column:
+    keep = F.lit(True)
     if search:
         text = search.lower()
-        out = out.filter(F.lower(F.coalesce("src_ip", F.lit(""))).contains(text)
-                         | F.lower(F.coalesce("dst_ip", F.lit(""))).contains(text))
+        hits = [F.lower(F.coalesce(c, F.lit(""))).contains(text) for c in ("src_ip", "dst_ip")]
+        keep = keep & (hits[0] | hits[1])
     if severity:
-        out = out.filter(F.col("severity") == severity)
-    return out.filter(F.col("triggered_by") == trigger) if trigger else out
+        keep = keep & (F.col("severity") == severity)
+    return keep & (F.col("triggered_by") == trigger) if trigger else keep
+
+
+def filter_incidents(df: DataFrame, search: str = "", severity: str = "", trigger: str = "") -> DataFrame:
+    """Rows whose source or destination address contains ``search`` and whose severity and
+    trigger equal the given ones; an empty criterion does not filter."""
+    return df.filter(_criteria(search, severity, trigger))
 
 
 def shown_of_total(df: DataFrame, search: str = "", severity: str = "", trigger: str = "") -> DataFrame:
     """How many rows the filter keeps, and of how many, in one pass."""
-    marked = df.withColumn("_all", F.lit(1))
-    kept = F.lit(True)
-    if search:
-        text = search.lower()
-        kept = kept & (F.lower(F.coalesce("src_ip", F.lit(""))).contains(text)
-                       | F.lower(F.coalesce("dst_ip", F.lit(""))).contains(text))
-    if severity:
-        kept = kept & (F.col("severity") == severity)
-    if trigger:
-        kept = kept & (F.col("triggered_by") == trigger)
-    return marked.agg(count_where(kept).alias("shown"), F.count("*").alias("total"))
+    return df.agg(count_where(_criteria(search, severity, trigger)).alias("shown"), F.count("*").alias("total"))
