@@ -194,11 +194,13 @@ def medians_as_dict(medians: DataFrame) -> dict[str, float]:
     return {r["column_name"]: float(r["value"]) for r in medians.collect()}
 
 
-def impute(df: DataFrame, medians: Mapping[str, float] | None = None, fill: str = "median") -> DataFrame:
-    """Replace missing numbers by fitted medians (``fill='median'``) or by 0 (``fill='zero'``)."""
+def impute(df: DataFrame, medians: Mapping[str, float] | None = None, fill: str = "median",
+           but: Iterable[str] = ()) -> DataFrame:
+    """Replace missing numbers by fitted medians (``fill='median'``) or by 0 (``fill='zero'``),
+    in all numeric columns except ``but``."""
     clean = inf_to_null(df)
     values = dict(medians or {}) if fill == "median" else {}
-    cells = {c: float(values.get(c, 0.0)) for c in numeric_columns(clean)}
+    cells = {c: float(values.get(c, 0.0)) for c in numeric_columns(clean, but)}
     kinds = dict(clean.dtypes)
     whole = ("tinyint", "smallint", "int", "bigint")
     out = []

@@ -113,18 +113,20 @@ def severity_incident(df: DataFrame, out: str = "incident_severity") -> DataFram
     return df.withColumn(out, name_of(F.greatest(band, sig)))
 
 
-def detection_rows(df: DataFrame, flow_id: str = "flow_id", analysis_id: str = "analysis_id") -> DataFrame:
-    """One detection per flow, with nested verdicts and the flat columns older readers use.
+def detection_id(flow_id: str = "flow_id", analysis_id: str = "analysis_id") -> Column:
+    """Id of a detection: a hash of run and flow. All 128 bits are kept, as 8 hex digits would
+    repeat after some ten thousand rows."""
+    return F.concat(F.lit("det-"), F.md5(F.concat_ws(":", q(analysis_id), q(flow_id).cast("string"))))
 
-    The id is a hash of run and flow. All 128 bits are kept: 8 hex digits would repeat after
-    some ten thousand rows.
-    """
+
+def detection_rows(df: DataFrame, flow_id: str = "flow_id", analysis_id: str = "analysis_id") -> DataFrame:
+    """One detection per flow, with nested verdicts and the flat columns older readers use."""
     aliased = with_aliases(df)
     signature = F.when(F.col("is_intrusion") & (F.col("sig.severity") != "NONE"), first_rule(F.col("sig.matched_rules")))
     signature = F.coalesce(signature, F.lit(""))
     when = F.timestamp_micros(F.col("last_us")) if "last_us" in df.columns else F.lit(None).cast("timestamp")
     return aliased.select(
-        F.concat(F.lit("det-"), F.md5(F.concat_ws(":", q(analysis_id), q(flow_id).cast("string")))).alias("detection_id"),
+        detection_id(flow_id, analysis_id).alias("detection_id"),
         q(analysis_id).alias("analysis_id"), q(flow_id).alias("flow_id"),
         "is_intrusion", "final_verdict", "triggered_by", "severity",
         F.struct(F.col("ml.prediction").alias("verdict"), "ml.prediction", F.col("ml.probability").alias("confidence"))

@@ -139,8 +139,8 @@ def read_presplit(spark: SparkSession, train: str, test: str, fallback: Callable
     return fallback()
 
 
-def conform_exporter(df: DataFrame) -> DataFrame:
-    """Exporter columns in model order under their profile C names, with the flow metadata the
+def conform_exporter(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The ``keep`` columns, then exporter columns in model order under their profile C names, with the flow metadata the
     table has. All 71 sources must be present; the error lists every missing one."""
     missing = [c for c in EXPORTER if c not in df.columns]
     if missing:
@@ -151,7 +151,7 @@ def conform_exporter(df: DataFrame) -> DataFrame:
         return F.nanvl(c, F.lit(None).cast("double")).alias(name) if dict(df.dtypes)[name] == "double" else c
 
     kept = [metadata(c) for c in EXPORTER_METADATA if c in df.columns]
-    return df.select(*[q(source).alias(name) for source, name in EXPORTER.items()], *kept)
+    return df.select(*[q(k) for k in keep], *[q(source).alias(name) for source, name in EXPORTER.items()], *kept)
 
 
 def read_exporter_csv(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
@@ -160,15 +160,7 @@ def read_exporter_csv(spark: SparkSession, path: str, ordinal: str | None = None
             T.IntegerType() if name == "src_port" else T.DoubleType())
 
     raw = read_flow_csv(spark, path, type_of, ordinal=ordinal)
-    flows = conform_exporter(raw if ordinal is None else raw.drop(ordinal))
-    return flows if ordinal is None else conform_exporter_with(raw, ordinal)
-
-
-def conform_exporter_with(df: DataFrame, ordinal: str) -> DataFrame:
-    """``conform_exporter`` that also carries an ordinal column."""
-    flows = conform_exporter(df)
-    kept = [q(c) for c in flows.columns]
-    return df.select("*", *[q(source).alias(name) for source, name in EXPORTER.items()]).select(*kept, q(ordinal))
+    return conform_exporter(raw, [ordinal] if ordinal else [])
 
 
 def parse_flow_json(df: DataFrame, column: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
