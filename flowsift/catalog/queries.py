@@ -52,6 +52,11 @@ def plain(df: DataFrame, places: dict[str, int] | None = None) -> DataFrame:
     return df.select(*out)
 
 
+def gapped(*names: str) -> list[Column]:
+    """Whole-number columns with gaps as text: the two engines' Python types for them differ."""
+    return [q(n).cast("string").alias(n) for n in names]
+
+
 def map_text(c: Column) -> Column:
     entries = F.array_sort(F.map_entries(c))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
@@ -75,7 +80,7 @@ def json_flows(spark, sf):
     lines = table(spark, sf, "alert_json")
     good, _ = flow_sources.parse_flow_json(
         lines, "line", "event_type STRING, src_ip STRING, alert STRUCT<signature_id: BIGINT>")
-    return good.select("ord", "event_type", "src_ip", F.col("alert.signature_id").alias("signature_id"))
+    return good.select("ord", "event_type", "src_ip", F.col("alert.signature_id").cast("string").alias("signature_id"))
 
 
 def json_rejects(spark, sf):
@@ -134,7 +139,8 @@ def flow_aliases(spark, sf):
     renamed = table(spark, sf, "flows").select(
         "flow_id", F.col("src_ip").alias("source_ip"), "dst_ip", F.col("src_port").alias("source_port"), "dst_port",
         F.col("protocol").alias("proto"))
-    return plain(fuse.with_aliases(renamed).select("flow_id", *[name for name, _, _ in fuse.ALIASES]))
+    named = fuse.with_aliases(renamed)
+    return plain(named.select("flow_id", "src_ip", "dst_ip", *gapped("src_port"), "dst_port", "protocol", "fwd_packet_count"))
 
 
 def flow_metadata(spark, sf):
@@ -150,7 +156,8 @@ def union_flows(spark, sf):
     flows = table(spark, sf, "flows")
     a = flows.select("flow_id", "spkts", "service")
     b = flows.select("flow_id", "dpkts", "service")
-    return plain(clean.union_flows([a, b], allow_missing=True))
+    both = clean.union_flows([a, b], allow_missing=True)
+    return both.select("flow_id", "service", *gapped("spkts", "dpkts"))
 
 
 # -- duplicates, statistics, dictionaries
@@ -219,7 +226,8 @@ def retransmissions(spark, sf):
 
 
 def handshake_times(spark, sf):
-    return plain(packets.handshake(table(spark, sf, "packets")))
+    marks = packets.handshake(table(spark, sf, "packets"))
+    return plain(marks.select(*END_POINTS, *gapped("syn_us", "synack_us", "ack_us"), "synack", "ackdat", "tcprtt"))
 
 
 def _flow_inputs(spark, sf):
@@ -388,8 +396,8 @@ def detection_rows(spark, sf):
     return plain(rows.select(
         "detection_id", "analysis_id", "flow_id", "is_intrusion", "final_verdict", "triggered_by", "severity",
         F.col("ml_result.verdict").alias("ml_verdict"), "ml_confidence",
-        F.col("signature_result.verdict").alias("signature_verdict"), "signature", "src_ip", "dst_ip", "src_port",
-        "dst_port", "protocol", F.unix_micros("flow_time").alias("flow_us")))
+        F.col("signature_result.verdict").alias("signature_verdict"), "signature", "src_ip", "dst_ip",
+        *gapped("src_port"), "dst_port", "protocol", F.unix_micros("flow_time").alias("flow_us")))
 
 
 def run_summary(spark, sf):
