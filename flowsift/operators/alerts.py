@@ -72,7 +72,7 @@ def alert_index(flows: DataFrame, alerts: DataFrame) -> DataFrame:
                      F.max("max_severity").alias("max_severity"), F.min("min_severity").alias("min_severity")))
     entry = F.struct("first_ord", *rule, "hits")
     return per_rule.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(entry)).alias("rules"), F.sum("hits").alias("n_alerts"),
+        F.sort_array(F.collect_list(entry)).alias("rules"), F.sum("hits").alias("n_alerts"),
         F.max("max_severity").alias("max_severity"), F.min("min_severity").alias("min_severity"))
 
 

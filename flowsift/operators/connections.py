@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsift.functions.scalars import count_where, finite, float_columns, numeric_columns, q, ratio
 from flowsift.operators.order import global_row_number
 from flowsift.operators.packets import packets_to_flows
+from flowsift.session import materialise
 
 # IP protocol numbers by the name used in connection logs.
 PROTOCOL_IDS = {"tcp": 6, "udp": 17, "icmp": 1}
@@ -128,7 +129,7 @@ def derive_rates(df: DataFrame) -> DataFrame:
                 F.lit(0))))
 
 
-def conn_window_counts(flows: DataFrame, key: str, ordinal: str, size: int = 100, block: int = 100_000,
+def conn_window_counts(flows: DataFrame, key: str, ordinal: str, size: int = 100, block: int = 20_000,
                        counters: dict[str, list[str]] | None = None) -> DataFrame:
     """Eight counts of equal flows among the current and the ``size`` - 1 flows before it.
 
@@ -173,7 +174,8 @@ def extract_u(tables: dict[str, DataFrame], compat: bool = False) -> DataFrame:
     """
     logged = attach_app_counts(tables["conn"], tables["http"], tables["ftp"])
     flows = derive_rates(enrich_connections(logged, packets_to_flows(tables["packets"], compat)))
-    counted = conn_window_counts(flows, "last_us", "ord")
+    # The counters read their input three times (borders, sizes, rows): write it once.
+    counted = conn_window_counts(materialise(flows, "flows"), "last_us", "ord")
     ends = counted.withColumns({
         "flow_id": F.col("ord"), "src_ip": F.col("src"), "dst_ip": F.col("dst"), "src_port": F.col("sport"),
         "dst_port": F.col("dport"), "protocol": F.col("proto"), "timestamp": F.col("last_us") / 1e6})
