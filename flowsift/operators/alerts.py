@@ -27,10 +27,11 @@ def is_alert(df: DataFrame) -> DataFrame:
 def flatten_alerts(df: DataFrame) -> DataFrame:
     """Alert log to the flat alert table, with defaults for severity (3) and id ('unknown')."""
     return df.select(
-        "alert_ord", "src_ip", F.col("dest_ip").alias("dst_ip"), "src_port", F.col("dest_port").alias("dst_port"),
+        "alert_ord", "src_ip", F.col("dest_ip").alias("dst_ip"), F.col("src_port").try_cast("int").alias("src_port"),
+        F.col("dest_port").try_cast("int").alias("dst_port"),
         F.coalesce(F.col("alert.signature"), F.lit("")).alias("signature"),
         F.coalesce(F.col("alert.signature_id").cast("string"), F.lit("unknown")).alias("signature_id"),
-        F.coalesce(F.col("alert.severity"), F.lit(3)).alias("severity"))
+        F.coalesce(F.col("alert.severity").try_cast("int"), F.lit(3)).alias("severity"))
 
 
 def _mask() -> Column:

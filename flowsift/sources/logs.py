@@ -15,10 +15,12 @@ BROKEN = "_broken"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lines that parse; blank and malformed ones are skipped."""
+    """Lines that parse, with ``ord``, the position in the file; blank and malformed ones are skipped."""
     with_broken = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
-    rows = spark.read.schema(with_broken).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
-    return rows.filter(q(BROKEN).isNull()).drop(BROKEN)
+    parsed = F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("value"))
+    rows = lines.filter("value <> ''").select("ord", parsed.alias("e")).filter(F.col(f"e.{BROKEN}").isNull())
+    return rows.select("ord", *[F.col("e").getField(f.name).alias(f.name) for f in schema.fields])
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -30,12 +32,12 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     if path_exists(spark, path):
         events = read_json_lines(spark, path, ALERT_LOG)
     else:
-        events = spark.createDataFrame([], ALERT_LOG)
-    return flatten_alerts(is_alert(events.withColumn("alert_ord", F.monotonically_increasing_id())))
+        events = spark.createDataFrame([], T.StructType([T.StructField("ord", T.LongType()), *ALERT_LOG.fields]))
+    return flatten_alerts(is_alert(events.withColumnRenamed("ord", "alert_ord")))
 
 
 def parse_alert_lines(df: DataFrame, column: str, ordinal: str) -> DataFrame:
-    """The same from a table with one line of text per row."""
+    """The same from a table with one line of text per row. A malformed line has no event type."""
     parsed = df.select(q(ordinal).alias("alert_ord"), F.from_json(q(column), ALERT_LOG).alias("e"))
     return flatten_alerts(is_alert(parsed.select("alert_ord", "e.*")))
 
@@ -49,8 +51,7 @@ def read_conn_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     out = {}
     for stem, schema in CONN_LOGS.items():
         path = f"{folder}/{stem}.log"
-        rows = read_json_lines(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
-        names = [F.monotonically_increasing_id().alias("ord")]
-        names += [q(f.name).alias({"user": "usr"}.get(f.name, f.name.removeprefix("id."))) for f in schema.fields]
-        out[stem] = rows.select(*names)
+        empty = T.StructType([T.StructField("ord", T.LongType()), *schema.fields])
+        rows = read_json_lines(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], empty)
+        out[stem] = rows.toDF(*[{"user": "usr"}.get(c, c.removeprefix("id.")) for c in rows.columns])
     return out

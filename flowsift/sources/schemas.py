@@ -124,13 +124,15 @@ def type_c(name: str) -> T.DataType:
     return T.StringType() if name in ("Label", "label", "Flow ID", "Source IP", "Destination IP", "Timestamp") else T.DoubleType()
 
 
+# Numbers are read as text and converted later: a value of another type then costs that value only,
+# not the whole line.
 ALERT_LOG = T.StructType([
-    T.StructField("timestamp", T.StringType()), T.StructField("event_type", T.StringType()),
+    T.StructField("event_type", T.StringType()),
     T.StructField("src_ip", T.StringType()), T.StructField("dest_ip", T.StringType()),
-    T.StructField("src_port", T.IntegerType()), T.StructField("dest_port", T.IntegerType()),
+    T.StructField("src_port", T.StringType()), T.StructField("dest_port", T.StringType()),
     T.StructField("alert", T.StructType([
         T.StructField("signature", T.StringType()), T.StructField("signature_id", T.StringType()),
-        T.StructField("severity", T.IntegerType())]))])
+        T.StructField("severity", T.StringType())]))])
 
 CONN_LOGS = {
     "conn": T.StructType([
