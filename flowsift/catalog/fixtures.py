@@ -134,6 +134,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _staged:
         path = scratch_path(spark, f"fixture-{name}")
         rows = view(spark, sf_dir, name)
-        rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+        rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _staged[key] = path
     return spark.read.parquet(_staged[key])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.session import materialise
+
 # Fixed value: alerts whose signature contains this text are noise of the capture point.
 CHECKSUM_NOISE = "invalid checksum"
 
@@ -112,10 +114,11 @@ def match_alerts(flows: DataFrame, alerts: DataFrame, gravest: bool = False, eng
 
     A flow field that is NULL matches any value. Each flow has exactly one key and each key one
     row, so this is one left equi-join with as many rows as flows: no pair of flow and alert is
-    ever formed. Spark picks broadcast or shuffle from the real size of the index and splits a
-    hot key on the flow side.
+    ever formed. The index is written first, so Spark plans with its real size: a small one is
+    broadcast and the flows are not shuffled at all; for a large one both sides are shuffled and
+    a hot key is split on the flow side.
     """
-    index = alert_index(flows, alerts)
+    index = materialise(alert_index(flows, alerts), "alert-index")
     keyed = flows.withColumn("mask", _mask())
     on = reduce(Column.__and__, [keyed[c].eqNullSafe(index[f"k_{c}"]) for c in ENDS])
     joined = keyed.join(index, (keyed["mask"] == index["mask"]) & on, "left")

@@ -131,62 +131,101 @@ def profile_missing(df: DataFrame, cols: Iterable[str] | None = None) -> DataFra
     return row.select(F.inline(counts))
 
 
-def fit_medians(df: DataFrame, cols: Iterable[str] | None = None, accuracy: int = 1000) -> DataFrame:
+class _Bracket:
+    """Interval known to hold a column's two middle values, and the rows before and up to its end."""
+
+    def __init__(self, index: int):
+        self.index, self.low, self.high = index, -INF, INF
+        self.n = self.below = self.upto = 0
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return (self.n + 1) // 2, self.n // 2 + 1
+
+    @property
+    def inside(self) -> int:
+        return self.upto - self.below
+
+    def holds_middle(self, below: int, upto: int) -> bool:
+        return below < self.ranks[0] and upto >= self.ranks[1]
+
+    def column(self) -> Column:
+        return F.col(f"c{self.index}")
+
+    def cell(self) -> Column:
+        return F.when((self.column() >= self.low) & (self.column() <= self.high), self.column())
+
+
+def _narrow(table: DataFrame, brackets: list[_Bracket], accuracy: int) -> bool:
+    """One round: cut each bracket around the wanted ranks by a sketch of the values inside, and
+    count the rows below and up to the new ends. True if any bracket shrank."""
+    margin = 10.0 / accuracy
+    wanted = []
+    for b in brackets:
+        centre = [(rank - b.below) / b.inside for rank in b.ranks] if b.inside else [0.5, 0.5]
+        wanted.append((max(0.0, centre[0] - margin), min(1.0, centre[1] + margin)))
+    probs = sorted({p for pair in wanted for p in pair})
+    cells = table.select(*[b.cell().alias(f"c{b.index}") for b in brackets])
+    sketched = cells.approxQuantile(cells.columns, probs, 1.0 / accuracy)
+    ends = {b.index: (values[probs.index(lo)], values[probs.index(hi)])
+            for b, values, (lo, hi) in zip(brackets, sketched, wanted) if values}
+    if not ends:
+        return False
+    counted = table.agg(*[c for i, (lo, hi) in ends.items() for c in (
+        F.count(f"c{i}").alias(f"n{i}"), count_where(F.col(f"c{i}") < lo).alias(f"b{i}"),
+        count_where(F.col(f"c{i}") <= hi).alias(f"u{i}"))]).first()
+    shrank = False
+    for b in brackets:
+        if b.index in ends:
+            b.n, below, upto = (counted[f"{k}{b.index}"] for k in "nbu")
+            known = b.inside or b.n
+            b.below, b.upto = (b.below, b.upto) if b.upto else (0, b.n)
+            # A sketch that missed leaves the wider bracket, which is still right.
+            if b.holds_middle(below, upto) and upto - below <= known:
+                shrank |= upto - below < known
+                (b.low, b.high), b.below, b.upto = ends[b.index], below, upto
+    return shrank
+
+
+def fit_medians(df: DataFrame, cols: Iterable[str] | None = None, accuracy: int = 1000,
+                tally_limit: int = 1_000_000) -> DataFrame:
     """Exact median per column as rows (column_name, value); 0 where a column has no value.
 
-    Spark's exact ``median`` keeps every distinct value of a column in one task's memory. Instead,
-    one pass brackets all medians with mergeable quantile sketches; a second counts the values
-    below each bracket and tallies only those inside, which is about 2 % of the table and
-    usually far less. If a bracket missed the median the query fails; it never returns
-    another value.
+    Spark's exact ``median`` keeps every distinct value of a column in one task's memory. Here
+    mergeable quantile sketches bracket all medians at once, a count tells how many rows lie
+    below each bracket, and both are repeated inside the brackets (each round keeps about 2 % of
+    the rows) until at most ``tally_limit`` values per column are left to be tallied one by one.
+    A frequent value closes its bracket at once and needs no tally.
     """
     names = list(cols or numeric_columns(df))
     clean = inf_to_null(df.select(*[q(c) for c in names]))
     clean = clean.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    wide = 10.0 / accuracy
-    brackets = clean.approxQuantile(clean.columns, [0.5 - wide, 0.5 + wide], 1.0 / accuracy)
-    found = [(i, b[0], b[1]) for i, b in enumerate(brackets) if b]
-
-    names_df = df.sparkSession.createDataFrame(
-        [(i, name, bool(brackets[i])) for i, name in enumerate(names)],
-        "col int, column_name string, has_values boolean")
-    if not found:
-        return names_df.select("column_name", F.lit(0.0).alias("value"))
-
-    totals = clean.agg(*[F.count(f"c{i}").alias(f"n{i}") for i, _, _ in found],
-                       *[count_where(F.col(f"c{i}") < lo).alias(f"b{i}") for i, lo, _ in found],
-                       *[count_where(F.col(f"c{i}") <= hi).alias(f"u{i}") for i, _, hi in found])
-    totals = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("col"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("below"),
-                 F.col(f"u{i}").alias("upto"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-        for i, lo, hi in found])))
-
-    # A bracket that is one value needs no tally: its rows are upto - below.
-    tally = totals.filter("lo = hi").select("col", F.col("lo").alias("v"), (F.col("upto") - F.col("below")).alias("k"))
-    open_brackets = [(i, lo, hi) for i, lo, hi in found if lo < hi]
-    if open_brackets:
-        inside = F.filter(F.array(*[
-            F.when((F.col(f"c{i}") >= lo) & (F.col(f"c{i}") <= hi),
-                   F.struct(F.lit(i).alias("col"), F.col(f"c{i}").alias("v")))
-            for i, lo, hi in open_brackets]), lambda x: x.isNotNull())
-        tally = tally.unionByName(
-            clean.select(F.explode(inside).alias("x"))
-            .groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v")).agg(F.count("*").alias("k")))
-    running = Window.partitionBy("col").orderBy("v")
-    placed = (tally.join(F.broadcast(totals.select("col", "n", "below")), "col")
-              .withColumn("upto", F.col("below") + F.sum("k").over(running))
-              .withColumn("before", F.col("upto") - F.col("k")))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") < rank) & (F.col("upto") >= rank), F.col("v")))
-
-    middle = (placed.groupBy("col")
-              .agg(at(F.floor((F.col("n") + 1) / 2)).alias("a"), at(F.floor(F.col("n") / 2) + 1).alias("b"))
-              .select("col", ((F.col("a") + F.col("b")) / 2).alias("value")))
-    lost = F.col("has_values") & F.col("value").isNull()
-    return (names_df.join(middle, "col", "left")
-            .select("column_name", F.when(lost, F.raise_error(F.lit("median outside its bracket")).cast("double"))
-                    .otherwise(F.coalesce("value", F.lit(0.0))).alias("value")))
+    brackets = [_Bracket(i) for i in range(len(names))]
+    todo = brackets
+    while todo and _narrow(clean, todo, accuracy):
+        todo = [b for b in todo if b.n and b.low < b.high and b.inside > tally_limit]
+
+    spark = df.sparkSession
+    names_df = spark.createDataFrame(list(enumerate(names)), "col int, column_name string")
+    single = [(b.index, b.low) for b in brackets if b.n and b.low == b.high]
+    medians = spark.createDataFrame(single, "col int, value double")
+    spread = [b for b in brackets if b.n and b.low < b.high]
+    if spread:
+        cells = F.filter(F.array(*[F.when(b.cell().isNotNull(), F.struct(F.lit(b.index).alias("col"), b.column().alias("v")))
+                                   for b in spread]), lambda x: x.isNotNull())
+        tally = (clean.select(F.explode(cells).alias("x"))
+                 .groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v")).agg(F.count("*").alias("k")))
+        known = spark.createDataFrame([(b.index, b.below, *b.ranks) for b in spread], "col int, below long, r1 long, r2 long")
+        running = Window.partitionBy("col").orderBy("v")
+        placed = (tally.join(known, "col").withColumn("upto", F.col("below") + F.sum("k").over(running))
+                  .withColumn("before", F.col("upto") - F.col("k")))
+
+        def at(rank: str) -> Column:
+            return F.max(F.when((F.col("before") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("v")))
+
+        medians = medians.unionByName(placed.groupBy("col").agg(((at("r1") + at("r2")) / 2).alias("value")))
+    return (names_df.join(medians, "col", "left")
+            .select("column_name", F.coalesce("value", F.lit(0.0)).alias("value")))
 
 
 def medians_as_dict(medians: DataFrame) -> dict[str, float]:

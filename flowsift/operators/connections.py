@@ -141,8 +141,8 @@ def conn_window_counts(flows: DataFrame, key: str, ordinal: str, size: int = 100
     if block < size - 1:
         raise ValueError("a block must hold at least size - 1 rows")
     numbered = global_row_number(flows, key, ordinal, "rn")
-    home = F.floor((F.col("rn") - 1) / block)
-    reach = F.floor((F.col("rn") - 1 + size - 1) / block)
+    home = F.expr(f"(rn - 1) div {block}")
+    reach = F.expr(f"(rn + {size - 2}) div {block}")
     copies = (numbered.withColumn("_home", home)
               .withColumn("_block", F.explode(F.when(reach > home, F.array(home, home + 1)).otherwise(F.array(home)))))
     copies = copies.repartition("_block")

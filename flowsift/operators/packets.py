@@ -62,7 +62,7 @@ def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
     rest; ``_stitched`` keeps side a only in the flow's first block.
     """
     syn, synack, ack = _flags()
-    rows = _canonical(packets).withColumn("block", F.floor(F.col("ord") / block))
+    rows = _canonical(packets).withColumn("block", F.expr(f"ord div {block}"))
     in_block = Window.partitionBy(*FLOW, "block")
     sequence = Window.partitionBy(*FLOW, "block", "side").orderBy("ord")
     block_first = F.col("ord") == F.min("ord").over(in_block)

@@ -43,6 +43,8 @@ def clean_labelled(df: DataFrame, profile: Profile, ordinal: str = ORD) -> DataF
     first = (labelled.groupBy(*[q(c) for c in features])
              .agg(F.min(q(ordinal)).alias(ordinal), F.min_by("label", q(ordinal)).alias("label")))
     kept = clean.inf_to_null(clean.drop_known(first, [c for c in profile.drops if c != "label"]))
+    # The near-copy step reads its input twice.
+    kept = materialise(kept, "exact")
     return clean.dedup_near(kept, [c for c in kept.columns if c not in ("label", ordinal)], ordinal)
 
 

@@ -71,10 +71,22 @@ def test_severity_takes_the_greatest_number_unless_told(spark):
     assert A.match_alerts(flows, alerts, gravest=True).first().sig.severity == "CRITICAL"
 
 
-def test_match_plan_has_no_nested_loop(spark):
+def test_small_index_is_broadcast_and_large_one_is_not(spark):
     flows, alerts = (spark.createDataFrame(rows, schema) for rows, schema in zip(random_case(4), (FLOW, ALERT)))
-    plan = A.match_alerts(flows, alerts)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    def plan():
+        return A.match_alerts(flows, alerts)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan() and "NestedLoop" not in plan()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = plan()
+        assert "SortMergeJoin" in large and "NestedLoop" not in large and "Cartesian" not in large
+        index = A.alert_index(flows, alerts)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in index and "Cartesian" not in index
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_rules_are_pluggable(spark):
