@@ -386,6 +386,11 @@ ORACLE: dict[str, str] = {
         (("ml", "ml_flag"), ("signature", "fired"), ("hybrid", "(ml_flag OR fired)"))) + f") SELECT detector, tp, tn, fp, fn, {QUALITY} FROM lines",
     "complementarity": JUDGED + """ SELECT count(*) FILTER (ml_flag AND NOT fired) AS ml_only, count(*) FILTER (NOT ml_flag AND fired) AS signature_only,
   count(*) FILTER (ml_flag AND fired) AS both, count(*) FILTER (NOT ml_flag AND NOT fired) AS neither FROM judged""",
+    "flow_results": JUDGED + f""" SELECT flow_id, CASE label WHEN 1 THEN 'ATTACK' ELSE 'BENIGN' END AS ground_truth, {r('score')} AS ml_probability,
+  CASE WHEN ml_flag THEN 'ATTACK' ELSE 'BENIGN' END AS ml_verdict, CASE WHEN fired THEN 'ATTACK' ELSE 'BENIGN' END AS signature_verdict,
+  replace(matched_rules, ';', '; ') AS signature_rules, CASE WHEN is_intrusion THEN 'ATTACK' ELSE 'BENIGN' END AS hybrid_verdict,
+  triggered_by AS hybrid_trigger, src_ip, dst_ip, src_port::VARCHAR AS src_port, dst_port::BIGINT AS dst_port, protocol::BIGINT AS protocol,
+  {r('last_us / 1e6')} AS timestamp FROM judged""",
     "rule_signatures": ctes("flows") + """, f AS (SELECT flow_id, coalesce(dst_port = 445 OR src_port = 445, false) AS a, coalesce(dst_port = 23 OR src_port = 23, false) AS b,
   coalesce(dst_port = 21 OR src_port = 21, false) AS c, protocol = 6 AND spkts >= 500 AS d FROM flows)
  SELECT flow_id, a OR b OR c OR d AS is_intrusion, CASE WHEN a OR d THEN 'HIGH' WHEN b OR c THEN 'MEDIUM' ELSE 'NONE' END AS severity,

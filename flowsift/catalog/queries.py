@@ -18,6 +18,7 @@ from flowsift.catalog.fixtures import table
 from flowsift.functions.scalars import q
 from flowsift.operators import (alerts, attribution, clean, common_schema, connections, encode, fuse, metrics, model,
                                 order, packets, reports, rules, views)
+from flowsift.plans import pipelines
 from flowsift.plans.pipelines import hybrid_detection
 from flowsift.session import materialise
 from flowsift.sources import flows as flow_sources
@@ -328,6 +329,11 @@ def compare_detectors(spark, sf):
     return plain(metrics.compare_detectors(_flags(spark, sf)))
 
 
+def flow_results(spark, sf):
+    rows = pipelines.flow_results(_judged(spark, sf), F.col("label") == 1)
+    return plain(rows.select(*[c for c in rows.columns if c != "src_port"], *gapped("src_port")))
+
+
 def complementarity(spark, sf):
     return metrics.complementarity(_flags(spark, sf))
 
@@ -584,7 +590,7 @@ QUERIES: dict[str, Query] = {
         fit_encoder, encode_categories, packets_to_flows, packets_to_flows_compat, packet_direction, inter_arrival,
         jitter, retransmissions, handshake_times, conn_enrich, http_last, app_counts, conn_window_counts,
         extract_flows_u, split_stratified, split_summary, sample_n, class_weight, binary_metrics, class_report,
-        threshold_sweep, threshold_best, roc_curve, roc_auc, pr_curve, pr_auc, compare_detectors, complementarity,
+        threshold_sweep, threshold_best, roc_curve, roc_auc, pr_curve, pr_auc, compare_detectors, complementarity, flow_results,
         rule_signatures, rules_empty, match_alerts, match_alerts_gravest, verdicts, fuse_verdicts,
         severity_detection, severity_incident, detection_rows, run_summary, detections_store, kpi_totals,
         kpi_severity, kpi_trigger, breakdown_protocol, top_src, top_dst, recent_incidents, activity_series,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalars import numeric_columns, q
@@ -189,3 +189,33 @@ def run_detection(flows: DataFrame, fitted: PipelineModel, features: Sequence[st
     if out:
         sinks.write_detections(detections, results["summaries"], out)
     return results
+
+
+def flow_results(judged: DataFrame, truth: Column, flow_id: str = "flow_id") -> DataFrame:
+    """Per-flow result table of a detector comparison: truth, the three verdicts, rules, flow ends.
+
+    ``truth`` is true for attacks: a label condition, or ``lit(True)`` for a capture of attacks only.
+    """
+    def verdict(flag: Column) -> Column:
+        return F.when(flag, "ATTACK").otherwise("BENIGN")
+
+    time = F.col("last_us") / 1e6 if "last_us" in judged.columns else F.lit(None).cast("double")
+    return fuse.with_aliases(judged).select(
+        q(flow_id).alias("flow_id"), verdict(truth).alias("ground_truth"), F.col("ml.probability").alias("ml_probability"),
+        verdict(F.col("ml.is_intrusion")).alias("ml_verdict"), verdict(F.col("sig.is_intrusion")).alias("signature_verdict"),
+        F.array_join("sig.matched_rules", "; ").alias("signature_rules"), verdict(F.col("is_intrusion")).alias("hybrid_verdict"),
+        F.col("triggered_by").alias("hybrid_trigger"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+        time.alias("timestamp"))
+
+
+def run_comparison(judged: DataFrame, truth: Column, flow_id: str = "flow_id", out: str | None = None) -> dict[str, DataFrame]:
+    """Compare classifier, signatures and their union on fused flows; optionally store CSV and JSON."""
+    flags = judged.select(truth.cast("int").alias("label"), F.col("ml.is_intrusion").alias("ml_flag"),
+                          F.col("sig.is_intrusion").alias("sig_flag"))
+    results = {"flows": flow_results(judged, truth, flow_id), "metrics": metrics.compare_detectors(flags),
+               "component_counts": metrics.complementarity(flags)}
+    if out:
+        sinks.write_flow_results(results["flows"], f"{out}/flows", "csv")
+        sinks.write_metrics(results["metrics"], f"{out}/metrics")
+        sinks.write_metrics(results["component_counts"], f"{out}/component_counts")
+    return results

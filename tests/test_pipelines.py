@@ -92,6 +92,17 @@ def test_detection_end_to_end(spark, trained, flows_u, tmp_path):
     assert ruled["detections"].filter("signature = 'SIG-SMB-445'").count() == 10
 
 
+def test_detector_comparison_is_stored(spark, tmp_path):
+    flows = spark.createDataFrame([(1, 0.9, 445, 1), (2, 0.1, 80, 1), (3, 0.1, 23, 0)], "flow_id int, score double, dst_port int, src_port int")
+    judged = pipelines.hybrid_detection(flows)
+    out = pipelines.run_comparison(judged, F.lit(True), out=str(tmp_path / "cmp"))
+    assert {r.detector: (r.tp, r.fn) for r in out["metrics"].collect()} == {"ml": (1, 2), "signature": (2, 1), "hybrid": (2, 1)}
+    rows = spark.read.csv(str(tmp_path / "cmp" / "flows"), header=True).orderBy("flow_id").collect()
+    assert [(r.ground_truth, r.ml_verdict, r.signature_rules, r.hybrid_trigger) for r in rows] == [
+        ("ATTACK", "ATTACK", "SIG-SMB-445", "BOTH"), ("ATTACK", "BENIGN", None, "NONE"), ("ATTACK", "BENIGN", "SIG-TELNET-23", "SIGNATURE")]
+    assert spark.read.json(str(tmp_path / "cmp" / "component_counts")).first().neither == 1
+
+
 def test_training_on_the_common_schema(spark):
     rng = random.Random(1)
     rows = [(i, float(rng.randrange(9)), rng.random(), "DoS" if i % 3 == 0 else "BENIGN") for i in range(400)]
