@@ -24,7 +24,9 @@ def local_session(cores: int | str = 8, name: str = "flowsift", memory: str = "1
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
                .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               # Recording the Python call site of every column expression costs more than building it.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
