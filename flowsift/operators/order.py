@@ -40,8 +40,9 @@ def range_buckets(df: DataFrame, key: str, ordinal: str, buckets: int | None = N
     """Add ``_b`` and ``_s``: all rows of a smaller (_b, _s) precede those of a larger one in
     (key, ordinal) order, and no pair holds much more than its share of the rows.
 
-    One pass collects 2 x ``buckets`` quantiles to the driver; a value that spans several
-    quantiles is cut by quantiles of the ordinal. Missing keys sort as 0.
+    One pass collects 2 x ``buckets`` quantiles to the driver. A value that spans m > 1 of the n
+    key quantiles is cut by min(n, m^2) quantiles of the ordinal, so there are never more than
+    about n^1.5 pairs. Missing keys sort as 0.
     """
     n = buckets or default_buckets(df)
     keyed = (df.withColumn("_k", F.coalesce(q(key).cast("double"), F.lit(0.0)))
@@ -52,18 +53,21 @@ def range_buckets(df: DataFrame, key: str, ordinal: str, buckets: int | None = N
     tagged = _bucketize(keyed, "_k", "_b", key_cuts)
     if not hot:
         return tagged.withColumn("_s", F.lit(0.0)).drop("_k", "_o")
-    hot_buckets = [float(key_cuts.index(v)) for v in hot]
-    tagged = _bucketize(tagged, "_o", "_oc", _cuts(ord_q)[0])
-    return (tagged
-            .withColumn("_s", F.when(F.col("_b").isin(hot_buckets), F.col("_oc")).otherwise(0.0))
+    ord_cuts, _ = _cuts(ord_q)
+    tagged = _bucketize(tagged, "_o", "_oc", ord_cuts)
+    parts = [0] * (len(key_cuts) - 1)
+    for value in hot:
+        parts[key_cuts.index(value)] = min(len(ord_cuts) - 1, key_q.count(value) ** 2)
+    own_parts = F.get(F.lit(parts), F.col("_b").cast("int"))
+    return (tagged.withColumn("_s", F.floor(F.col("_oc") * own_parts / float(len(ord_cuts) - 1)).cast("double"))
             .drop("_k", "_o", "_oc"))
 
 
 def with_offsets(tagged: DataFrame, cells: list[str], within: list[str] | None = None) -> DataFrame:
     """Add ``_off``: rows in the earlier cells (of the same ``within`` group).
 
-    The table of cells has one row per bucket, a number fixed by the bucket count and not by the
-    data, so the one-task running sum and the broadcast stay small.
+    The table of cells has one row per bucket, a number bounded by the bucket count and not by
+    the data, so the one-task running sum and the broadcast stay small.
     """
     group = within or []
     sizes = tagged.groupBy(*group, *cells).agg(F.count("*").alias("_n"))
@@ -128,8 +132,8 @@ def split_stratified(df: DataFrame, identifier: str, label: str | None = "label"
 
     Rows are ranked inside their class by a seeded hash. The first three hex digits of the hash
     bucket the rank, so a class of any size is cut into 4,096 level pieces. ``label=None``
-    splits without strata. The label is a class, not an identifier: its distinct values bound
-    the tables that are broadcast.
+    splits without strata. Ranking shuffles by (class, piece) and the join with the offsets has
+    the same keys, so Spark needs no broadcast to do both with one shuffle of the rows.
     """
     stratum = q(label).cast("string") if label else F.lit("all")
     hashed = (df.withColumn("stratum", F.coalesce(stratum, F.lit("")))
@@ -139,12 +143,12 @@ def split_stratified(df: DataFrame, identifier: str, label: str | None = "label"
     offset = F.sum("_n").over(Window.partitionBy("stratum").orderBy("_b")) - F.col("_n")
     offsets = cells.select("stratum", "_b", offset.alias("_off"))
     sizes = split_sizes(cells.groupBy("stratum").agg(F.sum("_n").alias("n")), ratios)
-    bounds = offsets.join(F.broadcast(sizes), "stratum")
+    bounds = offsets.join(sizes, "stratum")
     inside = Window.partitionBy("stratum", "_b").orderBy("_h", q(identifier))
     position = F.col("_off") + F.row_number().over(inside)
     split = (F.when(position <= F.col("n_train"), "train")
              .when(position <= F.col("n_train") + F.col("n_val"), "validation")
              .otherwise("test"))
-    return (hashed.join(F.broadcast(bounds), ["stratum", "_b"])
+    return (hashed.join(bounds, ["stratum", "_b"])
             .withColumn("split", split)
             .select(*df.columns, "split"))

@@ -76,7 +76,7 @@ def test_alert_log(spark, tmp_path):
              json.dumps({**alert, "alert": {"signature": "TCP INVALID checksum", "signature_id": 9}}),
              json.dumps({**alert, "alert": {"signature": "R1", "signature_id": 7, "severity": 1}}),
              json.dumps({**alert, "src_port": "odd", "alert": {"signature": "R2", "severity": "2"}}), json.dumps({"event_type": "alert"})]
-    df = logs.read_alerts(spark, write(tmp_path / "eve.json", "\n".join(lines) + "\n"))
+    df = logs.read_alerts(spark, write(tmp_path / "alerts.json", "\n".join(lines) + "\n"))
     got = [(r.signature, r.signature_id, r.severity, r.src_ip) for r in df.orderBy("alert_ord").collect()]
     assert got == [("R1", "7", 1, "a"), ("R2", "unknown", 2, "a"), ("", "unknown", 3, None)]
     assert logs.read_alerts(spark, str(tmp_path / "absent.json")).count() == 0
