@@ -84,29 +84,34 @@ def severity_of(number: Column) -> Column:
     return F.when(number == 1, "CRITICAL").when(number == 2, "HIGH").otherwise("MEDIUM")
 
 
-def rollup_alerts(matched: DataFrame, gravest: bool = False, engine: str = "signatures") -> DataFrame:
-    """Signature verdict ``sig`` per flow from the matched rule list.
+SIG = ("struct<is_intrusion:boolean,matched_rules:array<string>,rule_hits:array<bigint>,n_alerts:bigint,"
+       "severity:string,engine:string,details:string>")
+
+
+def rollup_alerts(hits: DataFrame, gravest: bool = False, engine: str = "signatures") -> DataFrame:
+    """Signature verdict ``sig`` from a list of rules that hit.
 
     Rules are listed once, in order of their first alert, with their number of hits beside them;
     the hit counts add up to the matched alerts. The severity comes from the greatest alert
     number, or from the least with ``gravest``.
     """
-    fired = F.col("rules").isNotNull()
     number = F.greatest(F.lit(0), F.col("min_severity" if gravest else "max_severity"))
 
-    def listed(form: str, first: str, second: str) -> Column:
-        return F.transform("rules", lambda r: F.format_string(form, r[first], r[second]))
+    def listed(form: str) -> Column:
+        return F.transform("rules", lambda r: F.format_string(form, r["signature_id"], r["signature"]))
 
     sig = F.struct(
-        fired.alias("is_intrusion"),
-        F.coalesce(listed("SID-%s: %s", "signature_id", "signature"), F.array().cast("array<string>")).alias("matched_rules"),
-        F.coalesce(F.transform("rules", lambda r: r["hits"]), F.array().cast("array<bigint>")).alias("rule_hits"),
-        F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"),
-        F.when(fired, severity_of(number)).otherwise("NONE").alias("severity"),
-        F.lit(engine).alias("engine"),
-        F.when(fired, F.array_join(listed("%2$s (SID %1$s)", "signature_id", "signature"), ", "))
-        .otherwise("no matching alert").alias("details"))
-    return matched.withColumn("sig", sig).drop("rules", "n_alerts", "max_severity", "min_severity")
+        F.lit(True).alias("is_intrusion"), listed("SID-%1$s: %2$s").alias("matched_rules"),
+        F.transform("rules", lambda r: r["hits"]).alias("rule_hits"), F.col("n_alerts").alias("n_alerts"),
+        severity_of(number).alias("severity"), F.lit(engine).alias("engine"),
+        F.array_join(listed("%2$s (SID %1$s)"), ", ").alias("details"))
+    return hits.withColumn("sig", sig.cast(SIG)).drop("rules", "n_alerts", "max_severity", "min_severity")
+
+
+def no_match(engine: str = "signatures") -> Column:
+    """Signature verdict of a flow without alerts."""
+    return F.struct(F.lit(False), F.array().cast("array<string>"), F.array().cast("array<bigint>"), F.lit(0),
+                    F.lit("NONE"), F.lit(engine), F.lit("no matching alert")).cast(SIG)
 
 
 def match_alerts(flows: DataFrame, alerts: DataFrame, gravest: bool = False, engine: str = "signatures") -> DataFrame:
@@ -114,16 +119,15 @@ def match_alerts(flows: DataFrame, alerts: DataFrame, gravest: bool = False, eng
 
     A flow field that is NULL matches any value. Each flow has exactly one key and each key one
     row, so this is one left equi-join with as many rows as flows: no pair of flow and alert is
-    ever formed. The index is written first, so Spark plans with its real size: a small one is
-    broadcast and the flows are not shuffled at all; for a large one both sides are shuffled and
-    a hot key is split on the flow side.
+    ever formed, and the verdict is put together once per key. The index is written first, so
+    Spark plans with its real size: a small one is broadcast and the flows are not shuffled at
+    all; for a large one both sides are shuffled and a hot key is split on the flow side.
     """
-    index = materialise(alert_index(flows, alerts), "alert-index")
+    index = materialise(rollup_alerts(alert_index(flows, alerts), gravest, engine), "alert-index")
     keyed = flows.withColumn("mask", _mask())
     on = reduce(Column.__and__, [keyed[c].eqNullSafe(index[f"k_{c}"]) for c in ENDS])
     joined = keyed.join(index, (keyed["mask"] == index["mask"]) & on, "left")
-    matched = joined.select(*[keyed[c] for c in flows.columns], "rules", "n_alerts", "max_severity", "min_severity")
-    return rollup_alerts(matched, gravest, engine)
+    return joined.select(*[keyed[c] for c in flows.columns], F.coalesce(index["sig"], no_match(engine)).alias("sig"))
 
 
 def first_rule(rules: Column) -> Column:
