@@ -150,3 +150,44 @@ def mix(x: np.ndarray) -> np.ndarray:
 def without(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``removed``; rows without a key stay."""
     return df.join(removed.select(F.col(key)), key, "left_anti")
+
+
+def grouped(batches: Iterable[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows with equal ``columns`` as one table each; equal rows must lie next to each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        cuts = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if held and ids[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = ids[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Bits of a membership filter: 4 MB at any input size. A fuller filter lets more rows pass, it never loses one.
+FILTER_BITS = 1 << 25
+
+
+def membership(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of hashed long ids, for thinning out a big table before a join by these ids."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    words = (ids.groupBy(F.shiftright(slot, 5).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(pmod({0}, 32) as int)))".format(f"`{column}`")).alias("mask")))
+    packed = words.groupBy(F.shiftright("word", 12).alias("page")).agg(F.collect_list(F.struct("word", "mask")).alias("words"))
+    out = np.zeros(bits >> 5, np.uint32)
+    for row in packed.toLocalIterator():
+        for word, mask in row["words"]:
+            out[word] = mask
+    return out
+
+
+def may_hold(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = np.mod(ids.astype(np.int64), len(bitmap) << 5)
+    return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
