@@ -8,9 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_counts
+from . import byte_bpe, chat, ngram_join, packing, quality, secrets, token_counts, url_rules
 from .common import read
 
+#: Place rules of the url query; longest wins.
+PLACES = [url_rules.place_rule("org/", "allow"), url_rules.place_rule("example.org/es/", "block"),
+          url_rules.place_rule("example.org/en/1", "block"), url_rules.place_rule("com/fr/", "allow"),
+          url_rules.place_rule("com/de/", "block")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(read(spark, sf_dir, "pages"), [*PLACES, *url_rules.PATTERNS])
+
+
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -20,6 +34,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    chats = chat.format_chats(chat.event_log(turns.unionByName(extra)), chat.LOG_ORDER)
+    return chat.read_back(chats)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -29,8 +60,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_rules": op1_url_rules,
+    "op2_line_quality": op2_line_quality,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_chat_format": op7_chat_format,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
