@@ -12,6 +12,9 @@ own tails while it encodes, and one small table of counts per task gives the off
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -111,22 +114,57 @@ class Layout:
         return out
 
 
+#: Fixed value: the pattern of byte-level pre-tokenisation.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def rank_encoder(path: str):
+    """An encoder by ranks that gives the tokenizer file's ids, or None where merges don't follow the order of ids."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = (model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+             and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+    if not usual:
+        return None
+    vocab = model["vocab"]
+    parts = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in parts]
+    if any(x >= y for x, y in zip(made, made[1:])) or (made and made[0] < 256) or len(made) + 256 != len(vocab):
+        return None
+    import tiktoken
+
+    signs = byte_signs()
+    ranks = {bytes(signs[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def encoder(path: str):
-    """Ids of texts by a byte-level BPE file of the tokenizers library, as (flat ids, offsets) per block."""
-    import os
+    """Ids of texts by a BPE file of the tokenizers library, as (flat ids, offsets) per block.
 
+    Texts with special strings, and files of other kinds, go through the library itself.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     model = Tokenizer.from_file(path)
-    encode = lambda text: model.encode(text, add_special_tokens=False).ids
-    memo = common.Memo(lambda unit: encode(" " + unit))
-    # A special token's string may hold a space or swallow one next to it: such texts are encoded uncut.
-    special = [t.content for t in model.get_added_tokens_decoder().values()]
-    import re
-
-    unsafe = "|".join([common._UNSAFE, *map(re.escape, special)])
-    return lambda texts: common.expand(texts, encode, memo.__getitem__, encode, unsafe)
+    whole = lambda text: model.encode(text, add_special_tokens=False).ids
+    fast = rank_encoder(path)
+    if fast is None:
+        return lambda texts: common.expand(texts, whole, whole, whole, "(?s:.*)")
+    special = "|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values())
+    holds = re.compile(special) if special else None
+    plain = lambda text: whole(text) if holds and holds.search(text) else fast(text)
+    memo = common.Memo(lambda unit: fast(" " + unit))
+    unsafe = "|".join(x for x in (common._UNSAFE, special) if x)
+    return lambda texts: common.expand(texts, plain, memo.__getitem__, plain, unsafe)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
