@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +100,7 @@ def expand(texts: pa.Array, first: Callable[[str], Sequence[int]], later: Callab
     table += [whole(rare[i]) if i in rare else first(h) for i, h in enumerate(head)]
     code[starts[:-1]] = len(words) + np.arange(n)
     sizes = np.fromiter(map(len, table), np.int64, len(table))
-    flat = np.fromiter((x for t in table for x in t), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(table), np.int64, int(sizes.sum()))
     at = offsets_of(sizes)
     lengths = sizes[code]
     out = flat[ranges(at[code], lengths)].astype(np.uint32)
@@ -147,11 +149,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def without(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``removed``; rows without a key stay."""
-    return df.join(removed.select(F.col(key)), key, "left_anti")
-
-
 def grouped(batches: Iterable[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.Table]:
     """Rows with equal ``columns`` as one table each; equal rows must lie next to each other."""
     held: list[pa.RecordBatch] = []
@@ -191,3 +188,21 @@ def membership(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarr
 def may_hold(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     slot = np.mod(ids.astype(np.int64), len(bitmap) << 5)
     return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
+def without(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` is not in ``removed``; rows without a key stay.
+
+    A filter of fixed size settles most rows where they are; only the others, which are removed but for a few, are
+    shuffled for the join.
+    """
+    bitmap = df.sparkSession.sparkContext.broadcast(membership(removed, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(ids.notna().to_numpy() & may_hold(bitmap.value, ids.fillna(0).to_numpy(np.int64)))
+
+    flag = free_name(df.columns, "maybe")
+    flagged = df.withColumn(flag, maybe(F.col(key)))
+    stay = flagged.where(~F.col(flag))
+    return stay.union(flagged.where(flag).join(removed.select(key), key, "left_anti").select(*flagged.columns)).drop(flag)
