@@ -1,23 +1,25 @@
 """Byte-level BPE over a global shuffle of distinct words, and decoding by the token-byte table.
 
-Pre-tokens are exploded with their positions, but first put together per block of documents: a block keeps
-each of its pre-tokens once and positions as numbers into that list. The shuffle by word then moves a word
-once per block, every distinct word is encoded once, and the ids travel back to their blocks, where documents
-are put together by position. A word in a third of all places is thus still one row per block.
+Words are what lies between safe spaces (see ``common.expand``): one or a few pre-tokens, never a part of one.
+They are exploded with their positions, put together per block of documents first: a block sends each of its
+distinct words once, to the task of the word's bucket, and keeps the positions as numbers of its words. Each
+distinct word is encoded once there; its ids travel back to the block, where documents are put together by
+position. A word in a third of all places is thus still one entry per block, and neither shuffle holds texts.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from . import common
 
 #: Text bytes of a block: what one task holds when it puts documents together.
@@ -29,41 +31,83 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _word_blocks(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """A row per document (key, places of its words) and per block a row of words; ``block`` ties them."""
+def packed(items: list[bytes]) -> bytes:
+    """A list of byte strings as one compressed string."""
+    sizes = np.fromiter(map(len, items), "<u4", len(items))
+    return zlib.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(items), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    """(sizes, all items in a row)."""
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 + 4 * n:]
+
+
+def varints(x: np.ndarray) -> bytes:
+    """Numbers below 2^21 in one to three bytes, seven bits each; frequent words have small numbers."""
+    width = 1 + (x >= 1 << 7) + (x >= 1 << 14)
+    end = np.cumsum(width)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for i in range(3):
+        has = width > i
+        out[(end - width)[has] + i] = (x[has] >> (7 * i) & 127) | np.where(width[has] > i + 1, 128, 0)
+    return out.tobytes()
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = raw < 128
+    start = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)) if len(raw) else np.empty(0, np.int64)
+    shift = 7 * (np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw)))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, start) if len(raw) else start
+
+
+def _block(texts: pa.Array, find) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word numbers of all texts, offsets per text, the distinct words): the most frequent word has number 0."""
+    places: dict[str, int] = {}
+    one = lambda unit: (places.setdefault(unit, len(places)),)
+    flat, at = common.expand(texts, one, lambda u: (places.setdefault(" " + u, len(places)),),
+                             lambda text: [places.setdefault(w, len(places)) for w in find(text)])
+    order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+    number = np.empty(len(places), np.int64)
+    number[order] = np.arange(len(places))
+    words = list(places)
+    return number[flat] if len(flat) else flat.astype(np.int64), at, [words[i].encode() for i in order.tolist()]
+
+
+def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, send_words: bool) -> DataFrame:
+    """One of the two things a block sends: its words, by bucket; or its documents as word numbers.
+
+    Both come from the same scan and the same code, so names of blocks and numbers of words agree.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, part, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        for block in common.blocks(batches, "text", BLOCK):
-            places: dict[str, int] = {}
-
-            def coded(unit: str) -> list[int]:
-                return [places.setdefault(w, len(places)) for w in find(unit)]
-
-            flat, at = common.expand(common.texts_of(block.column("text")), coded, lambda u: coded(" " + u), coded)
-            # The most frequent words get the smallest numbers, which pack best.
-            order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
-            number = np.empty(len(places), np.uint32)
-            number[order] = np.arange(len(places), dtype=np.uint32)
-            flat = number[flat] if len(flat) else flat
-            narrow = "<u2" if len(places) <= 65536 else "<u4"
-            words = list(places)
-            n, name = block.num_rows, (part << 32) + made
-            made += 1
-            raw = flat.astype(narrow)
-            yield pa.record_batch([
-                pa.array([name] * (n + 1), pa.int64()),
-                pa.concat_arrays([block.column("key"), pa.nulls(1, block.column("key").type)]),
-                pa.array([*(raw[at[i]:at[i + 1]].tobytes() for i in range(n)), None], pa.binary()),
-                pa.array([raw.itemsize] * n + [None], pa.int32()),
-                pa.array([None] * n + [[words[i] for i in order.tolist()]], pa.list_(pa.string()))],
-                ["block", "key", "places", "width", "words"])
+        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
+        for made, block in enumerate(common.blocks(batches, "text", BLOCK)):
+            flat, at, words = _block(common.texts_of(block.column("text")), find)
+            bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            name, n = (part << 32) + made, block.num_rows
+            if send_words:
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+                lists = [[words[i] for i in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
+                yield pa.record_batch([pa.array([name] * len(lists), pa.int64()), pa.array(bucket[order[cuts[:-1]]], pa.int32()), pa.array(map(packed, lists), pa.binary())],
+                                      ["block", "bucket", "words"])
+            else:
+                wide = len(words) >= 1 << 21
+                raw = [flat[a:b].astype("<u4").tobytes() if wide else varints(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.record_batch([
+                    pa.array([name] * (n + 1), pa.int64()), pa.array([0] + [2] * n, pa.int32()), pa.array([-1] + [int(wide)] * n, pa.int32()),
+                    pa.concat_arrays([pa.nulls(1, block.column("key").type), block.column("key")]),
+                    pa.array([zlib.compress(bucket.astype("<u4").tobytes(), 1)] + [zlib.compress(x, 1) for x in raw], pa.binary())],
+                    ["block", "what", "bucket", "key", "data"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        cut, f"block long, key {kind}, places binary, width int, words array<string>")
+        cut, "block long, bucket int, words binary" if send_words else f"block long, what int, bucket int, key {kind}, data binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,70 +118,70 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     other columns are ignored; an empty table gives an empty table.
     """
     kind = docs.schema[key].dataType.simpleString()
-    cut = materialise(_word_blocks(docs, key, text, pattern), "wordblocks")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
-        last, ids = None, b""  # equal words lie next to each other: each is encoded once
+        ids, last = {}, None
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(bpe.encode_ordinary(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column("block"), batch.column("place"), pa.array(out, pa.binary())], ["block", "place", "ids"])
-
-    words = cut.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    coded = (words.repartition("word").sortWithinPartitions("word")
-             .mapInArrow(distinct, "block long, place int, ids binary"))
-    # All a block needs in one place: its words' ids (place set) and its documents (places set).
-    both = (coded.select("block", F.lit(0).alias("what"), "place", "ids", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("int").alias("width"))
-            .unionByName(cut.where("words is null").select("block", F.lit(1).alias("what"), F.lit(None).cast("int").alias("place"),
-                                                          F.col("places").alias("ids"), "key", "width")))
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != last:
+                    ids, last = common.Memo(lambda w: np.array(bpe.encode_ordinary(w.decode()), "<u4").tobytes(), 1 << 21), bucket
+                sizes, raw = unpacked(data)
+                ends = np.cumsum(sizes).tolist()
+                out.append(packed([ids[raw[a:b]] for a, b in zip([0, *ends], ends)]))
+            yield pa.record_batch([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "data"])
+
+    coded = (_blocks(docs, key, text, pattern, buckets, True).repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(distinct, "block long, bucket int, data binary"))
+    both = (_blocks(docs, key, text, pattern, buckets, False)
+            .unionByName(coded.select("block", F.lit(1).alias("what"), "bucket", F.lit(None).cast(kind).alias("key"), "data")))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sizes, flat, at = None, None, None, None
-        held: list[pa.RecordBatch] = []
-
-        def table() -> None:
-            nonlocal sizes, flat, at
-            place = np.concatenate([b.column("place").to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
-            ids = pa.concat_arrays([b.column("ids") for b in held])
-            raw = ids.to_pylist()
-            ordered: list[bytes] = [b""] * len(raw)
-            for p, x in zip(place.tolist(), raw):
-                ordered[p] = x
-            sizes = np.fromiter(map(len, ordered), np.int64, len(ordered)) // 4
-            flat, at = np.frombuffer(b"".join(ordered), "<u4"), common.offsets_of(sizes)
-            held.clear()
-
+        block, owner, held, table = None, None, {}, None
         for batch in batches:
-            blocks, what = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "what"))
-            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(what) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if a == b:
-                    continue
-                if blocks[a] != block:
-                    block, sizes = blocks[a], None
-                    held.clear()
-                if what[a] == 0:
-                    held.append(batch.slice(a, b - a))
-                    continue
-                if sizes is None and held:
-                    table()
-                some, out = batch.slice(a, b - a), []
-                for places, width in zip(some.column("ids").to_pylist(), some.column("width").to_pylist()):
-                    p = np.frombuffer(places, f"<u{width}")
-                    out.append(flat[common.ranges(at[p], sizes[p])].tobytes() if len(p) else b"")
-                yield pa.record_batch([some.column("key"), pa.array(out, pa.binary())], ["key", "ids"])
-
-    out = (both.repartition("block").sortWithinPartitions("block", "what")
+            keys, out = [], []
+            for i, (name, what, bucket, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "what", "bucket", "data")))):
+                if name != block:
+                    block, owner, held, table = name, None, {}, None
+                if what == 0:
+                    owner = np.frombuffer(zlib.decompress(data), "<u4")
+                elif what == 1:
+                    held[bucket] = data
+                else:
+                    if table is None:
+                        table = _table(owner, held)
+                        held = {}
+                    flat, at, sizes = table
+                    raw = zlib.decompress(data)
+                    p = np.frombuffer(raw, "<u4").astype(np.int64) if bucket else from_varints(raw)
+                    keys.append(i)
+                    out.append(flat[common.ranges(at[p], sizes[p])].tobytes())
+            yield pa.record_batch([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(out, pa.binary())], ["key", "ids"])
+
+    out = (both.repartition("block").sortWithinPartitions("block", "what", "bucket")
            .mapInArrow(together, f"key {kind}, ids binary"))
     return out.withColumnRenamed("key", key)
 
 
+def _table(owner: np.ndarray, held: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids, where each word's ids begin, how many they are): a bucket's words lie in the order of their numbers."""
+    sizes, starts, ids, before = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), [], 0
+    order = np.argsort(owner, kind="stable")
+    cuts = np.flatnonzero(np.diff(owner[order].astype(np.int64), prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        n, raw = unpacked(held[int(owner[order[a]])])
+        at = order[a:b]
+        sizes[at] = n // 4
+        starts[at] = before + np.cumsum(n // 4) - n // 4
+        ids.append(np.frombuffer(raw, "<u4"))
+        before += len(ids[-1])
+    return np.concatenate(ids) if ids else np.empty(0, "<u4"), starts, sizes
+
+
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, bytes): joins every id with the table of token bytes, which the rank file bounds.
 
