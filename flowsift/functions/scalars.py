@@ -33,6 +33,11 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == INF), None).otherwise(c)
 
 
+def scored(c: Column) -> Column:
+    """A score as double, NULL where it is missing or NaN: Spark orders NaN above all numbers."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def round_even(c: Column, digits: int) -> Column:
     """Multiply, round half to even, divide: numpy's rounding formula."""
     scale = float(10 ** digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.functions.scalars import q
+from flowsift.functions.scalars import q, scored
 from flowsift.functions.severity import name_of, probability_band, rank
 from flowsift.operators.alerts import first_rule
 
@@ -76,12 +76,14 @@ def threshold_column(profile: Column, thresholds: dict[str, float] | None = None
 
 
 def verdicts(df: DataFrame, score: str, threshold: Column | float) -> DataFrame:
-    """Add ``ml``: the unrounded probability is compared, the reported one has 6 decimals."""
+    """Add ``ml``: the unrounded probability is compared, the reported one has 6 decimals.
+    A missing score and NaN are BENIGN."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    attack = F.coalesce(q(score) >= limit, F.lit(False))
+    value = scored(q(score))
+    attack = F.coalesce(value >= limit, F.lit(False))
     return df.withColumn("ml", F.struct(
         F.when(attack, "ATTACK").otherwise("BENIGN").alias("prediction"),
-        (F.rint(q(score) * 1e6) / 1e6).alias("probability"), limit.cast("double").alias("threshold"),
+        (F.rint(value * 1e6) / 1e6).alias("probability"), limit.cast("double").alias("threshold"),
         attack.alias("is_intrusion")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.functions.scalars import INF, count_where, q, ratio
+from flowsift.functions.scalars import INF, count_where, q, ratio, scored as _score
 from flowsift.operators.order import _bucketize, _cuts, default_buckets
 
 # The 17 sweep thresholds, 0.1 to 0.9. The step is the double between the first two, as numpy's
@@ -48,11 +48,12 @@ def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label")
 
     Rows are first counted per score. Distinct scores go to range buckets cut at quantiles of
     the score; running sums are taken inside a bucket and shifted by the totals of the buckets
-    above, a table with as many rows as buckets. ``next_pos``/``next_neg`` are the counts of the
+    above, a table with as many rows as buckets. Rows without a score or with NaN stand below all others. ``next_pos``/``next_neg`` are the counts of the
     next lower score, also across a bucket border.
     """
     n = default_buckets(df)
-    scored = df.select(q(score).cast("double").alias("score"), q(label).alias("label")).filter("score is not null")
+    # A row without a score is below every threshold, as in a verdict.
+    scored = df.select(F.coalesce(_score(q(score)), F.lit(-INF)).alias("score"), q(label).alias("label"))
     quantiles = scored.approxQuantile("score", [i / n for i in range(1, n)], 1.0 / (4 * n))
     per_score = scored.groupBy("score").agg(F.sum(F.col("label").cast("bigint")).alias("pos"),
                                             F.count("*").alias("k"))
@@ -68,7 +69,7 @@ def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label")
                       F.sum("_n").over(Window.partitionBy()).alias("N"),
                       F.lead("_hp").over(above).alias("_np"), F.lead("_hn").over(above).alias("_nn")))
     inside = Window.partitionBy("_b").orderBy(F.col("score").desc())
-    return (bucketed.join(F.broadcast(totals), "_b")
+    return (bucketed.join(totals, "_b")
             .select("score", "pos", "neg",
                     (F.col("_tp") + F.sum("pos").over(inside)).alias("tp"),
                     (F.col("_fp") + F.sum("neg").over(inside)).alias("fp"), "P", "N",
@@ -143,7 +144,7 @@ def binary_metrics(df: DataFrame, score: str = "score", label: str = "label", th
 
 def class_report(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and support: both classes, accuracy, macro and weighted average."""
-    counts = _pick_counts(q(score) >= threshold, q(label))
+    counts = _pick_counts(F.coalesce(_score(q(score)) >= threshold, F.lit(False)), q(label))
     row = df.agg(*[c.alias(n) for n, c in counts.items()])
     tp, fp, fn, tn = _cells()
     n0, n1 = tn + fp, tp + fn
@@ -166,7 +167,7 @@ def threshold_sweep(df: DataFrame, score: str = "score", label: str = "label") -
     """Metrics at 17 thresholds, all counted in one pass. Thresholds are compared unrounded."""
     sums: list[Column] = [count_where(q(label) == 1).alias("P"), count_where(q(label) == 0).alias("N")]
     for i, t in enumerate(SWEEP):
-        flag = q(score) >= t
+        flag = _score(q(score)) >= t
         sums += [count_where(flag & (q(label) == 1)).alias(f"tp{i}"), count_where(flag & (q(label) == 0)).alias(f"fp{i}")]
     lines = F.array(*[F.struct(F.lit(round(t, 2)).alias("threshold"), F.col(f"tp{i}").alias("tp"),
                                F.col(f"fp{i}").alias("fp"), (F.col("P") - F.col(f"tp{i}")).alias("fn"),

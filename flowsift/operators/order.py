@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.functions.scalars import INF, q
+from flowsift.functions.scalars import FLOATS, INF, q
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -36,20 +36,30 @@ def _bucketize(df: DataFrame, source: str, out: str, cuts: list[float]) -> DataF
     return Bucketizer(splits=cuts, inputCol=source, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def sort_key(df: DataFrame, key: str) -> Column:
+    """The key as it is ordered by: missing ones and NaN as 0, whole numbers without rounding to double."""
+    kind = next(f.dataType for f in df.schema.fields if f.name == key)
+    c = q(key)
+    return F.coalesce(F.nanvl(c, F.lit(0.0)) if isinstance(kind, FLOATS) else c, F.lit(0))
+
+
 def range_buckets(df: DataFrame, key: str, ordinal: str, buckets: int | None = None) -> DataFrame:
     """Add ``_b`` and ``_s``: all rows of a smaller (_b, _s) precede those of a larger one in
     (key, ordinal) order, and no pair holds much more than its share of the rows.
 
     One pass collects 2 x ``buckets`` quantiles to the driver. A value that spans m > 1 of the n
     key quantiles is cut by min(n, m^2) quantiles of the ordinal, so there are never more than
-    about n^1.5 pairs. Missing keys sort as 0.
+    about n^1.5 pairs. Missing keys and NaN sort as 0. Whole numbers beyond 2^53 can be equal as
+    doubles and yet differ, so such a value is not cut by the ordinal.
     """
     n = buckets or default_buckets(df)
-    keyed = (df.withColumn("_k", F.coalesce(q(key).cast("double"), F.lit(0.0)))
+    keyed = (df.withColumn("_k", sort_key(df, key).cast("double"))
              .withColumn("_o", q(ordinal).cast("double")))
     probs = [i / n for i in range(1, n)]
     key_q, ord_q = keyed.approxQuantile(["_k", "_o"], probs, 1.0 / (4 * n))
     key_cuts, hot = _cuts(key_q)
+    if dict(df.dtypes)[key] not in ("double", "float"):
+        hot = [v for v in hot if abs(v) <= 2.0 ** 53]
     tagged = _bucketize(keyed, "_k", "_b", key_cuts)
     if not hot:
         return tagged.withColumn("_s", F.lit(0.0)).drop("_k", "_o")
@@ -67,20 +77,20 @@ def with_offsets(tagged: DataFrame, cells: list[str], within: list[str] | None =
     """Add ``_off``: rows in the earlier cells (of the same ``within`` group).
 
     The table of cells has one row per bucket, a number bounded by the bucket count and not by
-    the data, so the one-task running sum and the broadcast stay small.
+    the data, so the one-task running sum stays small; Spark broadcasts it if its size allows.
     """
     group = within or []
     sizes = tagged.groupBy(*group, *cells).agg(F.count("*").alias("_n"))
     spec = Window.partitionBy(*group).orderBy(*cells) if group else Window.orderBy(*cells)
     offsets = sizes.select(*group, *cells, (F.sum("_n").over(spec) - F.col("_n")).alias("_off"))
-    return tagged.join(F.broadcast(offsets), [*group, *cells])
+    return tagged.join(offsets, [*group, *cells])
 
 
 def global_row_number(df: DataFrame, key: str, ordinal: str, out: str = "rn",
                       buckets: int | None = None) -> DataFrame:
-    """1-based position in (key, ordinal) order over the whole table; missing keys sort as 0."""
+    """1-based position in (key, ordinal) order over the whole table; missing keys and NaN sort as 0."""
     tagged = with_offsets(range_buckets(df, key, ordinal, buckets), ["_b", "_s"])
-    inside = Window.partitionBy("_b", "_s").orderBy(F.coalesce(q(key).cast("double"), F.lit(0.0)), q(ordinal))
+    inside = Window.partitionBy("_b", "_s").orderBy(sort_key(df, key), q(ordinal))
     return (tagged.withColumn(out, F.col("_off") + F.row_number().over(inside))
             .drop("_b", "_s", "_off"))
 
@@ -130,25 +140,35 @@ def split_stratified(df: DataFrame, identifier: str, label: str | None = "label"
                      ratios: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """Add ``split`` (train / validation / test) with exact sizes per class.
 
-    Rows are ranked inside their class by a seeded hash. The first three hex digits of the hash
-    bucket the rank, so a class of any size is cut into 4,096 level pieces. ``label=None``
-    splits without strata. Ranking shuffles by (class, piece) and the join with the offsets has
-    the same keys, so Spark needs no broadcast to do both with one shuffle of the rows.
+    Rows stand in the order of a seeded hash inside their class, and a class is cut at two places.
+    One aggregate counts rows per (class, piece of the hash); only the pieces that hold a cut
+    are ranked, which gives the (hash, id) pair at each cut. A map-only pass then compares every row
+    with the two pairs of its class. Pieces are hash prefixes whose number follows the row
+    count, so a piece stays small. Rows whose (hash, id) pairs are equal go to the same part.
+    ``label=None`` splits without strata.
     """
-    stratum = q(label).cast("string") if label else F.lit("all")
-    hashed = (df.withColumn("stratum", F.coalesce(stratum, F.lit("")))
-              .withColumn("_h", seeded_hash(identifier, seed))
-              .withColumn("_b", F.substring("_h", 1, 3)))
-    cells = hashed.groupBy("stratum", "_b").agg(F.count("*").alias("_n"))
-    offset = F.sum("_n").over(Window.partitionBy("stratum").orderBy("_b")) - F.col("_n")
-    offsets = cells.select("stratum", "_b", offset.alias("_off"))
-    sizes = split_sizes(cells.groupBy("stratum").agg(F.sum("_n").alias("n")), ratios)
-    bounds = offsets.join(sizes, "stratum")
-    inside = Window.partitionBy("stratum", "_b").orderBy("_h", q(identifier))
-    position = F.col("_off") + F.row_number().over(inside)
-    split = (F.when(position <= F.col("n_train"), "train")
-             .when(position <= F.col("n_train") + F.col("n_val"), "validation")
-             .otherwise("test"))
-    return (hashed.join(bounds, ["stratum", "_b"])
-            .withColumn("split", split)
-            .select(*df.columns, "split"))
+    stratum = F.coalesce(q(label).cast("string") if label else F.lit("all"), F.lit(""))
+    place = F.struct(seeded_hash(identifier, seed).alias("h"), q(identifier).alias("id"))
+    slim = df.select(stratum.alias("stratum"), place.alias("place"))
+    rows = slim.groupBy("stratum").agg(F.count("*").alias("n"))
+    sizes = split_sizes(rows, ratios)
+    # About 16,000 rows a piece, by the largest class; hex digits of the prefix follow.
+    most = rows.agg(F.max("n").alias("m")).first()["m"] or 0
+    digits = max(1, math.ceil(math.log(max(1, most / 16_000), 16)) if most > 16_000 else 1)
+    piece = F.substring(F.col("place.h"), 1, digits)
+    cells = slim.groupBy("stratum", piece.alias("piece")).agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("stratum").orderBy("piece")) - F.col("k")
+    cut = F.explode(F.array(F.struct(F.lit(1).alias("cut"), F.col("n_train").alias("at")),
+                            F.struct(F.lit(2).alias("cut"), (F.col("n_train") + F.col("n_val")).alias("at"))))
+    cuts = (cells.select("stratum", "piece", "k", before.alias("before")).join(sizes.select("stratum", cut.alias("c")), "stratum")
+            .where((F.col("c.at") > F.col("before")) & (F.col("c.at") <= F.col("before") + F.col("k")))
+            .select("stratum", "piece", F.col("c.cut").alias("cut"), (F.col("c.at") - F.col("before")).alias("rank")))
+    inside = slim.withColumn("piece", piece).join(cuts, ["stratum", "piece"])
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "piece", "cut").orderBy("place")))
+    last = (ranked.where("r = rank").groupBy("stratum")
+            .agg(F.max(F.when(F.col("cut") == 1, F.col("place"))).alias("train"), F.max(F.when(F.col("cut") == 2, F.col("place"))).alias("val")))
+    # One row per class; a cut at 0 has no pair, so no row lies before it.
+    bounds = last.select(F.col("stratum").alias("_stratum"), F.col("train").alias("_train"), F.col("val").alias("_val"))
+    joined = df.withColumn("_s", stratum).withColumn("_p", place).join(bounds, F.col("_s") == F.col("_stratum"), "left")
+    split = (F.when(F.col("_p") <= F.col("_train"), "train").when(F.col("_p") <= F.col("_val"), "validation").otherwise("test"))
+    return joined.withColumn("split", split).select(*[q(c) for c in df.columns], "split")

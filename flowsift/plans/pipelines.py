@@ -182,9 +182,12 @@ def run_detection(flows: DataFrame, fitted: PipelineModel, features: Sequence[st
     detections = fuse.detection_rows(judged, flow_id, analysis_id)
     results = {"detections": detections, "summaries": views.run_summary(judged, analysis_id)}
     if explain:
+        # The judged row travels through the attribution: flow ids are unique within a run only.
         hits = judged.filter("is_intrusion")
-        why = attribution.attribute(prepared(hits, [flow_id]), fitted, features, [flow_id]).select(flow_id, "attributions")
-        listed = hits.withColumn("detection_id", fuse.detection_id(flow_id, analysis_id)).join(why, flow_id)
+        packed = hits.withColumn("_judged", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        why = attribution.attribute(prepared(packed, ["_judged"]), fitted, features, ["_judged"])
+        back = F.from_json("_judged", hits.schema).alias("j")
+        listed = why.select(back, "attributions").select("j.*", "attributions").withColumn("detection_id", fuse.detection_id(flow_id, analysis_id))
         results["incidents"] = reports.incident_report(reports.incidents(listed))
     if out:
         sinks.write_detections(detections, results["summaries"], out)

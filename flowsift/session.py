@@ -18,8 +18,10 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, name: str = "flowsift", memory: str = "12g") -> SparkSession:
-    """Single-JVM session for tests and the benchmark."""
+def local_session(cores: int | str = 8, name: str = "flowsift", memory: str = "12g",
+                  shared: str | None = None) -> SparkSession:
+    """Single-JVM session for tests and the benchmark; ``shared`` is its folder for written tables, which
+    Spark takes at the start only."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
@@ -29,6 +31,8 @@ def local_session(cores: int | str = 8, name: str = "flowsift", memory: str = "1
                .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -42,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured  # whether other machines see the folder is the cluster's to say
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     fallback = os.path.join(tempfile.gettempdir(), "flowsift-shared")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,18 @@ def parse_alert_lines(df: DataFrame, column: str, ordinal: str) -> DataFrame:
     return flatten_alerts(is_alert(parsed.select("alert_ord", "e.*")))
 
 
+def typed(field: T.StructField) -> Column:
+    """A text field in its type; what doesn't fit is NULL and costs that field only."""
+    c = q(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return c
+    kind = field.dataType.simpleString()
+    number = c.try_cast(kind)
+    if kind in ("int", "bigint"):
+        number = F.coalesce(number, F.floor(c.try_cast("double")).try_cast(kind))
+    return number.alias(field.name)
+
+
 def read_conn_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """conn, http and ftp tables of a log folder, empty where a log is absent.
 
@@ -52,6 +64,10 @@ def read_conn_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for stem, schema in CONN_LOGS.items():
         path = f"{folder}/{stem}.log"
         empty = T.StructType([T.StructField("ord", T.LongType()), *schema.fields])
-        rows = read_json_lines(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], empty)
+        if path_exists(spark, path):
+            text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+            rows = read_json_lines(spark, path, text).select("ord", *[typed(f) for f in schema.fields])
+        else:
+            rows = spark.createDataFrame([], empty)
         out[stem] = rows.toDF(*[{"user": "usr"}.get(c, c.removeprefix("id.")) for c in rows.columns])
     return out

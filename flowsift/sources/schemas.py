@@ -136,7 +136,7 @@ ALERT_LOG = T.StructType([
 
 CONN_LOGS = {
     "conn": T.StructType([
-        T.StructField("ts", T.DoubleType()), T.StructField("uid", T.StringType()),
+        T.StructField("uid", T.StringType()),
         T.StructField("id.orig_h", T.StringType()), T.StructField("id.resp_h", T.StringType()),
         T.StructField("id.orig_p", T.IntegerType()), T.StructField("id.resp_p", T.IntegerType()),
         T.StructField("duration", T.DoubleType()), T.StructField("proto", T.StringType()),

@@ -10,10 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from flowsift.session import local_session
 
-    session = local_session(8, "flowsift-tests", memory="8g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    return local_session(8, "flowsift-tests", memory="8g", shared=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
