@@ -398,6 +398,18 @@ ORACLE: dict[str, str] = {
    CASE WHEN d THEN 'SIG-HIGH-VOLUME-TCP' END) AS matched_rules FROM f""",
     "rules_empty": ctes("flows") + " SELECT flow_id, false AS is_intrusion, 'NONE' AS severity FROM flows",
     "match_alerts": MATCHED + " SELECT flow_id, fired AS is_intrusion, matched_rules, rule_hits, n_alerts, sig_severity AS severity, first_rule, details FROM sig",
+    "match_alerts_aliases": ctes("flows", "alerts") + """ SELECT f.flow_id, count(a.alert_ord) AS n_alerts, count(a.alert_ord) > 0 AS is_intrusion FROM flows f
+  LEFT JOIN alerts a ON (f.src_ip = a.src_ip AND f.dst_ip = a.dst_ip AND f.dst_port = a.dst_port)
+   OR (f.src_ip = a.dst_ip AND f.dst_ip = a.src_ip AND f.dst_port = a.src_port) GROUP BY f.flow_id""",
+    "row_number_gaps": ctes("raw_flows") + """ SELECT ord, row_number() OVER (
+  ORDER BY CASE WHEN flow_bytes_s IS NULL OR isnan(flow_bytes_s) THEN 0 ELSE flow_bytes_s END, ord) AS rn FROM raw_flows""",
+    "metrics_unscored": ctes("flows") + f""", s AS (SELECT label, CASE WHEN flow_id % 9 < 2 THEN FALSE ELSE score >= 0.5 END AS flag FROM flows),
+ c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 1 AND flag) AS tp FROM s)
+ SELECT 'metrics' AS source, {r('tp::DOUBLE / p')} AS recall, n FROM c UNION ALL SELECT 'report', {r('tp::DOUBLE / p')}, p FROM c
+ UNION ALL SELECT 'sweep', {r('tp::DOUBLE / p')}, 0 FROM c""",
+    "conn_log_lines": ctes("conn") + """ SELECT uid, orig_h, orig_p::BIGINT AS orig_p,
+  CASE WHEN ord % 5 = 0 THEN -1 ELSE orig_pkts END AS orig_pkts FROM conn WHERE ord % 7 <> 0""",
+    "explained_incidents": "SELECT unnest(['run-a', 'run-b']) AS analysis_id, 0::BIGINT AS surplus",
     "match_alerts_gravest": MATCHED + " SELECT flow_id, n_alerts, gravest AS severity FROM sig",
     "verdicts": ctes("flows") + f""", p AS (SELECT flow_id, score, CASE flow_id % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'c' ELSE 'other' END AS profile FROM flows),
  t AS (SELECT *, CASE profile WHEN 'u' THEN 0.5 WHEN 'c' THEN 0.75 ELSE 0.5 END::DOUBLE AS threshold FROM p)

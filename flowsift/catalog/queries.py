@@ -20,7 +20,7 @@ from flowsift.operators import (alerts, attribution, clean, common_schema, conne
                                 order, packets, reports, rules, views)
 from flowsift.plans import pipelines
 from flowsift.plans.pipelines import hybrid_detection
-from flowsift.session import materialise
+from flowsift.session import materialise, scratch_path
 from flowsift.sources import flows as flow_sources
 from flowsift.sources import logs, sinks
 from flowsift.sources.schemas import EXPORTER
@@ -287,6 +287,45 @@ def class_weight(spark, sf):
     return plain(metrics.class_weight(_scored(spark, sf)))
 
 
+def row_number_gaps(spark, sf):
+    """Order by a key with missing values, NaN and infinities; many rows share a value."""
+    return order.global_row_number(table(spark, sf, "raw_flows").select("ord", "flow_bytes_s"), "flow_bytes_s", "ord", buckets=32).select("ord", "rn")
+
+
+def metrics_unscored(spark, sf):
+    """Recall by three tables of an evaluation over flows of which some have no score or NaN."""
+    gaps = F.when(F.col("flow_id") % 9 == 0, None).when(F.col("flow_id") % 9 == 1, float("nan")).otherwise(F.col("score"))
+    df = table(spark, sf, "flows").select(gaps.alias("score"), "label")
+    whole = metrics.binary_metrics(df).select(F.lit("metrics").alias("source"), F.col("true_positive_rate").alias("recall"), F.col("total_samples").alias("n"))
+    report = metrics.class_report(df).where("class_name = 'ATTACK'").select(F.lit("report"), "recall", F.col("support").alias("n"))
+    sweep = metrics.threshold_sweep(df).where("threshold = 0.5").select(F.lit("sweep"), "recall", F.lit(None).cast("long"))
+    return plain(whole.union(report).union(sweep)).select("source", "recall", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def conn_log_lines(spark, sf):
+    """Connection log lines with times as text, ports as text and unusable numbers, read from a written log."""
+    folder = scratch_path(spark, "logs")
+    conn = table(spark, sf, "conn")
+    port = F.when(F.col("ord") % 2 == 0, F.concat(F.lit('"'), F.col("orig_p"), F.lit('"'))).otherwise(F.col("orig_p").cast("string"))
+    line = F.concat(F.lit('{"ts":"2024-01-01T00:00:00Z","uid":"'), F.col("uid"), F.lit('","id.orig_h":"'), F.col("orig_h"), F.lit('","id.orig_p":'), port,
+                    F.lit(',"orig_pkts":'), F.when(F.col("ord") % 5 == 0, '"-"').otherwise(F.col("orig_pkts").cast("string")), F.lit("}"))
+    conn.select(F.when(F.col("ord") % 7 == 0, "{broken").otherwise(line).alias("value")).write.text(f"{folder}/conn.log")
+    rows = logs.read_conn_logs(spark, folder)["conn"]
+    return plain(rows.select("uid", "orig_h", "orig_p", F.coalesce("orig_pkts", F.lit(-1)).alias("orig_pkts")))
+
+
+def explained_incidents(spark, sf):
+    """Incidents with indicators less intrusions, per run; flow ids repeat between the runs."""
+    fitted, matrix = _trained(spark, sf)
+    flows = matrix.drop("split").withColumn("analysis_id", F.explode(F.array(F.lit("run-a"), F.lit("run-b"))))
+    # The ends come from the flow table; the model needs none of them.
+    ends = table(spark, sf, "flows").select("flow_id", "src_ip", "dst_ip", "src_port")
+    found = pipelines.run_detection(flows.join(ends, "flow_id"), fitted, MODEL_FEATURES, 0.5, explain=True)
+    hits = found["detections"].where("is_intrusion").groupBy("analysis_id").agg(F.count("*").alias("a"))
+    told = found["incidents"].groupBy("analysis_id").agg(F.count("*").alias("b"))
+    return hits.join(told, "analysis_id", "full").select("analysis_id", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("surplus"))
+
+
 def binary_metrics(spark, sf):
     return plain(metrics.binary_metrics(_scored(spark, sf)))
 
@@ -373,6 +412,13 @@ def match_alerts(spark, sf):
     return _sig_text(alerts.match_alerts(table(spark, sf, "flows"), table(spark, sf, "alerts")))
 
 
+def match_alerts_aliases(spark, sf):
+    """Flows with the other exporters' field names and without source ports."""
+    flows = table(spark, sf, "flows").withColumnsRenamed({"src_ip": "source_ip", "dst_ip": "destination_ip", "dst_port": "destination_port"})
+    matched = alerts.match_alerts(flows.drop("src_port"), table(spark, sf, "alerts"))
+    return plain(matched.select("flow_id", "sig.n_alerts", "sig.is_intrusion"))
+
+
 def match_alerts_gravest(spark, sf):
     return _sig_text(alerts.match_alerts(table(spark, sf, "flows"), table(spark, sf, "alerts"), gravest=True)).select(
         "flow_id", "n_alerts", "severity")
@@ -594,6 +640,7 @@ QUERIES: dict[str, Query] = {
         rule_signatures, rules_empty, match_alerts, match_alerts_gravest, verdicts, fuse_verdicts,
         severity_detection, severity_incident, detection_rows, run_summary, detections_store, kpi_totals,
         kpi_severity, kpi_trigger, breakdown_protocol, top_src, top_dst, recent_incidents, activity_series,
+        row_number_gaps, metrics_unscored, conn_log_lines, explained_incidents, match_alerts_aliases,
         incident_filter, incident_count, incidents, incident_report, run_report, report_rows, top_features,
         attributions_linear, global_attribution_linear, train_model, score_flows, feature_importance, attributions,
         global_attribution)},

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.scalars import q
 from flowsift.session import materialise
 
 # Fixed value: alerts whose signature contains this text are noise of the capture point.
@@ -36,9 +37,23 @@ def flatten_alerts(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("alert.severity").try_cast("int"), F.lit(3)).alias("severity"))
 
 
-def _mask() -> Column:
+# The other name an end field may have.
+OTHER_NAMES = {"src_ip": "source_ip", "dst_ip": "destination_ip", "src_port": "source_port", "dst_port": "destination_port"}
+
+
+def _ends(flows: DataFrame) -> dict[str, Column]:
+    """The four end fields of a flow, from their name or their other name; an absent field is unknown."""
+    out = {}
+    for name in ENDS:
+        source = next((n for n in (name, OTHER_NAMES[name]) if n in flows.columns), None)
+        kind = "int" if name.endswith("port") else "string"
+        out[name] = (q(source).try_cast(kind) if source else F.lit(None).cast(kind)).alias(name)
+    return out
+
+
+def _mask(ends: dict[str, Column]) -> Column:
     """Four bits telling which of a flow's end fields are known; an unknown field matches all."""
-    return reduce(Column.__add__, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(ENDS)])
+    return reduce(Column.__add__, [F.when(ends[c].isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(ENDS)])
 
 
 def alert_index(flows: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -56,7 +71,7 @@ def alert_index(flows: DataFrame, alerts: DataFrame) -> DataFrame:
                 .groupBy(*ENDS, *rule)
                 .agg(F.count("*").alias("hits"), F.min("alert_ord").alias("first_ord"),
                      F.max("severity").alias("max_severity"), F.min("severity").alias("min_severity")))
-    masks = flows.select(_mask().alias("mask")).distinct()
+    masks = flows.select(_mask(_ends(flows)).alias("mask")).distinct()
 
     def key(fields: list[str]) -> Column:
         cells = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(c)).alias(f"k_{ENDS[i]}")
@@ -117,17 +132,18 @@ def no_match(engine: str = "signatures") -> Column:
 def match_alerts(flows: DataFrame, alerts: DataFrame, gravest: bool = False, engine: str = "signatures") -> DataFrame:
     """Flows with ``sig``: alerts whose ends equal the flow's, as they are or swapped.
 
-    A flow field that is NULL matches any value. Each flow has exactly one key and each key one
+    A flow field that is NULL or absent matches any value; fields may have their other names. Each flow has exactly one key and each key one
     row, so this is one left equi-join with as many rows as flows: no pair of flow and alert is
     ever formed, and the verdict is put together once per key. The index is written first, so
     Spark plans with its real size: a small one is broadcast and the flows are not shuffled at
     all; for a large one both sides are shuffled and a hot key is split on the flow side.
     """
     index = materialise(rollup_alerts(alert_index(flows, alerts), gravest, engine), "alert-index")
-    keyed = flows.withColumn("mask", _mask())
-    on = reduce(Column.__and__, [keyed[c].eqNullSafe(index[f"k_{c}"]) for c in ENDS])
+    ends = _ends(flows)
+    keyed = flows.select(F.struct(*[q(c) for c in flows.columns]).alias("flow"), _mask(ends).alias("mask"), F.struct(*ends.values()).alias("e"))
+    on = reduce(Column.__and__, [keyed[f"e.{c}"].eqNullSafe(index[f"k_{c}"]) for c in ENDS])
     joined = keyed.join(index, (keyed["mask"] == index["mask"]) & on, "left")
-    return joined.select(*[keyed[c] for c in flows.columns], F.coalesce(index["sig"], no_match(engine)).alias("sig"))
+    return joined.select("flow.*", F.coalesce(index["sig"], no_match(engine)).alias("sig"))
 
 
 def first_rule(rules: Column) -> Column:

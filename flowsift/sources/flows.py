@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,6 @@ log = logging.getLogger("flowsift.sources")
 
 TypeOf = Callable[[str], T.DataType]
 
-# A file index and Spark's own row id share one 63-bit ordinal.
-ROW_BITS = 53
-MAX_FILES = 1 << (62 - ROW_BITS)
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -59,47 +56,128 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names(df.columns))
 
 
+def data_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files behind paths, folders and patterns, in the order given and by name within one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(conf)
+        for status in sorted(system.globStatus(target), key=lambda s: s.getPath().toString()):
+            listed = [status] if status.isFile() else [s for s in system.listStatus(status.getPath()) if s.isFile()]
+            names = [s.getPath() for s in listed if s.getPath().getName()[0] not in "._"]
+            out += sorted(p.toString() for p in names)
+    return out
+
+
 def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """Names in the first line. Only that line is read."""
-    row = spark.read.csv(path, header=False, encoding=encoding).limit(1).first()
-    return [] if row is None else [v or "" for v in row]
+    """Names in the first line of a file. Only that line is read, without a job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(conf).open(target)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), encoding))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+
+
+def _same_path(column: Column) -> Column:
+    """A file's address in one spelling: local ones come with one slash or three."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
 
 
-def _with_ordinal(df: DataFrame, file_index: int, ordinal: str | None) -> DataFrame:
-    """File position and row position as one number.
+def charset_of(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """UTF-8, or Latin-1 for the files that are no valid UTF-8. One pass over the files."""
+    marked = (spark.read.text(list(files)).select("value", _same_path(F.col("_metadata.file_path")).alias("file"))
+              .filter(~F.is_valid_utf8("value")).select("file").distinct())
+    latin = {r["file"] for r in marked.collect()}  # at most one row per file
+    return {f: "ISO-8859-1" if _address(spark, f) in latin else "UTF-8" for f in files}
 
-    Taken straight on the scan of one file, whose splits are in file order, Spark's row id
-    grows with the position in the file.
+
+def _address(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file metadata spells it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(conf).makeQualified(target).toUri()
+    return "file:/" + full.toString().removeprefix("file:").lstrip("/") if full.getScheme() == "file" else full.toString()
+
+
+def with_file_order(df: DataFrame, order: dict[str, int], ordinal: str) -> DataFrame:
+    """Number rows from 0 in the order of files, then of rows in a file; ``df`` is a scan with column ``_at``
+    (file, block, row id).
+
+    Spark's row id grows along a block of a file, and blocks are known by their start. One aggregate
+    gives the span of row ids of each block, running sums over the blocks (not the rows) the number
+    where each begins.
     """
+    spark = df.sparkSession
+    files = spark.createDataFrame(list(order.items()), "file string, nth long")
+    spans = (df.select("_at").groupBy("_at.file", "_at.block")
+             .agg(F.min("_at.row").alias("low"), (F.max("_at.row") - F.min("_at.row") + 1).alias("n")).join(files, "file"))
+    before = F.sum("n").over(Window.orderBy("nth", "block")) - F.col("n")
+    starts = spans.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (before - F.col("low")).alias("_shift"))
+    joined = df.join(starts, (F.col("_at.file") == F.col("_file")) & (F.col("_at.block") == F.col("_block")))
+    number = (F.col("_at.row") + F.col("_shift")).alias(ordinal)
+    return joined.select(*[number if c == "_at" else q(c) for c in df.columns])
+
+
+def _scan(spark: SparkSession, files: Sequence[str], names: Sequence[str], type_of: TypeOf, encoding: str, header: bool,
+          at: bool) -> DataFrame:
+    """One scan of files with the same columns."""
+    schema = T.StructType([T.StructField(f"c{i}", type_of(n)) for i, n in enumerate(names)])
+    rows = spark.read.csv(list(files), header=header, schema=schema, encoding=encoding, mode="PERMISSIVE",
+                          enforceSchema=True, ignoreLeadingWhiteSpace=header, ignoreTrailingWhiteSpace=False)
+    columns = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+    if at:
+        place = F.struct(_same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("row"))
+        columns.append(place.alias("_at"))
+    return rows.select(*columns)
+
+
+def _read_files(spark: SparkSession, paths: Sequence[str], type_of: TypeOf, encoding: str | dict[str, str] | None,
+                ordinal: str | None, names: Sequence[str] | None = None) -> DataFrame:
+    """All files, one scan per distinct header and charset, aligned by column name."""
+    files = data_files(spark, existing(spark, paths))
+    if encoding is None:
+        charsets = charset_of(spark, files)
+    else:
+        charsets = {f: encoding.get(f, "UTF-8") if isinstance(encoding, dict) else encoding for f in files}
+        if isinstance(encoding, dict):
+            charsets |= {f: encoding[p] for p in encoding for f in data_files(spark, [p]) if f in charsets}
+    groups: dict[tuple, list[str]] = {}
+    for f in files:
+        head = tuple(names) if names else tuple(unique_names(_header(spark, f, charsets[f])))
+        groups.setdefault((head, charsets[f]), []).append(f)
+    parts = [_scan(spark, members, head, type_of, charset, names is None, ordinal is not None)
+             for (head, charset), members in groups.items()]
+    for i, differing in enumerate(column_differences(parts), 2):
+        if differing:
+            log.warning("header %d differs in columns: %s", i, sorted(differing))
+    whole = union_flows(parts, allow_missing=True)
     if ordinal is None:
-        return df
-    if file_index >= MAX_FILES:
-        raise ValueError(f"an ordinal covers at most {MAX_FILES} files; combine files or supply an ordinal column")
-    return df.withColumn(ordinal, F.lit(file_index << ROW_BITS).cast("bigint") + F.monotonically_increasing_id())
+        return whole
+    return with_file_order(whole, {_address(spark, f): i for i, f in reversed(list(enumerate(files)))}, ordinal)
 
 
-def read_flow_csv(spark: SparkSession, path: str, type_of: TypeOf = type_c, encoding: str = "UTF-8",
-                  file_index: int = 0, ordinal: str | None = None) -> DataFrame:
-    """One headered CSV, columns typed by name. Spark replaces undecodable bytes instead of
-    failing, so a Latin-1 file needs ``encoding='ISO-8859-1'``."""
-    names = unique_names(_header(spark, path, encoding))
-    schema = T.StructType([T.StructField(f"c{i}", type_of(n)) for i, n in enumerate(names)])
-    rows = spark.read.csv(path, header=True, schema=schema, encoding=encoding, mode="PERMISSIVE",
-                          enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False)
-    return _with_ordinal(rows.toDF(*names), file_index, ordinal)
+def read_flow_csv(spark: SparkSession, path: str, type_of: TypeOf = type_c, encoding: str | None = None,
+                  ordinal: str | None = None) -> DataFrame:
+    """One headered CSV, columns typed by name. Without ``encoding`` it is read as UTF-8, or as Latin-1 where it
+    is no valid UTF-8."""
+    return _read_files(spark, [path], type_of, encoding, ordinal)
 
 
 def read_flow_csvs(spark: SparkSession, paths: Sequence[str], type_of: TypeOf = type_c,
-                   encoding: str | dict[str, str] = "UTF-8", ordinal: str | None = None) -> DataFrame:
-    """All files that exist, aligned by column name; absent columns are NULL, infinities too."""
-    def charset(path: str) -> str:
-        return encoding.get(path, "UTF-8") if isinstance(encoding, dict) else encoding
+                   encoding: str | dict[str, str] | None = None, ordinal: str | None = None) -> DataFrame:
+    """All files that exist, aligned by column name; absent columns are NULL, infinities too.
 
-    parts = [read_flow_csv(spark, p, type_of, charset(p), i, ordinal) for i, p in enumerate(existing(spark, paths))]
-    for i, names in enumerate(column_differences(parts), 2):
-        if names:
-            log.warning("file %d differs in columns: %s", i, sorted(names))
-    return inf_to_null(union_flows(parts, allow_missing=True))
+    Files with the same header share one scan, so thousands of files make a small plan. ``ordinal``
+    numbers the rows by file, then by row.
+    """
+    return inf_to_null(_read_files(spark, paths, type_of, encoding, ordinal))
 
 
 def feature_names_from(spark: SparkSession, path: str, column: str = "Name", encoding: str = "ISO-8859-1") -> list[str]:
@@ -109,7 +187,7 @@ def feature_names_from(spark: SparkSession, path: str, column: str = "Name", enc
 
 
 def read_headerless(spark: SparkSession, paths: Sequence[str], names_path: str | None = None,
-                    type_of: TypeOf = type_u, ordinal: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+                    type_of: TypeOf = type_u, ordinal: str | None = None, encoding: str | None = None) -> DataFrame:
     """CSV without header, named by a feature dictionary if there is one, else by the default
     list."""
     names = RAW_U
@@ -117,10 +195,7 @@ def read_headerless(spark: SparkSession, paths: Sequence[str], names_path: str |
         names = feature_names_from(spark, names_path)
     elif names_path:
         log.warning("feature dictionary not found: %s; using the default names", names_path)
-    schema = T.StructType([T.StructField(f"c{i}", type_of(n)) for i, n in enumerate(names)])
-    parts = [_with_ordinal(spark.read.csv(p, header=False, schema=schema, encoding=encoding).toDF(*names), i, ordinal)
-             for i, p in enumerate(existing(spark, paths))]
-    return union_flows(parts)
+    return _read_files(spark, paths, type_of, encoding, ordinal, names)
 
 
 def presplit_names(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import logging
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsift.operators.connections import extractors
 from flowsift.operators.clean import label_from_text
@@ -131,3 +132,21 @@ def test_detection_store(spark, tmp_path):
             missing()
     plan = stored.filter("detection_id = 'd1' AND analysis_id = 'r1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(analysis_id" in plan and "EqualTo(detection_id,d1)" in plan
+
+
+def test_many_small_files_keep_their_order(spark, tmp_path):
+    """Hundreds of files of two headers and two charsets: one scan per header and charset, rows by file, then row."""
+    paths, want = [], []
+    for i in range(600):
+        path = tmp_path / f"part {(i * 7) % 600:03d}.csv"
+        names, text = (("a", "Label"), "BENIGN") if i % 2 else (("Label", "b"), "Web Attack – é")
+        rows = [(f"{i}.{j}", text) if i % 2 else (text, f"{i}.{j}") for j in range(1 + i % 3)]
+        body = "\n".join([",".join(names), *(",".join(r) for r in rows)])
+        path.write_bytes(body.replace("–", "-").encode("latin-1" if i % 10 == 0 else "utf-8"))
+        paths.append(str(path))
+        want += [(f"{i}.{j}", text.replace("–", "-")) for j in range(1 + i % 3)]
+    df = flows.read_flow_csvs(spark, paths, lambda _: T.StringType(), ordinal="ord")
+    got = [(r.a or r.b, r.Label) for r in df.orderBy("ord").collect()]
+    assert got == want
+    assert [r.ord for r in df.select("ord").orderBy("ord").collect()] == list(range(len(want)))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2 * 3 + 1
