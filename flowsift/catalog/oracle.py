@@ -403,7 +403,7 @@ ORACLE: dict[str, str] = {
    OR (f.src_ip = a.dst_ip AND f.dst_ip = a.src_ip AND f.dst_port = a.src_port) GROUP BY f.flow_id""",
     "row_number_gaps": ctes("raw_flows") + """ SELECT ord, row_number() OVER (
   ORDER BY CASE WHEN flow_bytes_s IS NULL OR isnan(flow_bytes_s) THEN 0 ELSE flow_bytes_s END, ord) AS rn FROM raw_flows""",
-    "metrics_unscored": ctes("flows") + f""", s AS (SELECT label, CASE WHEN flow_id % 9 < 2 THEN FALSE ELSE score >= 0.5 END AS flag FROM flows),
+    "metrics_unscored": ctes("flows") + f""", s AS (SELECT label, CASE WHEN flow_id % 9 < 2 THEN FALSE ELSE score >= 0.5000000000000001::DOUBLE END AS flag FROM flows),
  c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 1 AND flag) AS tp FROM s)
  SELECT 'metrics' AS source, {r('tp::DOUBLE / p')} AS recall, n FROM c UNION ALL SELECT 'report', {r('tp::DOUBLE / p')}, p FROM c
  UNION ALL SELECT 'sweep', {r('tp::DOUBLE / p')}, 0 FROM c""",

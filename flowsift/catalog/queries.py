@@ -296,8 +296,9 @@ def metrics_unscored(spark, sf):
     """Recall by three tables of an evaluation over flows of which some have no score or NaN."""
     gaps = F.when(F.col("flow_id") % 9 == 0, None).when(F.col("flow_id") % 9 == 1, float("nan")).otherwise(F.col("score"))
     df = table(spark, sf, "flows").select(gaps.alias("score"), "label")
-    whole = metrics.binary_metrics(df).select(F.lit("metrics").alias("source"), F.col("true_positive_rate").alias("recall"), F.col("total_samples").alias("n"))
-    report = metrics.class_report(df).where("class_name = 'ATTACK'").select(F.lit("report"), "recall", F.col("support").alias("n"))
+    at = metrics.SWEEP[8]  # just above 0.5
+    whole = metrics.binary_metrics(df, threshold=at).select(F.lit("metrics").alias("source"), F.col("true_positive_rate").alias("recall"), F.col("total_samples").alias("n"))
+    report = metrics.class_report(df, threshold=at).where("class_name = 'ATTACK'").select(F.lit("report"), "recall", F.col("support").alias("n"))
     sweep = metrics.threshold_sweep(df).where("threshold = 0.5").select(F.lit("sweep"), "recall", F.lit(None).cast("long"))
     return plain(whole.union(report).union(sweep)).select("source", "recall", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -319,11 +320,11 @@ def explained_incidents(spark, sf):
     fitted, matrix = _trained(spark, sf)
     flows = matrix.drop("split").withColumn("analysis_id", F.explode(F.array(F.lit("run-a"), F.lit("run-b"))))
     # The ends come from the flow table; the model needs none of them.
-    ends = table(spark, sf, "flows").select("flow_id", "src_ip", "dst_ip", "src_port")
+    ends = table(spark, sf, "flows").select("flow_id", "src_ip", "dst_ip", "src_port", "last_us")
     found = pipelines.run_detection(flows.join(ends, "flow_id"), fitted, MODEL_FEATURES, 0.5, explain=True)
-    hits = found["detections"].where("is_intrusion").groupBy("analysis_id").agg(F.count("*").alias("a"))
-    told = found["incidents"].groupBy("analysis_id").agg(F.count("*").alias("b"))
-    return hits.join(told, "analysis_id", "full").select("analysis_id", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("surplus"))
+    told = found["incidents"].where(F.size("top_features") > 0).groupBy("detection_id").agg(F.count("*").alias("n"))
+    hits = found["detections"].where("is_intrusion").join(told, "detection_id", "left")
+    return hits.groupBy("analysis_id").agg((F.sum(F.coalesce("n", F.lit(0))) - F.count("*")).alias("surplus"))
 
 
 def binary_metrics(spark, sf):

@@ -26,7 +26,7 @@ def _cuts(quantiles: list[float]) -> tuple[list[float], list[float]]:
     hot = sorted({a for a, b in zip(quantiles, quantiles[1:]) if a == b})
     borders = set(quantiles)
     for value in hot:
-        borders.add(math.nextafter(value, INF))
+        borders.add(math.nextafter(value, 0.0 if math.isinf(value) else INF))
     return [-INF, *sorted(b for b in borders if not math.isinf(b)), INF], hot
 
 
@@ -67,7 +67,8 @@ def range_buckets(df: DataFrame, key: str, ordinal: str, buckets: int | None = N
     tagged = _bucketize(tagged, "_o", "_oc", ord_cuts)
     parts = [0] * (len(key_cuts) - 1)
     for value in hot:
-        parts[key_cuts.index(value)] = min(len(ord_cuts) - 1, key_q.count(value) ** 2)
+        # Plus infinity has the last bucket to itself, any other value the one that it begins.
+        parts[len(parts) - 1 if value == INF else key_cuts.index(value)] = min(len(ord_cuts) - 1, key_q.count(value) ** 2)
     own_parts = F.get(F.lit(parts), F.col("_b").cast("int"))
     return (tagged.withColumn("_s", F.floor(F.col("_oc") * own_parts / float(len(ord_cuts) - 1)).cast("double"))
             .drop("_k", "_o", "_oc"))
