@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, ngram_join, packing, pii, quality, secrets, token_counts, url_rules
+from . import byte_bpe, chat, embedding_dedup, ngram_join, packing, pii, quality, secrets, sql, token_counts, url_rules
 from .common import read
 
 #: Place rules of the url query; longest wins.
@@ -18,7 +18,8 @@ PLACES = [url_rules.place_rule("org/", "allow"), url_rules.place_rule("example.o
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge_urls(read(spark, sf_dir, "pages"), [*PLACES, *url_rules.PATTERNS])
+    judged = url_rules.judge_urls(read(spark, sf_dir, "pages"), [*PLACES, *url_rules.PATTERNS])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE
