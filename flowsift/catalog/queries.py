@@ -464,7 +464,7 @@ def hybrid_detection_query(spark, sf):
 
 
 def detections_store(spark, sf):
-    """Store all runs, then read back one run's intrusions that both detectors saw."""
+    """Store all runs, then read the whole store back."""
     from flowsift.session import scratch_path
 
     judged = _judged(spark, sf)
@@ -544,12 +544,11 @@ def run_report(spark, sf):
 
 def report_rows(spark, sf):
     hits = _judged(spark, sf).filter("is_intrusion").withColumn("detection_id", fuse.detection_id())
-    rows = reports.report_rows(reports.incident_report(reports.incidents(hits)), hits)
-    listed = reports.report_listing(rows)
+    rows = reports.report_rows(reports.incident_report(reports.incidents(hits, ("detection_id", "sig"))))
     return plain(rows.select("detection_id", F.col("ml_analysis.prediction").alias("prediction"),
                              F.col("signature_analysis.matched").alias("matched"),
                              F.col("signature_analysis.signature").alias("signature"),
-                             F.length("report").alias("report_length")).join(listed, "detection_id"))
+                             F.length("report").alias("report_length"), *reports.listing_columns()))
 
 
 # -- attribution and model

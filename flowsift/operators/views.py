@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from flowsift.functions.scalars import count_where, q
 
 
-def run_summary(df: DataFrame, analysis_id: str = "analysis_id") -> DataFrame:
+def run_summary(df: DataFrame, analysis_id: str = "analysis_id", dataset: str | None = None) -> DataFrame:
     """One row per run: flows, intrusions, hits per detector, split by trigger, verdict.
 
-    Needs is_intrusion, triggered_by.
+    Needs is_intrusion, triggered_by. ``dataset`` names the column that says which data set a run read;
+    a run that read several has them comma-joined.
     """
+    named = [] if dataset is None else [F.array_join(F.sort_array(F.collect_set(q(dataset))), ", ").alias("dataset")]
     trigger = F.col("triggered_by")
     ml, sig = trigger.isin("ML", "BOTH"), trigger.isin("SIGNATURE", "BOTH")
     return df.groupBy(q(analysis_id).alias("analysis_id")).agg(
@@ -20,7 +22,7 @@ def run_summary(df: DataFrame, analysis_id: str = "analysis_id") -> DataFrame:
         count_where(ml).alias("ml_attacks"), count_where(sig).alias("signature_alerts"),
         count_where(ml & ~sig).alias("ml_only"), count_where(sig & ~ml).alias("sig_only"),
         count_where(ml & sig).alias("hybrid"),
-        F.when(F.max(F.col("is_intrusion").cast("int")) == 1, "MALICIOUS").otherwise("BENIGN").alias("verdict"))
+        F.when(F.max(F.col("is_intrusion").cast("int")) == 1, "MALICIOUS").otherwise("BENIGN").alias("verdict"), *named)
 
 
 def kpi_totals(summaries: DataFrame) -> DataFrame:

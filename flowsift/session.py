@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured  # whether other machines see the folder is the cluster's to say
+        return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     fallback = os.path.join(tempfile.gettempdir(), "flowsift-shared")
@@ -58,12 +60,35 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+# Written tables that an enclosing ``intermediates`` block owns, innermost last.
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that ``materialise`` writes inside the block and drops them at its end.
+
+    Results must be written or collected within the block, as they still read these tables.
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _owned.pop():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def materialise(df: DataFrame, stem: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage before a table is used by several jobs. The result survives the loss of
-    executors because it is a table, not executor storage.
+    executors because it is a table, not executor storage. It stays until the enclosing
+    ``intermediates`` block ends; without one, the folder's owner removes it.
     """
     path = scratch_path(df.sparkSession, stem)
+    if _owned:
+        _owned[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,3 +140,15 @@ def test_views_treat_missing_values(spark):
     assert {(r.protocol, r.n) for r in views.breakdown(df, "protocol").collect()} == {("Unknown", 1), ("udp", 1)}
     assert [r.detection_id for r in views.filter_incidents(df, "a1").collect()] == ["d2"]
     assert tuple(views.shown_of_total(df, "", "", "ML").first()) == (1, 2)
+
+
+def test_intermediates_are_dropped(spark):
+    import os
+
+    from flowsift.session import intermediates, materialise
+
+    with intermediates(spark):
+        df = materialise(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file:")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
