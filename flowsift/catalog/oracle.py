@@ -409,6 +409,8 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT 'sweep', {r('tp::DOUBLE / p')}, 0 FROM c""",
     "conn_log_lines": ctes("conn") + """ SELECT uid, orig_h, orig_p::BIGINT AS orig_p,
   CASE WHEN ord % 5 = 0 THEN -1 ELSE orig_pkts END AS orig_pkts FROM conn WHERE ord % 7 <> 0""",
+    "attributions_add_up": ctes("flows") + " SELECT flow_id, TRUE AS adds_up FROM flows",
+    "importance_total": "SELECT 11::BIGINT AS features, 1.0::DOUBLE AS total FROM events LIMIT 1",
     "explained_incidents": "SELECT unnest(['run-a', 'run-b']) AS analysis_id, 0::BIGINT AS surplus",
     "match_alerts_gravest": MATCHED + " SELECT flow_id, n_alerts, gravest AS severity FROM sig",
     "verdicts": ctes("flows") + f""", p AS (SELECT flow_id, score, CASE flow_id % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'c' ELSE 'other' END AS profile FROM flows),
@@ -455,3 +457,8 @@ ORACLE: dict[str, str] = {
   feature, {r(r('c'), 4)} AS contribution, CASE WHEN c > 0 THEN 'attack' ELSE 'benign' END AS direction FROM rounded""",
     "global_attribution_linear": LINEAR + f" SELECT feature, {r(r('avg(size)'), 4)} AS mean_abs_contribution FROM rounded GROUP BY 1",
 }
+
+# The paths for large tables give the same rows.
+ORACLE |= {other: ORACLE[name] for other, name in (
+    ("fit_medians_narrowed", "fit_medians"), ("encode_categories_joined", "encode_categories"),
+    ("packets_to_flows_blocks", "packets_to_flows"), ("conn_window_counts_blocks", "conn_window_counts"))}

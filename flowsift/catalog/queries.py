@@ -177,6 +177,11 @@ def fit_medians(spark, sf):
     return plain(clean.fit_medians(table(spark, sf, "raw_flows"), RAW_NUMBERS))
 
 
+def fit_medians_narrowed(spark, sf):
+    """Medians by the narrowing that large columns take: a tally of 50 values at most."""
+    return plain(clean.fit_medians(table(spark, sf, "raw_flows"), RAW_NUMBERS, accuracy=20, tally_limit=50))
+
+
 def label_distribution(spark, sf):
     return clean.value_counts(table(spark, sf, "raw_flows"), "label_text")
 
@@ -199,8 +204,21 @@ def encode_categories(spark, sf):
     return plain(encode.encode(rows, known, ["proto", "label_text"]))
 
 
+def encode_categories_joined(spark, sf):
+    """Encoding by the shuffle join that large dictionaries take."""
+    rows = _raw_categories(spark, sf)
+    known = encode.fit_encoder(rows.filter("proto IS NOT NULL AND label_text <> 'PortScan'"), ["proto", "label_text"])
+    return plain(encode.encode(rows, known, ["proto", "label_text"], limit=1))
+
+
 # -- packets and connections
 
+def packets_to_flows_blocks(spark, sf):
+    """The same flows from blocks of 256 packets, stitched."""
+    return plain(packets.packets_to_flows(table(spark, sf, "packets"), block=256),
+                 {"sinpkt": 3, "dinpkt": 3, "sjit": 3, "djit": 3})
+
+
 def packets_to_flows(spark, sf):
     return plain(packets.packets_to_flows(table(spark, sf, "packets")),
                  {"sinpkt": 3, "dinpkt": 3, "sjit": 3, "djit": 3})
@@ -258,6 +276,13 @@ def conn_window_counts(spark, sf):
     return plain(counted.select("flow_id", "rn", *connections.COUNTERS))
 
 
+def conn_window_counts_blocks(spark, sf):
+    """The same counters from blocks of 500 flows."""
+    named = table(spark, sf, "flows").withColumnsRenamed(
+        {"src_ip": "src", "dst_ip": "dst", "src_port": "sport", "dst_port": "dport"})
+    return plain(connections.conn_window_counts(named, "last_us", "flow_id", block=500).select("flow_id", "rn", *connections.COUNTERS))
+
+
 def extract_flows_u(spark, sf):
     return plain(connections.extract_u(_flow_inputs(spark, sf)).select(
         "flow_id", "dur", "spkts", "rate", "trans_depth", "is_ftp_login", *connections.COUNTERS))
@@ -622,6 +647,22 @@ def attributions(spark, sf):
         "flow_id", "base_value", "position", F.col("a.name").alias("feature"), F.col("a.contribution").alias("contribution")))
 
 
+def attributions_add_up(spark, sf):
+    """Per flow whether base value and contributions give the log-odds of its score."""
+    fitted, matrix = _trained(spark, sf)
+    scored = model.score(matrix, fitted, MODEL_FEATURES, None)
+    raw = attribution.contributions(scored, fitted, MODEL_FEATURES, ["flow_id", "score"])
+    margin = F.col("base_value") + F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    return raw.select("flow_id", (F.abs(1 / (1 + F.exp(-margin)) - F.col("score")) < 1e-9).alias("adds_up"))
+
+
+def importance_total(spark, sf):
+    """Features that the fitted model ranks, and the sum of their importance."""
+    fitted, _ = _trained(spark, sf)
+    return plain(model.feature_importance(spark, fitted, MODEL_FEATURES, None).agg(
+        F.count("*").alias("features"), F.sum("importance").alias("total")))
+
+
 def global_attribution(spark, sf):
     fitted, matrix = _trained(spark, sf)
     return attribution.global_attribution(matrix, fitted, MODEL_FEATURES)
@@ -640,7 +681,8 @@ QUERIES: dict[str, Query] = {
         rule_signatures, rules_empty, match_alerts, match_alerts_gravest, verdicts, fuse_verdicts,
         severity_detection, severity_incident, detection_rows, run_summary, detections_store, kpi_totals,
         kpi_severity, kpi_trigger, breakdown_protocol, top_src, top_dst, recent_incidents, activity_series,
-        row_number_gaps, metrics_unscored, conn_log_lines, explained_incidents, match_alerts_aliases,
+        fit_medians_narrowed, encode_categories_joined, packets_to_flows_blocks, conn_window_counts_blocks,
+        attributions_add_up, importance_total, row_number_gaps, metrics_unscored, conn_log_lines, explained_incidents, match_alerts_aliases,
         incident_filter, incident_count, incidents, incident_report, run_report, report_rows, top_features,
         attributions_linear, global_attribution_linear, train_model, score_flows, feature_importance, attributions,
         global_attribution)},
