@@ -79,27 +79,32 @@ def cosine_pairs(left: np.ndarray, right: np.ndarray, cosine: float, same: bool)
 
 
 def _nodes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, node, label, dim, vec, first): node is null where the vector or the label can't link."""
+    """(key, node, label, dim, vec, first, norm): node is null where the vector or the label can't link; ``first`` is the
+    vector's place along a first direction of length ``norm``."""
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in (key, label)}
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, dim, raw, first = [], [], [], []
+            node, dim, raw, first, norm = [], [], [], [], []
             for v, of in zip(batch.column("vec").to_pylist(), batch.column("label").to_pylist()):
                 x = np.array([np.nan if y is None else y for y in v], np.float64) if v else np.empty(0)
                 if of is None or not len(x) or not np.isfinite(x).all() or not x.any() or not np.isfinite(x @ x) or not x @ x:
-                    node.append(None), dim.append(None), raw.append(None), first.append(None)
+                    for column in (node, dim, raw, first, norm):
+                        column.append(None)
                     continue
                 data = (x + 0.0).tobytes()  # -0.0 counts as 0.0
                 node.append(xxhash.xxh3_128_digest(f"{of}:".encode() + data))
                 dim.append(len(x))
                 raw.append(data)
-                first.append(float(x @ directions(len(x), 1)[:, 0] / np.linalg.norm(x)))
+                axis = directions(len(x), 1)[:, 0]
+                first.append(float(x @ axis / np.linalg.norm(x)))
+                norm.append(float(np.linalg.norm(axis)))
             yield pa.record_batch([batch.column("key"), batch.column("label"), pa.array(node, pa.binary()), pa.array(dim, pa.int32()),
-                                   pa.array(raw, pa.binary()), pa.array(first, pa.float64())], ["key", "label", "node", "dim", "vec", "first"])
+                                   pa.array(raw, pa.binary()), pa.array(first, pa.float64()), pa.array(norm, pa.float64())],
+                                  ["key", "label", "node", "dim", "vec", "first", "norm"])
 
     return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vec"), F.col(label).alias("label")).mapInArrow(
-        named, f"key {kinds[key]}, label {kinds[label]}, node binary, dim int, vec binary, first double")
+        named, f"key {kinds[key]}, label {kinds[label]}, node binary, dim int, vec binary, first double, norm double")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -113,7 +118,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     """
     rows = materialise(_nodes(vectors, key, vector, label), "vectors")
     nodes = (rows.where("node is not null").groupBy("node", "label", "dim")
-             .agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("first").alias("first"), F.first("vec").alias("vec")))
+             .agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("first").alias("first"), F.min("norm").alias("norm"), F.first("vec").alias("vec")))
     nodes = materialise(nodes, "nodes")
 
     # Blocks of a label: equal counts along the first projection, by a histogram of fixed resolution.
@@ -126,13 +131,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     cells = cells.withColumn("cuts", F.ceil(F.col("n") / block).cast("long"))
     placed = (cell.join(cells.select(*group, "cell", "block", "cuts"), [*group, "cell"])
               .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts"))))
-    placed = materialise(placed.select(*group, "block", "cut", "node", "first", "vec"), "blocks")
-    spans = placed.groupBy(*group, "block", "cut").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    placed = materialise(placed.select(*group, "block", "cut", "node", "first", "norm", "vec"), "blocks")
+    spans = placed.groupBy(*group, "block", "cut").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("norm").alias("norm"))
     # Blocks that are apart by more than any linked pair can be along the first direction are not compared.
     right = spans.select(*group, *(F.col(c).alias(f"other_{c}") for c in ("block", "cut", "low", "high")))
-    norm = _direction_norms(nodes)
     gap = F.greatest(F.col("other_low") - F.col("high"), F.col("low") - F.col("other_high"))
-    pairs = (spans.join(right, group).join(F.broadcast(norm), "dim")
+    pairs = (spans.join(right, group)
              .where((F.struct("block", "cut") <= F.struct("other_block", "other_cut")) & (gap <= F.col("norm") * math.sqrt(2 - 2 * cosine) + 1e-9)))
     pairs = materialise(pairs.select(*group, "block", "cut", "other_block", "other_cut"), "pairs")
     names = ["block", "cut", "other_block", "other_cut"]
@@ -164,9 +168,3 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
-
-
-def _direction_norms(nodes: DataFrame) -> DataFrame:
-    """(dim, norm) of the first direction for the vector lengths that occur, a few rows."""
-    dims = [r["dim"] for r in nodes.select("dim").distinct().collect()]
-    return nodes.sparkSession.createDataFrame([(d, float(np.linalg.norm(directions(d, 1)))) for d in dims], "dim int, norm double")
