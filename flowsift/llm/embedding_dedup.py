@@ -7,7 +7,7 @@ count that such a pair misses with a probability of ``MISS`` at most is the cali
 reach it are verified by their cosine in double precision.
 
 Equal vectors of a label are one node from the start. A label is cut into blocks along its first projection,
-and tasks compare pairs of blocks; no pair leaves a task unless it links.
+and tasks compare pairs of blocks; what leaves a task is a number of links and a connection per vector, never pairs.
 """
 
 from __future__ import annotations
@@ -78,6 +78,19 @@ def cosine_pairs(left: np.ndarray, right: np.ndarray, cosine: float, same: bool)
     return i[good], j[good]
 
 
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n points the least point that the pairs (i, j) connect it with."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def _nodes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, node, label, dim, vec, first, norm): node is null where the vector or the label can't link; ``first`` is the
     vector's place along a first direction of length ``norm``."""
@@ -131,7 +144,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     cells = cells.withColumn("cuts", F.ceil(F.col("n") / block).cast("long"))
     placed = (cell.join(cells.select(*group, "cell", "block", "cuts"), [*group, "cell"])
               .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts"))))
-    placed = materialise(placed.select(*group, "block", "cut", "node", "first", "norm", "vec"), "blocks")
+    placed = materialise(placed.select(*group, "block", "cut", "node", "first", "norm", "copies", "vec"), "blocks")
     spans = placed.groupBy(*group, "block", "cut").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("norm").alias("norm"))
     # Blocks that are apart by more than any linked pair can be along the first direction are not compared.
     right = spans.select(*group, *(F.col(c).alias(f"other_{c}") for c in ("block", "cut", "low", "high")))
@@ -140,9 +153,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
              .where((F.struct("block", "cut") <= F.struct("other_block", "other_cut")) & (gap <= F.col("norm") * math.sqrt(2 - 2 * cosine) + 1e-9)))
     pairs = materialise(pairs.select(*group, "block", "cut", "other_block", "other_cut"), "pairs")
     names = ["block", "cut", "other_block", "other_cut"]
-    lefts = placed.join(pairs, [*group, "block", "cut"]).select(*group, *names, F.lit(0).alias("side"), "node", "vec")
+    lefts = placed.join(pairs, [*group, "block", "cut"]).select(*group, *names, F.lit(0).alias("side"), "node", "copies", "vec")
     rights = (placed.withColumnsRenamed({"block": "other_block", "cut": "other_cut"}).join(pairs.where("block < other_block or cut < other_cut"), [*group, "other_block", "other_cut"])
-              .select(*group, *names, F.lit(1).alias("side"), "node", "vec"))
+              .select(*group, *names, F.lit(1).alias("side"), "node", "copies", "vec"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.grouped(batches, [*group, *names]):
@@ -153,15 +166,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
             ids = [t.column("node").to_pylist() for t in part]
             same = not len(x[1])
             i, j = cosine_pairs(x[0], x[0] if same else x[1], cosine, same)
-            other = ids[0] if same else ids[1]
-            yield pa.record_batch([pa.array([ids[0][k] for k in i.tolist()], pa.binary()), pa.array([other[k] for k in j.tolist()], pa.binary())], ["a", "b"])
+            if not same:
+                j = j + len(ids[0])
+            node = ids[0] + ids[1]
+            copies = np.concatenate([t.column("copies").to_numpy() for t in part])
+            # Of the pairs only sums and connections leave: a row per node, with its links' number and one node that it hangs on.
+            linked = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+            some = np.flatnonzero(linked)
+            root = connected(len(node), i, j)
+            yield pa.record_batch([pa.array([node[k] for k in some.tolist()], pa.binary()), pa.array([node[k] for k in root[some].tolist()], pa.binary()),
+                                   pa.array(linked[some].astype(np.int64))], ["a", "b", "linked"])
 
     links = materialise(lefts.unionByName(rights).repartition(*group, *names).sortWithinPartitions(*group, *names, "side")
-                        .mapInArrow(compare, "a binary, b binary"), "links")
-    both = links.union(links.select("b", "a"))
-    degree = (both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("linked")))
+                        .mapInArrow(compare, "a binary, b binary, linked long"), "links")
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     named = nodes.select("node", "least", "copies").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join by root is of two plain shuffles, which Spark splits where one component is large.
+    roots = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = named.join(roots, "root").join(degree, "node", "left").select(
         "node", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = rows.select("key", "node").join(named, "node", "left")

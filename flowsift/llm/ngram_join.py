@@ -381,7 +381,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     rows = routed.where("n is not null").select("key", "node", "n")
     least = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least"))
     named = least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join by root is of two plain shuffles, which Spark splits where one component is large.
+    roots = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = named.join(roots, "root").select("node", "component_id")
     return rows.join(named, "node", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
