@@ -7,8 +7,11 @@ from their sizes.
 
 * Routing. Boxes of whole vectors overlap too much to tell tasks apart, so the groups are dealt into more than
   ``r`` bands: two linked documents differ in at most ``r`` bands and so have equal counts in another. The
-  address of a leaf is (size class, band, counts in the band); documents at one address are linked by a star,
-  never by pairs, and connected addresses form families, outside of which no link can exist.
+  address of a leaf is (size class, band, counts in the band). Documents that meet at the address of a few are tested by
+  the summed minima of their whole vectors; documents at a crowded address are joined by a star, never by pairs. What
+  is connected so forms families, outside of which no link can exist. Passages that many documents share would
+  make one family of all of them, so bands are taken over the rarer n-grams, which differ no more than the whole
+  sets do. Documents with too few of these are routed by all their n-grams as well.
 * Inside a family (or a chunk of one of bounded size) an R-tree is packed over the count vectors. A query
   passes a node only if the sum of minima with the node's upper corner allows enough overlap, then each point,
   and what survives is verified on the n-grams themselves. Points that are already connected are skipped.
@@ -20,6 +23,7 @@ Equal sets are one node from the start, so copies cost nothing further.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,10 @@ from .graph import components
 CHUNK = 1 << 20
 #: Points of an R-tree leaf.
 LEAF = 32
+#: Documents at an address whose pairs are tested one by one.
+FEW = 8
+#: Cells of the table that tells frequent n-grams from rare ones, whatever the corpus; it goes out in pages.
+CELLS, PAGE = 1 << 22, 1 << 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,93 +95,183 @@ class Rule:
         at, out = int(np.searchsorted(self.lower, size, "right")) - 1, []
         while not out or 100 * size >= self.percent * self.bounds[at]:
             most = 2 * (self.bounds[at + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            out.append((at, most, most + 2 + most // 12))
+            out.append((at, most, most + 2 + most // 6))
             at += 1
         return out
 
-    def addresses(self, grams: np.ndarray) -> np.ndarray:
-        """The leaves of the routing level: a hash of each band's counts."""
+    def addresses(self, grams: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+        """The leaves of the routing level: a hash of each band's counts.
+
+        A set gives all bands that hold one of its rare n-grams. If these are more than the bands in which a
+        partner can differ, one of them is shared with every partner. If they are not, the set also gives bands over
+        all its n-grams, empty ones included where needed, and meets there every partner of that kind.
+        """
+        rare = grams if frequent is None else grams[~frequent[cell_of(grams)]]
         out = []
-        with np.errstate(over="ignore"):
-            cell = common.mix((grams & np.uint64(0xFFFF)) + np.uint64(1))
-            for size_class, most, bands in self.bands(len(grams)):
-                band = ((grams >> np.uint64(20)) % np.uint64(bands)).astype(np.int64)
-                counts = np.zeros(bands, np.uint64)
-                np.add.at(counts, band, cell)  # equal counts in all groups of a band give equal sums
-                full = np.flatnonzero(np.bincount(band, minlength=bands))
-                # Empty bands say nothing. Without them one equal band is still certain if enough are left.
-                use = full if len(full) > most else np.arange(bands)
-                out.append(common.mix(counts[use] ^ common.mix(use.astype(np.uint64) + np.uint64(size_class << 40))))
+        for size_class, most, bands in self.bands(len(grams)):
+            counts, full = _bands(rare, bands)
+            out.append(_address(counts, full, size_class))
+            if len(full) <= most:
+                counts, full = _bands(grams, bands)
+                out.append(_address(counts, full if len(full) > most else np.arange(bands), size_class | 1 << 20))
         return np.concatenate(out)
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges from each node to the least node at its address, as (a, b, times), and one (key, node) per address."""
+def cell_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(40)).astype(np.int64) % CELLS
+
+
+def _bands(grams: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random linear hash of each band's group counts, and the bands that hold anything."""
+    band = ((grams >> np.uint64(20)) % np.uint64(bands)).astype(np.int64)
+    counts = np.zeros(bands, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(counts, band, common.mix((grams & np.uint64(0xFFFF)) + np.uint64(1)))
+    return counts, np.flatnonzero(np.bincount(band, minlength=bands))
+
+
+def _address(counts: np.ndarray, use: np.ndarray, name: int) -> np.ndarray:
+    return common.mix(counts[use] ^ common.mix(use.astype(np.uint64) + np.uint64(name << 40)))
+
+
+def frequent_cells(docs: DataFrame, width: int, text: str) -> np.ndarray:
+    """Cells of hashed n-grams that hold clearly more than the usual number, as packed bits (512 kB).
+
+    Every document counts. Which cells these are decides where documents are routed, never which ones link.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint32)
+        for block in common.blocks(batches, "text"):
+            sets = shingle_sets(common.texts_of(block.column("text")), width)
+            counts += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+        pages = [(p, zlib.compress(counts[p * PAGE:(p + 1) * PAGE].astype("<u4").tobytes(), 1)) for p in range(CELLS // PAGE)]
+        yield pa.record_batch([pa.array([p for p, _ in pages], pa.int32()), pa.array([c for _, c in pages], pa.binary())], ["page", "counts"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, data in zip(batch.column("page").to_pylist(), batch.column("counts").to_pylist()):
+                totals[page] = totals.get(page, 0) + np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        rows = []
+        for page, counts in totals.items():
+            usual = float(np.median(counts))
+            rows.append((page, np.packbits(counts > usual + 8 * np.sqrt(usual + 1) + 20).tobytes()))
+        yield pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["page", "bits"])
+
+    pages = docs.select(F.col(text).alias("text")).mapInArrow(count, "page int, counts binary").repartition("page").mapInArrow(judge, "page int, bits binary")
+    out = np.zeros(CELLS // 8, np.uint8)
+    for r in pages.collect():  # one row per page
+        out[r.page * PAGE // 8:(r.page + 1) * PAGE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the addresses say, as edges (a, b, times, certain), and the (key, node) pairs that a later meeting needs.
+
+    At an address of at most ``FEW`` nodes every two of them are an edge, to be tested before it counts. A larger
+    address gives a star around its least node, which counts untested; one node more than ``FEW`` of it go on, so that
+    it is known for a large one.
+    """
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[fresh], nodes[fresh]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    hub = nodes[new][np.cumsum(new) - 1] if len(keys) else nodes
-    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
-    crowd = np.repeat(size, size)
-    far = nodes != hub
-    pairs = np.stack([nodes[far], hub[far]], 1)
-    # The hub's own row carries how crowded its addresses are.
-    own = new & (crowd > 1)
-    pairs = np.concatenate([pairs, np.stack([nodes[own], nodes[own]], 1)])
-    weight = np.concatenate([crowd[far], crowd[own]])
-    if len(pairs):
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs, weight = pairs[order], weight[order]
-        first = np.ones(len(pairs), bool)
-        first[1:] = (pairs[1:] != pairs[:-1]).any(1)
-        weight = np.add.reduceat(weight, np.flatnonzero(first))
-        pairs = pairs[first]
-    return pairs[:, 0], pairs[:, 1], weight, keys[new], nodes[new]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(keys)))
+    found = []
+    for k in range(2, FEW + 1):
+        at = first[size == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                found.append((nodes[at + j], nodes[at + i], 0))
+    large = np.repeat(size > FEW, size)
+    hub = nodes[np.repeat(first, size)]
+    found.append((nodes[large & ~new], hub[large & ~new], 1))
+    a, b, certain = (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]),
+                     np.concatenate([np.full(len(f[0]), f[2], np.int64) for f in found]))
+    times = np.ones(len(a), np.int64)
+    if len(a):
+        order = np.lexsort((certain, b, a))
+        a, b, certain = a[order], b[order], certain[order]
+        start = np.ones(len(a), bool)
+        start[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (certain[1:] != certain[:-1])
+        times = np.diff(np.append(np.flatnonzero(start), len(a)))
+        a, b, certain = a[start], b[start], certain[start]
+    go = np.arange(len(keys)) - np.repeat(first, size) <= FEW
+    return a, b, times, certain, keys[go], nodes[go]
+
+
+def sketch_of(grams: np.ndarray) -> bytes:
+    """Group counts of the set, one byte each; at least a group for every four n-grams, so that counts stay telling."""
+    groups = 1 << max(6, (len(grams) // 4).bit_length())
+    while True:
+        counts = np.bincount((grams >> np.uint64(44)).astype(np.int64) % groups, minlength=groups)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+
+
+def may_link(a: bytes, b: bytes, rule: Rule) -> bool:
+    """Whether the sum of minima of two sketches allows enough overlap; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(-1, len(y)).sum(0)
+    return int(np.minimum(x, y).sum()) >= rule.needed(int(x.sum()), int(y.sum()))
 
 
 def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> DataFrame:
-    """Documents as (key, node, size), and edges (a, b, w) between short names that share an address."""
+    """Documents as (key, node, short, n, sketch), and edges (a, b, w, certain) between short names that share an address."""
     session, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    schema = f"what int, bucket int, key {kind}, node binary, n long, p binary, q binary, w binary"
-    names = ["what", "bucket", "key", "node", "n", "p", "q", "w"]
+    buckets = 2 * parts
+    frequent = session.sparkContext.broadcast(frequent_cells(docs, width, text))
+    schema = f"what int, bucket int, key {kind}, node binary, n long, p binary, q binary, w binary, c binary"
+    columns = ["what", "bucket", "key", "node", "n", "p", "q", "w", "c"]
 
-    def rows(what, bucket, key_col, node=None, n=None, p=None, q=None, w=None):
+    def rows(what, bucket, key_col, node=None, n=None, p=None, q=None, w=None, c=None):
         k = len(bucket)
         return pa.record_batch([pa.array([what] * k, pa.int32()), pa.array(bucket, pa.int32()), key_col,
                                 pa.array(node or [None] * k, pa.binary()), pa.array(n or [None] * k, pa.int64()),
-                                *(pa.array(x or [None] * k, pa.binary()) for x in (p, q, w))], names)
+                                *(pa.array(x or [None] * k, pa.binary()) for x in (p, q, w, c))], columns)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(frequent.value).astype(bool)
         for block in common.blocks(batches, "text"):
             sets = shingle_sets(common.texts_of(block.column("text")), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield rows(0, [i % buckets for i in range(len(sets))], block.column("key"), nodes, [len(s) for s in sets])
+            yield rows(0, [i % buckets for i in range(len(sets))], block.column("key"), nodes, [len(s) for s in sets],
+                       [sketch_of(s) if len(s) else None for s in sets])
             there = {n: s for n, s in zip(nodes, sets) if n}  # copies within the block count once
             if not there:
                 continue
-            each = [rule.addresses(s) for s in there.values()]
+            each = [rule.addresses(s, hot) for s in there.values()]
             keys = np.concatenate(each)
             ids = np.repeat(np.array([short(n) for n in there], np.int64), [len(x) for x in each])
-            a, b, w, keys, ids = stars(keys, ids)
-            nothing = block.column("key").type
-            if len(a):
-                yield rows(1, [int(a[0] % buckets)], pa.nulls(1, nothing), p=[a.tobytes()], q=[b.tobytes()], w=[w.tobytes()])
+            a, b, w, certain, keys, ids = meetings(keys, ids)
+            nothing, only = block.column("key").type, certain == 1  # the others meet again
+            if only.any():
+                yield rows(1, [int(a[0] % buckets)], pa.nulls(1, nothing), p=[a[only].tobytes()], q=[b[only].tobytes()], w=[w[only].tobytes()],
+                           c=[certain[only].tobytes()])
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((ids, bucket))
             keys, ids, bucket = keys[order], ids[order], bucket[order]
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            yield rows(2, bucket[cuts[:-1]].tolist(), pa.nulls(len(cuts) - 1, nothing),
-                       p=[keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], q=[ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])])
+            # A bucket's share: all keys in the order of their nodes, each node once, and how many keys it has.
+            own = [np.unique(ids[x:y], return_counts=True) for x, y in zip(cuts, cuts[1:])]
+            yield rows(2, bucket[cuts[:-1]].tolist(), pa.nulls(len(cuts) - 1, nothing), p=[keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:])],
+                       q=[names.tobytes() for names, _ in own], w=[times.astype("<u4").tobytes() for _, times in own])
 
-    out_names = ["key", "node", "short", "n", "a", "b", "w"]
+    out_names = ["key", "node", "short", "n", "sketch", "a", "b", "w", "certain"]
 
-    def edges(key_type, a, b, w):
+    def edges(key_type, a, b, w, certain):
         k = len(a)
-        return pa.record_batch([pa.nulls(k, key_type), pa.nulls(k, pa.binary()), *(pa.nulls(k, pa.int64()),) * 2,
-                                pa.array(a), pa.array(b), pa.array(w)], out_names)
+        return pa.record_batch([pa.nulls(k, key_type), pa.nulls(k, pa.binary()), *(pa.nulls(k, pa.int64()),) * 2, pa.nulls(k, pa.binary()),
+                                pa.array(a), pa.array(b), pa.array(w), pa.array(certain)], out_names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, key_type = [], [], pa.null()
@@ -183,18 +281,34 @@ def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> Data
             docs_ = batch.filter(pa.array(what == 0))
             k, nodes = docs_.num_rows, docs_.column("node")
             brief = pa.array([short(n) if n else None for n in nodes.to_pylist()], pa.int64())
-            yield pa.record_batch([docs_.column("key"), nodes, brief, docs_.column("n"), *(pa.nulls(k, pa.int64()),) * 3], out_names)
-            for p, q, w in zip(*(batch.filter(pa.array(what == 1)).column(c).to_pylist() for c in "pqw")):
-                yield edges(key_type, *(np.frombuffer(x, np.int64) for x in (p, q, w)))
-            for p, q in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in "pq")):
+            yield pa.record_batch([docs_.column("key"), nodes, brief, docs_.column("n"), docs_.column("p"), *(pa.nulls(k, pa.int64()),) * 4], out_names)
+            for row in zip(*(batch.filter(pa.array(what == 1)).column(c).to_pylist() for c in "pqwc")):
+                yield edges(key_type, *(np.frombuffer(x, np.int64) for x in row))
+            for p, q, w in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in "pqw")):
                 keys.append(np.frombuffer(p, np.uint64))
-                ids.append(np.frombuffer(q, np.int64))
+                ids.append(np.repeat(np.frombuffer(q, np.int64), np.frombuffer(w, "<u4")))
         if keys:
-            a, b, w, _, _ = stars(np.concatenate(keys), np.concatenate(ids))
-            yield edges(key_type, a, b, w)
+            a, b, w, certain, _, _ = meetings(np.concatenate(keys), np.concatenate(ids))
+            yield edges(key_type, a, b, w, certain)
 
     return materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(deal, schema)
-                       .repartition(parts, "bucket").mapInArrow(meet, f"key {kind}, node binary, short long, n long, a long, b long, w long"), "routed")
+                       .repartition(parts, "bucket").mapInArrow(meet, f"key {kind}, node binary, short long, n long, sketch binary, a long, b long, w long, certain long"), "routed")
+
+
+def _tested(routed: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b, w) that count: certain ones, and those whose sketches allow a link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [may_link(x, y, rule) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            yield batch.select(["a", "b", "w"]).filter(pa.array(good, pa.bool_()))
+
+    edges = routed.where("a is not null").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("certain").alias("certain"))
+    sketches = routed.where("node is not null").select("short", "sketch").dropDuplicates(["short"])
+    pairs = (edges.where("certain = 0").join(sketches.select(F.col("short").alias("a"), F.col("sketch").alias("sa")), "a")
+             .join(sketches.select(F.col("short").alias("b"), F.col("sketch").alias("sb")), "b"))
+    return materialise(edges.where("certain = 1").select("a", "b", "w").union(
+        pairs.select("a", "b", "w", "sa", "sb").mapInArrow(test, "a long, b long, w long")), "edges")
 
 
 class Tree:
@@ -326,7 +440,7 @@ def _compare(rows: DataFrame, by: list[str], rule: Rule) -> DataFrame:
 
 def links_of(docs: DataFrame, routed: DataFrame, rule: Rule, width: int, text: str, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between nodes that connect whatever the rule connects."""
-    edges = routed.where("a is not null")
+    edges = _tested(routed, rule)
     family = components(edges.select("a", "b"))
     sizes = routed.where("node is not null").groupBy("node", "short").agg(F.max("n").alias("n"))
     weight = edges.groupBy(F.col("a").alias("short")).agg(F.sum("w").alias("w"))

@@ -107,6 +107,38 @@ def test_bound_is_never_below_the_overlap():
             assert 1 in tree.near(tree.points[0], len(a), rule)
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 90):
+        rule = ngram_join.Rule(percent)
+        for n in (1, 9, 70, 900, 9000):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for cut in (0.0, 0.05, 0.1, 0.2, 0.4):
+                b = np.unique(np.concatenate([a[int(len(a) * cut):], rng.integers(0, 1 << 63, int(n * cut / 3), dtype=np.uint64)]))
+                if len(b) and ngram_join.overlap(a, b) >= rule.needed(len(a), len(b)):
+                    assert ngram_join.may_link(ngram_join.sketch_of(a), ngram_join.sketch_of(b), rule)
+                    frequent = rng.random(ngram_join.CELLS) < rng.choice([0, 0.3, 0.9, 1.0])
+                    assert np.intersect1d(rule.addresses(a, frequent), rule.addresses(b, frequent)).size
+
+
+def test_meetings_keep_what_shares_an_address():
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([rng.integers(0, 300, 900), np.full(40, 1000)]).astype(np.uint64)
+    nodes = np.concatenate([rng.integers(0, 500, 900), rng.integers(0, 500, 40)]).astype(np.int64)
+    a, b, times, certain, go_keys, go_nodes = ngram_join.meetings(keys, nodes)
+    members = {}
+    for k, n in zip(keys.tolist(), nodes.tolist()):
+        members.setdefault(k, set()).add(n)
+    pairs = {(x, y) for x, y in zip(a.tolist(), b.tolist())}
+    for k, group in members.items():
+        low = min(group)
+        want = {(x, y) for x in group for y in group if x > y} if len(group) <= ngram_join.FEW else {(x, low) for x in group if x != low}
+        assert want <= pairs
+        assert sum(go_keys == k) == min(len(group), ngram_join.FEW + 1)
+    assert {(x, y) for x, y, c in zip(a.tolist(), b.tolist(), certain.tolist()) if c} == {
+        (x, min(g)) for g in members.values() if len(g) > ngram_join.FEW for x in g if x != min(g)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(60)] + [(900, i) for i in range(901, 950)]
