@@ -150,3 +150,12 @@ def test_many_small_files_keep_their_order(spark, tmp_path):
     assert got == want
     assert [r.ord for r in df.select("ord").orderBy("ord").collect()] == list(range(len(want)))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2 * 3 + 1
+
+
+def test_name_tables_hold_what_they_should():
+    from flowsift.operators.common_schema import COMMON, SOURCES
+
+    assert len(EXPORTER) == 71 and EXPORTER["dst_port"] == "Destination Port" and EXPORTER["tot_fwd_pkts"] == "Total Fwd Packets"
+    assert len(COMMON) == len(set(COMMON)) == 64 and COMMON[:4] == ["src_port", "dst_port", "protocol", "flow_duration"]
+    assert SOURCES["u"]["fwd_packet_count"] == "spkts" and SOURCES["c"]["init_win_bwd"] == "Init_Win_bytes_backward"
+    assert "src_port" not in SOURCES["u"] and "src_port" not in SOURCES["c"] and "src_ttl" not in SOURCES["c"]
