@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm import ngram_join, packing, pii, quality
 from flowsift.llm.common import free_name, read, without
-from flowsift.session import materialise
+from flowsift.session import intermediates, materialise, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row, number = free_name(docs.columns, "row"), free_name(docs.columns, "number")
     numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col(number).alias("n"))
-    groups = ngram_join.similar_groups(numbered.select(key.alias(row), "text"), width=5, percent=80, key=row)
-    removed = materialise(groups.where(F.col("component_id") != F.col(row)).select(F.col(row)["n"].alias(number)), "removed")
+    path = scratch_path(spark, "removed")
+    with intermediates(spark):  # the join's own tables go before the next stage begins
+        groups = ngram_join.similar_groups(numbered.select(key.alias(row), "text"), width=5, percent=80, key=row)
+        groups.where(F.col("component_id") != F.col(row)).select(F.col(row)["n"].alias(number)).write.parquet(path)
+    removed = spark.read.schema(f"`{number}` long").parquet(path)
     return without(numbered, removed, number).select(*docs.columns)
 
 

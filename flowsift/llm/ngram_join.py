@@ -43,7 +43,7 @@ LEAF = 32
 #: Documents at an address whose pairs are tested one by one.
 FEW = 8
 #: Cells of the table that tells frequent n-grams from rare ones, whatever the corpus; it goes out in pages.
-CELLS, PAGE = 1 << 22, 1 << 16
+CELLS, PAGE = 1 << 23, 1 << 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,28 +135,29 @@ def _address(counts: np.ndarray, use: np.ndarray, name: int) -> np.ndarray:
 
 
 def frequent_cells(docs: DataFrame, width: int, text: str) -> np.ndarray:
-    """Cells of hashed n-grams that hold clearly more than the usual number, as packed bits (512 kB).
+    """Cells of hashed n-grams that hold clearly more than the usual number, as packed bits (1 MB).
 
     Every document counts. Which cells these are decides where documents are routed, never which ones link.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint32)
+        counts = np.zeros(CELLS, np.uint16)
         for block in common.blocks(batches, "text"):
             sets = shingle_sets(common.texts_of(block.column("text")), width)
-            counts += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
-        pages = [(p, zlib.compress(counts[p * PAGE:(p + 1) * PAGE].astype("<u4").tobytes(), 1)) for p in range(CELLS // PAGE)]
+            cells, times = np.unique(cell_of(np.concatenate(sets)), return_counts=True)
+            counts[cells] = np.minimum(counts[cells].astype(np.int64) + times, 65535)
+        pages = [(p, zlib.compress(counts[p * PAGE:(p + 1) * PAGE].astype("<u2").tobytes(), 1)) for p in range(CELLS // PAGE)]
         yield pa.record_batch([pa.array([p for p, _ in pages], pa.int32()), pa.array([c for _, c in pages], pa.binary())], ["page", "counts"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for page, data in zip(batch.column("page").to_pylist(), batch.column("counts").to_pylist()):
-                totals[page] = totals.get(page, 0) + np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+                totals[page] = totals.get(page, 0) + np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
         rows = []
         for page, counts in totals.items():
             usual = float(np.median(counts))
-            rows.append((page, np.packbits(counts > usual + 8 * np.sqrt(usual + 1) + 20).tobytes()))
+            rows.append((page, np.packbits(counts > usual + 5 * np.sqrt(usual + 1) + 10).tobytes()))
         yield pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["page", "bits"])
 
     pages = docs.select(F.col(text).alias("text")).mapInArrow(count, "page int, counts binary").repartition("page").mapInArrow(judge, "page int, bits binary")
