@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -179,24 +180,35 @@ def normalise(text: str) -> Mapped | None:
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(plain, added) spans as (kind, start, end) in the source text.
 
-    Added are the disguised identifiers: those whose normalised form holds a rewritten character. They overlap no
-    plain span of their kind.
+    Added are the disguised identifiers: those whose normalised form holds a rewritten character. No span of their
+    kind holds them whole, but they may overlap one: a plain match is often the undisguised part of an identifier.
     """
     base = plain(text)
     mapped = normalise(text)
     if mapped is None:
         return base, []
-    added = []
+    found = set()
     spoken = [m for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", mapped.text) if all(mapped.changed[m.start():m.end()])]
     for kind, a, b in [*plain(mapped.text), *((3, *m.span()) for m in spoken)]:
-        if not any(mapped.changed[a:b]) and mapped.source[b - 1][1] - mapped.source[a][0] == b - a:
-            continue
-        if kind == 0 and not re.search(r"\.[A-Za-z]{2,24}\Z", mapped.text[a:b]):
-            continue
-        start, end = mapped.source[a][0], mapped.source[b - 1][1]
-        if not any(k == kind and s < end and start < e for k, s, e in base + added):
-            added.append((kind, start, end))
-    return base, sorted(added)
+        if any(mapped.changed[a:b]) or mapped.source[b - 1][1] - mapped.source[a][0] != b - a:
+            named = kind != 0 or re.search(r"\.[A-Za-z]{2,24}\Z", mapped.text[a:b]) is not None
+            found.add((kind, mapped.source[a][0], mapped.source[b - 1][1], named))
+    return base, _wider(base, found)
+
+
+def _wider(base: list[tuple[int, int, int]], found: set[tuple[int, int, int, bool]]) -> list[tuple[int, int, int]]:
+    """Spans of ``found`` that no other span of their kind holds whole; unnamed ones only where they overlap a plain one."""
+    ends = {k: sorted(e for x, _, e in base if x == k) for k in range(len(KINDS))}  # plain spans of a kind don't overlap
+    starts = {k: sorted(s for x, s, _ in base if x == k) for k in range(len(KINDS))}
+    kept = [(k, s, e) for k, s, e, named in found if named or bisect_right(ends[k], s) < bisect_left(starts[k], e)]
+    out, last, most = [], -1, 0
+    for k, s, e, new in sorted([*((k, s, e, 0) for k, s, e in base), *((k, s, e, 1) for k, s, e in kept)], key=lambda x: (x[0], x[1], -x[2], x[3])):
+        if k != last:
+            last, most = k, 0
+        if new and e > most:
+            out.append((k, s, e))
+        most = max(most, e)
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

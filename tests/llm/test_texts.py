@@ -281,6 +281,31 @@ def test_disguises_map_back(text):
     assert pii.masked(text) == text.replace(source, f"<{kind.upper()}>")
 
 
+#: Disguises in part: the rest is a plain match of the same kind, given last.
+PARTLY = {
+    "mail jоhn@example.com now": ("email", "jоhn@example.com", "hn@example.com"),
+    "to john dot smith@example.com": ("email", "john dot smith@example.com", "smith@example.com"),
+    "by john.smith@mail.example dot com please": ("email", "john.smith@mail.example dot com", "john.smith@mail.example"),
+    "jоhn@example.com1 x": ("email", "jоhn@example.com1", "hn@example.com1"),
+    "from 192.168.1.1０ on": ("ip", "192.168.1.1０", "192.168.1.1"),
+    "call +44 7700 90012３ ok": ("phone", "+44 7700 90012３", "+44 7700 90012")}
+
+
+@pytest.mark.parametrize("text", PARTLY)
+def test_partial_disguises_are_found_whole(text):
+    kind, source, part = PARTLY[text]
+    base, added = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in base] == [(kind, part)]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, source)]
+    assert pii.masked(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+def test_spans_within_plain_ones_are_dropped():
+    assert pii.find("john.smith@example.com and bоb@site.org")[1] == [(0, 27, 39)]
+    assert pii._wider([(0, 5, 20)], {(0, 5, 20, True), (0, 6, 19, True), (0, 4, 20, False), (0, 19, 25, False), (0, 20, 30, False), (3, 6, 19, True)}) == [
+        (0, 4, 20), (0, 19, 25), (3, 6, 19)]
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_plain_prose_is_left_alone(text):
     assert pii.find(text) == ([], []) and pii.masked(text) == text
