@@ -29,6 +29,7 @@ SAMPLE = 2000
 SHARE = 0.5
 FEATURES = 15
 _SPACE = " \t\n\v\f\r"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _MARKS = re.compile(r"[!?#*$%&|<>]{2,}")
 _DIGITS = re.compile(r"[0-9]")
@@ -72,7 +73,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
         again = line in seen
         repeats += again
         seen.add(line)
-        parts = bare.split()
+        parts = _WORD.findall(bare)  # other white space than that of ``_SPACE`` is part of words
         n, size = len(parts), len(bare)
         words[i] = n
         upper = sum(map(str.isupper, parts))

@@ -8,9 +8,10 @@ LONG = "word " * 30_000 + "end"
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    """Missing keys and texts, empty and blank texts, a very long one, repeated rows, columns with the operators' names."""
+    """Missing keys and texts, empty and blank texts, a very long one, repeated rows, lines of other white space, columns with the operators' names."""
     rows = [(1, "alpha beta gamma delta " * 4), (None, "alpha beta gamma delta " * 4), (3, None), (4, ""), (5, " \n\t "),
-            (6, LONG), (7, "one  two\tthree\n\nfour "), (7, "one  two\tthree\n\nfour "), (8, "É x　y <|endoftext|> 1 2"), (None, None)]
+            (6, LONG), (7, "one  two\tthree\n\nfour "), (7, "one  two\tthree\n\nfour "), (8, "É x　y <|endoftext|> 1 2"), (None, None),
+            (9, "one\n\u00a0\n\u3000\n\u0085\n\x1c\x1d\n\x1e \x1f\ntwo")]
     names = ["key", "n_tokens", "kept", "spans", "component_id", "node", "ids", "Block", "row", "number", "maybe", "n_words"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                            T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)])

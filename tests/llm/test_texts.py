@@ -99,6 +99,18 @@ def test_quality_of_a_table(spark, sf, texts):
     assert all(r.kept == (not r.base_failed and r.content_share >= quality.SHARE) for r in rows)
 
 
+def test_lines_of_other_white_space(spark):
+    # Such a line is a word by the contract, and no other line's words change in number.
+    texts = ["\u00a0", "a\n\u3000\nb", "\u0085\n \x1c\x1f\t\n\n", "A\u00a0B c\u2003d\x1ee"]
+    for text in texts:
+        assert quality.line_features(text)[1].tolist() == [len(WORD.findall(line)) for line in text.split("\n")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    field = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    rows = {r.doc_id: r for r in quality.judge(docs, field).collect()}
+    assert field is not None and [rows[i].n_words for i in range(4)] == [len(WORD.findall(t)) for t in texts]
+    assert [len(rows[i].line_labels) for i in range(4)] == [t.count("\n") + 1 for t in texts]
+
+
 def test_quality_holds_out(spark):
     """Fitted on one table, judged on the labels of another."""
     train, test = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
