@@ -91,6 +91,7 @@ _ENDS = ("com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|cc|eu
          "se|no|fi|dk|ie|cz|ru|ua|jp|cn|kr|br|mx|ar|za|example|test|online|site|xyz")
 #: Bare words are signs only where a whole address is spelled: name at host dot end.
 _BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\s{1,2}at\s{1,2}|@)(?:[A-Za-z0-9-]{1,63}(?:\s{1,2}dot\s{1,2}|\.)){1,4}(?:" + _ENDS + r")(?![A-Za-z0-9])")
+_AT_WORD = re.compile(r"\sat\s")
 _BARE_DOT = re.compile(r"(?i)\s{1,2}dot\s{1,2}")
 _LOCAL_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s{1,2}dot\s{1,2}(?=[A-Za-z0-9._%+-]{1,64}\s?(?:@|\[at\]|\(at\)|\{at\}|at\s))")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s{1,2}(?:dot|point)\s{1,2}(?=[0-9])")
@@ -160,19 +161,20 @@ def normalise(text: str) -> Mapped | None:
     mapped = Mapped(text)
     if not text.isascii() and _ODD.search(text):
         mapped.rewrite(_ODD, _letter)
-    low = mapped.text.lower()
-    if any(x in low for x in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")):
+    # What a step asks of the text is no more than its pattern does, so no find depends on words elsewhere.
+    low = mapped.text.lower().replace("\u017f", "s").replace("i\u0307", "i")  # patterns that ignore case take these for s and i
+    if any(x in low for x in SPELLED):
         _spelled(mapped)
-        if "plus" in low:
-            mapped.rewrite(_PLUS, lambda _: "+")
+    if "plus" in low:
+        mapped.rewrite(_PLUS, lambda _: "+")
     if "dot" in low or "point" in low:
         mapped.rewrite(_NUMBER_DOT, lambda _: ".")
         mapped.rewrite(_LOCAL_DOT, lambda _: ".")
-    if any(x in low for x in ("at]", "at)", "at}", "at>", "at ", "@", "&#", "&c", "%40")):
+    if any(x in low for x in ("at", "@", "&#", "&c", "%40")):
         mapped.rewrite(_AT, lambda _: "@")
     if "dot" in low or "." in low or "pun" in low or "point" in low or "&#" in low or "&p" in low:
         mapped.rewrite(_DOT, lambda _: ".")
-    if "dot" in low or " at " in low:
+    if "dot" in low or " at " in low or _AT_WORD.search(low):
         _bare(mapped)
     return mapped if mapped.source is not None else None
 

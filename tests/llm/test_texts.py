@@ -312,6 +312,21 @@ def test_partial_disguises_are_found_whole(text):
     assert pii.masked(text) == text.replace(source, f"<{kind.upper()}>")
 
 
+#: Found whatever else the text holds: (text, found) alone and beside words that other steps look for.
+ALONE = {
+    "mail john at\nexample.com": ("email", "john at\nexample.com"), "mail john\tat\texample.com": ("email", "john\tat\texample.com"),
+    "call plus 44 7700 900123": ("phone", "plus 44 7700 900123"), "mail john[at\t]site[dot]org": ("email", "john[at\t]site[dot]org"),
+    "pay oh oh oh oh oh oh oh oh oh oh oh oh oh oh oh oh": ("card", "oh oh oh oh oh oh oh oh oh oh oh oh oh oh oh oh"),
+    "call plu\u017f 44 7700 900123": ("phone", "plu\u017f 44 7700 900123")}
+
+
+@pytest.mark.parametrize("text", ALONE)
+@pytest.mark.parametrize("beside", ["", " . he phoned: meet at the dot plus one"])
+def test_finds_do_not_depend_on_other_words(text, beside):
+    kind, source = ALONE[text]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text + beside)[1]] == [(kind, source)]
+
+
 def test_spans_within_plain_ones_are_dropped():
     assert pii.find("john.smith@example.com and bоb@site.org")[1] == [(0, 27, 39)]
     assert pii._wider([(0, 5, 20)], {(0, 5, 20, True), (0, 6, 19, True), (0, 4, 20, False), (0, 19, 25, False), (0, 20, 30, False), (3, 6, 19, True)}) == [
