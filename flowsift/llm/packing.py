@@ -1,8 +1,8 @@
 """Packing of tokenised documents into fixed windows, planned by non-negative least squares.
 
 1. One pass encodes every document, cuts its full windows off and keeps the tail (shorter than a window).
-2. The histogram of tail lengths (at most ``window`` bins) goes to the driver. Shallow combinations - one,
-   two or three lengths that fill a window exactly - are the columns of a non-negative least squares problem
+2. The histogram of tail lengths (at most ``window`` bins) goes to the driver. Shallow combinations - two
+   or three lengths that fill a window exactly - are the columns of a non-negative least squares problem
    whose solution says how often each combination is used; it is rounded down to what the histogram allows.
 3. Residual tails are packed greedily: laid end to end by length and cut at the window's ends.
 
@@ -32,11 +32,9 @@ PIECES = ("key {kind}, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def combinations(counts: np.ndarray, window: int, strides: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128, 256)) -> list[tuple[int, ...]]:
-    """Length combinations of at most three parts that fill the window, over lengths that occur."""
+    """Length combinations of two or three parts that fill the window, over lengths that occur."""
     there = counts > 0
     found = {(a, window - a) for a in np.flatnonzero(there[: window // 2 + 1]).tolist() if a and there[window - a]}
-    found |= {(window >> k,) for k in range(1, 11) if window >> k and window % (window >> k) == 0 and window & (window - 1) == 0
-              and there[window >> k]}
     # Triples: the two shorter parts differ from a third of the rest by a power of two.
     for a in np.flatnonzero(there).tolist():
         rest = window - a

@@ -124,6 +124,19 @@ def test_packing_of_odd_rows(odd_docs, no_docs, byte_level):
     assert packing.pack(no_docs, BYTES).count() == 0
 
 
+@pytest.mark.parametrize("counts", [{1: 1500}, {512: 3}, {256: 7, 100: 2}, {k: 50 for k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)}])
+def test_tails_of_a_power_of_two_are_packed(counts):
+    h = np.zeros(1024, np.int64)
+    for k, n in counts.items():
+        h[k] = n
+    layout, held = packing.Layout(h, 1024), Counter()
+    for k, n in counts.items():
+        for rank in range(n):
+            for _, size, sequence, _ in layout.place(k, rank):
+                held[sequence] += size
+    assert sorted(held.values(), reverse=True)[:-1] == [1024] * (len(held) - 1) and len(held) == -(-sum(held.values()) // 1024)
+
+
 @pytest.mark.parametrize("counts", [{700: 5000}, {512: 3}, {1: 10, 1023: 10}, {300: 100, 424: 50, 724: 30}, {}, {341: 10, 342: 5}])
 def test_layout_places_every_tail_once(counts):
     h = np.zeros(1024, np.int64)
