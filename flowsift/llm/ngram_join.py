@@ -487,7 +487,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer words than ``width`` is one
     n-gram; a missing, empty or blank text has none, links with nothing and is its own component.
     ``component_id`` is the least key of the component; rows without a key take part but lend no name, so it is
-    null only where no row of the component has a key. Repeated rows give repeated rows. Other columns are
+    null only where no row of the component has a key. Links are not counted: pairs within what is connected already
+    are not verified. Repeated rows give repeated rows. Other columns are
     ignored. An empty table gives an empty table.
     """
     rule = Rule(percent)
