@@ -5,8 +5,10 @@ repeats, length) and a pair of neighbouring lines by their labels; Viterbi decod
 of the whole text, and the share of words in content lines decides whether the text is kept. Plain rules come
 first: too few words or too many repeated ones fail whatever the field says.
 
-The field is fitted by maximum likelihood on at most ``SAMPLE`` labelled documents, chosen by a hash of their id;
-all lines of a good document count as content, all lines of a bad one as boilerplate.
+The field is fitted by maximum likelihood on at most ``SAMPLE`` labelled documents, chosen by a hash of their id, with
+at most ``SAMPLE_LINES`` lines, half of them for each label: documents are taken in the order of the hash until these
+are used up, the last one with its leading lines. All lines of a good document count as content, all lines of a bad
+one as boilerplate. Documents are judged whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,10 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import common
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 2000
+#: Lines that the fit uses at most, so that the driver's memory is bounded whatever the documents' length.
+SAMPLE_LINES = 1 << 18
+#: Lines that the fit takes as one sequence; a longer document is several, so that its rounds are bounded in time.
+STRETCH = 1024
 #: Share of a text's words that must lie in content lines.
 SHARE = 0.5
 FEATURES = 15
@@ -85,18 +92,19 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _fit(features: list[np.ndarray], good: list[int], rounds: int = 120, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam; expectations by forward-backward over texts of like length at once."""
-    groups: dict[int, list[int]] = {}
+    """Maximum likelihood by Adam; expectations by forward-backward over stretches of like length at once."""
+    groups: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, f in enumerate(features):
-        if len(f):
-            groups.setdefault(1 << (len(f) - 1).bit_length(), []).append(i)
+        for a in range(0, len(f), STRETCH):
+            part = f[a:a + STRETCH]
+            groups.setdefault(1 << (len(part) - 1).bit_length(), []).append((i, part))
     packs = []
     for length, members in groups.items():
         x = np.zeros((len(members), length, FEATURES))
         there = np.zeros((len(members), length), bool)
-        for r, i in enumerate(members):
-            x[r, : len(features[i])], there[r, : len(features[i])] = features[i], True
-        packs.append((x, there, np.array([good[i] for i in members])))
+        for r, (_, part) in enumerate(members):
+            x[r, : len(part)], there[r, : len(part)] = part, True
+        packs.append((x, there, np.array([good[i] for i, _ in members])))
     total = sum(int(t.sum()) for _, t, _ in packs)
     # Rare bad documents weigh as much as the good ones together would.
     weight = {c: 0.5 * len(good) / max(1, sum(g == c for g in good)) for c in (0, 1)}
@@ -136,7 +144,7 @@ def _fit(features: list[np.ndarray], good: list[int], rounds: int = 120, penalty
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
-        sample: int = SAMPLE) -> Field | None:
+        sample: int = SAMPLE, lines_most: int = SAMPLE_LINES) -> Field | None:
     """The field from labelled documents; None (all lines are content) where one of the two labels is missing.
 
     Labels that are null, contradict each other for a key or name no document are left out.
@@ -145,15 +153,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
               .groupBy("key").agg(F.min("good").alias("good"), F.max("good").alias("most")).where("good = most")
               .orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "good"))
 
+    half = lines_most // 2
+    cell = 4 * FEATURES  # bytes of a line
+
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
-            out = [line_features(t)[0].astype("<f4").tobytes() for t in common.texts_of(block.column("text")).to_pylist()]
-            yield pa.record_batch([block.column("key"), block.column("good"), pa.array(out, pa.binary())], ["key", "good", "x"])
+            out = [line_features(t)[0][:half].astype("<f4").tobytes() for t in common.texts_of(block.column("text")).to_pylist()]
+            yield pa.record_batch([block.column("key"), block.column("good"), pa.array(map(len, out), pa.int64()), pa.array(out, pa.binary())],
+                                  ["key", "good", "size", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
     # ``sample`` rows of two numbers: small enough to broadcast whatever the corpus. One text per key.
-    rows = (docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-            .mapInArrow(lines, f"key {kind}, good int, x binary").dropDuplicates(["key"]).orderBy("key").collect())
+    found = materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+                        .mapInArrow(lines, f"key {kind}, good int, size long, x binary").dropDuplicates(["key"]), "features")
+    left, taken = {0: half, 1: half}, []
+    for r in found.select("key", "good", "size").orderBy(F.xxhash64("key"), "key").collect():  # ``sample`` rows at most
+        if n := min(r["size"] // cell, left[r["good"]]):
+            left[r["good"]] -= n
+            taken.append((r["key"], n * cell))
+    take = docs.sparkSession.createDataFrame(taken, f"key {kind}, part int")
+    rows = found.join(F.broadcast(take), "key").select("key", "good", F.expr("substring(x, 1, part)").alias("x")).orderBy("key").collect()
     if {r.good for r in rows} != {0, 1}:
         return None
     return _fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(float) for r in rows], [r.good for r in rows])

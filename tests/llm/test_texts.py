@@ -111,6 +111,26 @@ def test_lines_of_other_white_space(spark):
     assert [len(rows[i].line_labels) for i in range(4)] == [t.count("\n") + 1 for t in texts]
 
 
+def test_fit_is_bounded_in_lines(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality, "_fit", lambda features, good: held.extend(zip(good, map(len, features))))
+    docs = spark.createDataFrame([(i, "a b\n" * (500 if i < 2 else 9) + "end") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    quality.fit(docs, labels, lines_most=120)
+    assert [sum(n for g, n in held if g == label) for label in (0, 1)] == [60, 60]
+    held.clear()
+    quality.fit(docs, labels)
+    assert sorted(n for _, n in held) == [10] * 38 + [501] * 2
+
+
+def test_fit_of_long_documents_is_cut_in_stretches():
+    rng = np.random.default_rng(2)
+    texts = [rng.normal(g, 1, (n, quality.FEATURES)) for g, n in ((0, 2500), (1, 3000), (0, 7), (1, 9))]
+    cut = [t[a:a + quality.STRETCH] for t in texts[:2] for a in range(0, len(t), quality.STRETCH)]
+    whole, parts = quality._fit(texts[:2], [0, 1], 20), quality._fit(cut, [0] * 3 + [1] * 3, 20)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.pairs, parts.pairs)
+
+
 def test_quality_holds_out(spark):
     """Fitted on one table, judged on the labels of another."""
     train, test = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
