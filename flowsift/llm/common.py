@@ -9,9 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Text bytes that a task holds at once; longer single texts form a block of their own.
 BLOCK_BYTES = 8 << 20
 #: Rows that Spark sends to a Python worker at once.
@@ -206,3 +209,46 @@ def without(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     flagged = df.withColumn(flag, maybe(F.col(key)))
     stay = flagged.where(~F.col(flag))
     return stay.union(flagged.where(flag).join(removed.select(key), key, "left_anti").select(*flagged.columns)).drop(flag)
+
+
+def numbered(df: DataFrame, order: Sequence[str], within: str | None = None, out: str = "place", stem: str = "numbered") -> DataFrame:
+    """``df``, written in the order of ``order`` (nulls first), with each row's 0-based place, counted anew per value of ``within``.
+
+    ``within``, if given, is the first column of ``order``. Rows are sorted by range, so a value in a third of them
+    spreads over many tasks. Each task numbers its own run of rows; what stands before a task's first rows follows
+    from one summary row per task, which is all that reaches the driver.
+    """
+    part, nth, group = (free_name(df.columns, n) for n in ("part_", "nth_", "group_"))
+    value = F.col(within).cast("string") if within else F.lit(None).cast("string")
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, held = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = pc.dictionary_encode(batch.column(group), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+            at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            if (batch.column(group)[0].as_py(),) == last:
+                at[:starts[1] if len(starts) > 1 else n] += held
+            last, held = (batch.column(group)[n - 1].as_py(),), int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([here] * n, pa.int32()), batch.column(group), pa.array(at, pa.int64())],
+                                             [*batch.schema.names[:-1], part, group, nth])
+
+    rows = materialise(df.withColumn(group, value).repartitionByRange(*order).sortWithinPartitions(*order)
+                       .mapInArrow(count, ", ".join([*names, f"`{part}` int", f"`{group}` string", f"`{nth}` long"])), stem)
+    tasks = rows.groupBy(part).agg(F.min(F.struct(group)).alias("first"), F.max(F.struct(group, nth)).alias("last")).orderBy(part).collect()
+    before, carried = [], None
+    for t in tasks:
+        first, last = t["first"][group], t["last"][group]
+        carry = carried[1] if carried and carried[0] == first else 0
+        before.append((t[part], first, carry))
+        carried = (last, t["last"][nth] + 1 + (carry if last == first else 0))
+    table = df.sparkSession.createDataFrame(before, f"`{part}` int, first_ string, before_ long")
+    table = table.select(part, *(F.col(c).alias(free_name(rows.columns, c)) for c in ("first_", "before_")))
+    first, ahead = table.columns[1:]
+    return (rows.join(F.broadcast(table), part)  # one row per task
+            .withColumn(out, F.col(nth) + F.when(F.col(group).eqNullSafe(F.col(first)), F.col(ahead)).otherwise(0))
+            .select(*df.columns, out))

@@ -97,4 +97,62 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
-ORACLE = {"op1_url_rules": URL_RULES, "op5_ngram_join": NGRAM_JOIN, "op6_secret_scan": SECRETS, "op7_chat_format": CHATS, "op10_embedding_dedup": EMBEDDINGS}
+
+
+def _crc(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal digits, bit by bit."""
+    digits = f"list_transform(string_split(({number})::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)"
+    byte = "list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, b: {byte}), 4294967295::UBIGINT)"
+
+
+TRIE = f"""WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+ FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT DISTINCT c, c - c % {100} AS b, {_crc('c')} % 6 AS h FROM o),
+t AS (SELECT h.c, o.i AS k, role, text FROM h JOIN o ON o.c = h.b AND o.i <= h.h UNION ALL SELECT h.c, 10 + o.i, role, text FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+r AS (SELECT c, row_number() OVER w AS d, length(text) AS size, string_agg(sha256(strlen(role)::VARCHAR || ':' || role || text), '' ORDER BY k) OVER w AS path
+ FROM t WINDOW w AS (PARTITION BY c ORDER BY k)),
+m AS (SELECT c, 0 AS d, 0 AS size, '' AS node FROM h UNION ALL SELECT c, d, size, sha256(path) FROM r),
+p AS (SELECT m.*, u.node AS parent, m.d = max(m.d) OVER (PARTITION BY m.c) AS ends FROM m LEFT JOIN m u ON u.c = m.c AND u.d = m.d - 1),
+n AS (SELECT d, node, any_value(parent) AS parent, min(c) AS c, count(*) AS n, any_value(size) AS size,
+ sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, node),
+k AS (SELECT d - 1 AS d, parent AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (d, node)),
+s AS (SELECT a.d, a.node, count(*) FILTER (f.kids = 0) AS n_leaves, sum((f.n - 1) * f.size)::BIGINT AS saved FROM f JOIN m a ON a.c = f.c AND a.d <= f.d GROUP BY ALL)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, q.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, n_leaves, saved AS saved_tokens, f.ends_sha256
+ FROM f JOIN s ON s.d = f.d AND s.node = f.node LEFT JOIN f q ON q.d = f.d - 1 AND q.node = f.parent"""
+
+
+def _leaf(text: str) -> str:
+    said = lambda v: f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_RUN = "PARTITION BY tree, level, place // 3 ORDER BY place ROWS BETWEEN"
+_SIDES = f"""SELECT *, count(*) OVER (PARTITION BY tree, level) AS n, coalesce(string_agg(digest, '' ORDER BY place) OVER ({_RUN} 2 PRECEDING AND 1 PRECEDING), '') AS l,
+ coalesce(string_agg(digest, '' ORDER BY place) OVER ({_RUN} 1 FOLLOWING AND 2 FOLLOWING), '') AS r"""
+
+
+def _up(nodes: str) -> str:
+    return f"""SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM
+ (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}) x WHERE n > 1 GROUP BY tree, level, place // 3"""
+
+
+MERKLE = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf('text')} AS leaf,
+ {_leaf("CASE WHEN " + _crc("coalesce(doc_id, 0)") + " % 2 = 0 AND doc_id IS NOT NULL THEN replace(text, chr(10), '') ELSE text END")} AS copy FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth FROM d),
+a AS (SELECT tree, 0 AS level, nth AS place, leaf AS digest FROM q UNION ALL {_up('a')}),
+sides AS MATERIALIZED ({_SIDES} FROM a),
+tops AS (SELECT tree AS source, '' AS tree, 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS place, digest FROM sides WHERE n = 1),
+b AS (SELECT tree, level, place, digest FROM tops UNION ALL {_up('b')}),
+over AS MATERIALIZED ({_SIDES} FROM b),
+w AS (SELECT doc_id, leaf, tree, 0 AS level, nth AS place, copy AS acc, '' AS proof FROM q UNION ALL
+ SELECT doc_id, leaf, w.tree, w.level + 1, w.place // 3, sha256(l || acc || r), proof || l || r FROM w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.place = w.place WHERE n > 1),
+x AS (SELECT doc_id, leaf, s.digest AS subroot, t.level, t.place, acc, proof FROM w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND n = 1 JOIN tops t ON t.source = w.tree),
+y AS (SELECT * FROM x UNION ALL SELECT doc_id, leaf, subroot, y.level + 1, y.place // 3, sha256(l || acc || r), proof || l || r
+ FROM y JOIN over o ON o.level = y.level AND o.place = y.place WHERE n > 1)
+SELECT doc_id, leaf, subroot, o.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.digest AS verified FROM y JOIN over o ON o.level = y.level AND n = 1"""
+
+ORACLE = {"op1_url_rules": URL_RULES, "op5_ngram_join": NGRAM_JOIN, "op6_secret_scan": SECRETS, "op7_chat_format": CHATS, "op10_embedding_dedup": EMBEDDINGS,
+          "op11_prefix_trie": TRIE, "op12_merkle_manifest": MERKLE}
