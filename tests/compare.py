@@ -30,7 +30,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
         if isinstance(v, (float, np.floating)):
-            return repr(float(v))
+            return repr(int(v) if np.isfinite(v) and v == int(v) else float(v))  # whole numbers beside missing ones are floats in pandas
         return repr(int(v)) if isinstance(v, (int, np.integer)) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df.itertuples(index=False))
