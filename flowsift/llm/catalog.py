@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_dedup, merkle, ngram_join, packing, pii, prefix_trie, quality, secrets, sql, token_counts, url_rules
+from . import byte_bpe, chat, embedding_dedup, merkle, ngram_join, packing, pii, prefix_trie, quality, secrets, sql, substring_dedup, token_counts, url_rules
 from .common import read
 
 #: Place rules of the url query; longest wins.
@@ -77,6 +77,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(read(spark, sf_dir, "documents"), merkle.without_breaks())
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_line_quality": op2_line_quality,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE: dict[str, str] = sql.ORACLE

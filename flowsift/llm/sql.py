@@ -154,5 +154,13 @@ y AS (SELECT * FROM x UNION ALL SELECT doc_id, leaf, subroot, y.level + 1, y.pla
  FROM y JOIN over o ON o.level = y.level AND o.place = y.place WHERE n > 1)
 SELECT doc_id, leaf, subroot, o.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.digest AS verified FROM y JOIN over o ON o.level = y.level AND n = 1"""
 
+REPEATS = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g JOIN m USING (k) WHERE least < doc_id),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+r AS (SELECT u.doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY u.j) FILTER (c.j IS NULL) AS kept FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.j = u.j GROUP BY u.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id"""
+
 ORACLE = {"op1_url_rules": URL_RULES, "op5_ngram_join": NGRAM_JOIN, "op6_secret_scan": SECRETS, "op7_chat_format": CHATS, "op10_embedding_dedup": EMBEDDINGS,
-          "op11_prefix_trie": TRIE, "op12_merkle_manifest": MERKLE}
+          "op11_prefix_trie": TRIE, "op12_merkle_manifest": MERKLE, "op13_substring_dedup": REPEATS}
