@@ -6,9 +6,10 @@ payload_len.
 
 The two ends of a flow are put in a fixed order (low end, high end), so the side a packet was
 sent from is known from the packet alone. Which side is "forward" is settled last, from the
-flow's first packet. Order-dependent measures are taken per (flow, block of ``block``
-consecutive ordinals) and then stitched over a flow's blocks, so a flow with a third of
-all packets is many tasks' work, not one's.
+flow's first packet. All measures are taken per (flow, block of ``block`` consecutive
+ordinals) in one pass over the packets, which are shuffled once; what a block tells is written,
+one row per flow, block and side, and stitched over a flow's blocks. A flow with a third
+of all packets is many tasks' work, not one's.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+from flowsift.session import materialise
+
+#: Ordinals of a block, and thus the most packets of a flow that one task holds together.
+BLOCK = 1 << 18
 
 FLOW = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 
@@ -58,8 +62,12 @@ def _first(value: str, cond: Column, name: str) -> list[Column]:
 def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per (flow, block, side) with everything a block can tell about its packets.
 
+    ``loss`` counts the packets with payload whose sequence number was seen before on the side in
+    this block. ``numbers`` has each number that occurs, with 1 if its first packet had payload: that packet
+    counts too if an earlier block has the number.
+
     In a flow from an endpoint to itself side a is the first packet of the block and side b the
-    rest; ``_stitched`` keeps side a only in the flow's first block.
+    rest; ``_sided`` keeps side a only in the flow's first block.
     """
     syn, synack, ack = _flags()
     rows = _canonical(packets).withColumn("block", F.expr(f"ord div {block}"))
@@ -72,6 +80,10 @@ def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
             .withColumn("peer_synack", F.when(F.col("side") == "a", mark["b"]).otherwise(mark["a"]))
             .withColumn("p1", F.lag("us", 1).over(sequence)).withColumn("p2", F.lag("us", 2).over(sequence))
             .withColumn("n1", F.lead("us", 1).over(sequence)).withColumn("n2", F.lead("us", 2).over(sequence)))
+    tcp = F.coalesce(F.col("is_tcp"), F.lit(False))
+    same_number = Window.partitionBy(*FLOW, "block", "side", "tcp", "seq").orderBy("ord")
+    rows = (rows.withColumn("tcp", tcp).withColumn("loaded", F.coalesce(F.col("payload_len") > 0, F.lit(False)).cast("int"))
+            .withColumn("nth", F.when(F.col("tcp"), F.row_number().over(same_number))))
     bend = F.abs(F.col("us") - 2 * F.col("p1") + F.col("p2"))
     return (rows.groupBy(*FLOW, "block", "side").agg(
         F.count("*").alias("n"), F.sum("len").alias("bytes"), F.sum(bend).alias("bends"),
@@ -85,15 +97,36 @@ def flow_segments(packets: DataFrame, block: int = BLOCK) -> DataFrame:
         *_first("win", F.col("is_tcp") & (F.col("win") != 0), "win"),
         *_first("us", syn, "syn"), *_first("us", synack, "synack"),
         *_first("us", ack, "ack"), *_first("us", ack & (F.col("ord") > F.col("peer_synack")), "ack_after"),
+        F.sum(F.when(F.col("nth") > 1, F.col("loaded")).otherwise(0)).alias("loss"),
+        F.collect_list(F.when(F.col("nth") == 1, F.struct("seq", "loaded"))).alias("numbers"),
     ).drop("head_ttl_ord", "head_win_ord", "ack_ord", "ack_after_ord"))
 
 
+def _sided(segments: DataFrame) -> DataFrame:
+    """Segments with their final side: behind the first block a flow to itself has side b only."""
+    later = _to_self() & (F.col("block") > F.min("block").over(Window.partitionBy(*FLOW)))
+    return segments.withColumn("side", F.when(later, "b").otherwise(F.col("side")))
+
+
+def _repeated_across(segments: DataFrame) -> DataFrame:
+    """Retransmitted packets (again_a, again_b) that only an earlier segment of the side reveals.
+
+    Only numbers of sides with several segments are taken up. Counts combine map-side, so neither a flow
+    nor a number gathers its packets in one task.
+    """
+    several = F.count("*").over(Window.partitionBy(*FLOW, "side")) > 1
+    numbers = (_sided(segments.select(*FLOW, "block", "side", "head_ord", "numbers")).withColumn("several", several).where("several")
+               .select(*FLOW, "side", "head_ord", F.explode("numbers").alias("number")))
+    per_number = (numbers.groupBy(*FLOW, "side", F.col("number.seq").alias("seq"))
+                  .agg((F.sum("number.loaded") - F.min_by("number.loaded", "head_ord")).alias("again")))
+    return per_number.groupBy(*FLOW).agg(*[F.sum(F.when(F.col("side") == side, F.col("again"))).alias(f"again_{side}") for side in "ab"])
+
+
 def _stitched(segments: DataFrame) -> DataFrame:
     """One row per flow with both sides' totals (suffix _a, _b)."""
     flow = Window.partitionBy(*FLOW)
     per_side = Window.partitionBy(*FLOW, "side").orderBy("head_ord")
-    later = _to_self() & (F.col("block") > F.min("block").over(flow))
-    segments = segments.withColumn("side", F.when(later, "b").otherwise(F.col("side")))
+    segments = _sided(segments.drop("numbers"))
     synack_block = {side: F.min(F.when((F.col("side") == side) & F.col("synack_ord").isNotNull(), F.col("block")))
                     .over(flow) for side in "ab"}
     # Blocks follow the ordinal, so the first SYN+ACK lies in the first block that has one.
@@ -116,7 +149,7 @@ def _stitched(segments: DataFrame) -> DataFrame:
         def first(name: str, order: Column = position) -> Column:
             return F.min_by(F.col(name), order).alias(f"{name}_{side}")
 
-        aggs += [F.sum(F.when(own, F.col(c))).alias(f"{c}_{side}") for c in ("n", "bytes", "bends")]
+        aggs += [F.sum(F.when(own, F.col(c))).alias(f"{c}_{side}") for c in ("n", "bytes", "bends", "loss")]
         aggs += [F.min(F.when(own, F.col("head_ord"))).alias(f"head_ord_{side}")]
         aggs += [first(c) for c in ("head", "head_ttl", "head_win")]
         aggs += [first(c, F.when(own, F.col(f"{c}_ord"))) for c in ("ttl", "win", "syn", "synack")]
@@ -125,34 +158,12 @@ def _stitched(segments: DataFrame) -> DataFrame:
     return rows.groupBy(*FLOW).agg(*aggs)
 
 
-def _losses(packets: DataFrame) -> DataFrame:
-    """Retransmitted packets per flow and side.
-
-    A packet counts if it has payload and its sequence number was seen before on its side: all
-    packets with payload of that number, less one if the first had payload. Both parts combine
-    map-side, so no flow and no sequence number gathers its packets in one task.
-
-    In a flow from an endpoint to itself the first packet is alone on its side. It is found by
-    a combinable minimum and marked by a join on the ordinal, which is unique and so free of skew.
-    """
-    canonical = _canonical(packets)
-    to_self = canonical.filter(_to_self())
-    first = to_self.groupBy(*FLOW).agg(F.min("ord").alias("ord")).select("ord", F.lit("a").alias("first_side"))
-    marked = (to_self.filter("is_tcp").join(first, "ord", "left")
-              .withColumn("side", F.coalesce("first_side", F.lit("b"))).drop("first_side"))
-    tcp = canonical.filter("is_tcp").filter(~_to_self()).unionByName(marked)
-    loaded = F.coalesce(F.col("payload_len") > 0, F.lit(False))
-    per_seq = (tcp.groupBy(*FLOW, "side", "seq")
-               .agg(F.count(F.when(loaded, 1)).alias("loaded"),
-                    F.min_by(loaded.cast("int"), F.col("ord")).alias("first")))
-    again = F.col("loaded") - F.col("first")
-    return per_seq.groupBy(*FLOW).agg(
-        *[F.sum(F.when(F.col("side") == side, again)).alias(f"loss_{side}") for side in "ab"])
-
-
 def _oriented(packets: DataFrame, block: int) -> DataFrame:
     """Flow rows with s_* (first-seen direction) and d_* columns."""
-    flows = _stitched(flow_segments(packets, block)).join(_losses(packets), FLOW, "left")
+    segments = materialise(flow_segments(packets, block), "segments")
+    flows = _stitched(segments).join(_repeated_across(segments), FLOW, "left")
+    for side in "ab":
+        flows = flows.withColumn(f"loss_{side}", F.coalesce(f"loss_{side}", F.lit(0)) + F.coalesce(f"again_{side}", F.lit(0)))
     forward_low = F.coalesce(F.col("head_ord_a") < F.col("head_ord_b"), F.col("head_ord_a").isNotNull())
     # A flow from an endpoint to itself has its first packet on side a by construction.
     names = ["n", "bytes", "bends", "head_ord", "head", "head_ttl", "head_win", "ttl", "win", "syn", "synack",
