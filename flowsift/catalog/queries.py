@@ -178,8 +178,8 @@ def fit_medians(spark, sf):
 
 
 def fit_medians_narrowed(spark, sf):
-    """Medians by the narrowing that large columns take: a tally of 50 values at most."""
-    return plain(clean.fit_medians(table(spark, sf, "raw_flows"), RAW_NUMBERS, accuracy=20, tally_limit=50))
+    """Medians selected in sixteen rounds of four bits."""
+    return plain(clean.fit_medians(table(spark, sf, "raw_flows"), RAW_NUMBERS, bits=4))
 
 
 def label_distribution(spark, sf):
@@ -208,7 +208,7 @@ def encode_categories_joined(spark, sf):
     """Encoding by the shuffle join that large dictionaries take."""
     rows = _raw_categories(spark, sf)
     known = encode.fit_encoder(rows.filter("proto IS NOT NULL AND label_text <> 'PortScan'"), ["proto", "label_text"])
-    return plain(encode.encode(rows, known, ["proto", "label_text"], limit=1))
+    return plain(encode.encode(rows, known, ["proto", "label_text"], hint="merge"))
 
 
 # -- packets and connections

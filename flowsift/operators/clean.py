@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import struct
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +79,32 @@ def column_differences(dfs: list[DataFrame]) -> list[set[str]]:
     return [first ^ set(df.columns) for df in dfs[1:]]
 
 
-def dedup_exact(df: DataFrame, ordinal: str | None = None) -> DataFrame:
-    """One row per distinct row. With an ordinal, the earliest copy and its ordinal are kept.
+def row_digest(cells: Mapping[str, Column]) -> Column:
+    """128 bits that name a row by its cells; rows are taken as equal where these are.
+
+    Spark's hash passes over missing cells, so which ones are missing is hashed beside them. Minus zero counts as zero and
+    NaN as equal to NaN, as in grouping. Two hashes begin with different constants; that any two of n different
+    rows meet has a chance of n^2 / 2^129.
+    """
+    gaps = [F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in cells.values()])]
+    return F.struct(F.xxhash64(*gaps, *cells.values()).alias("h"), F.xxhash64(F.lit("second"), *cells.values(), *gaps).alias("g"))
+
+
+def _earliest(df: DataFrame, cells: Mapping[str, Column], ordinal: str) -> DataFrame:
+    """The row with the least ordinal of each group with equal cells, as it is.
 
-    Copies meet in the map-side partial aggregate, so a row repeated without end costs its
-    tasks nothing after the first copy.
+    What is grouped and shuffled is 16 bytes and the ordinal, however wide the row; the map-side partial step
+    leaves one row of a group of copies per task. Ordinals are unique, so the join that selects the rows has no skew.
     """
+    first = df.select(row_digest(cells).alias("_d"), q(ordinal).alias("_o")).groupBy("_d").agg(F.min("_o").alias("_first")).select("_first")
+    return df.join(first, q(ordinal) == F.col("_first"), "left_semi")
+
+
+def dedup_exact(df: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """One row per distinct row. With an ordinal, which must be unique, the earliest copy and its ordinal are kept."""
     if ordinal is None:
         return df.distinct()
-    keys = [c for c in df.columns if c != ordinal]
-    return df.groupBy(*[q(c) for c in keys]).agg(F.min(q(ordinal)).alias(ordinal)).select(*[q(c) for c in df.columns])
+    return _earliest(df, {c: q(c) for c in df.columns if c != ordinal}, ordinal)
 
 
 def _near_key(df: DataFrame, name: str, digits: int) -> Column:
@@ -96,15 +115,11 @@ def _near_key(df: DataFrame, name: str, digits: int) -> Column:
 
 
 def dedup_near(df: DataFrame, cols: Iterable[str], ordinal: str, digits: int = 4) -> DataFrame:
-    """Keep the earliest row of those equal in ``cols`` after rounding to ``digits`` decimals.
+    """Keep the earliest row of those equal in ``cols`` after rounding to ``digits`` decimals, unrounded.
 
-    The rounded columns and the least ordinal go through one hash aggregate with a map-side
-    partial step, so a group of copies of any size arrives as one row per task. The surviving
-    ordinals, which are unique, then select the unrounded rows.
+    ``ordinal`` must be unique.
     """
-    rounded = df.select(*[_near_key(df, c, digits).alias(c) for c in cols], q(ordinal).alias("_first"))
-    first = rounded.groupBy(*[q(c) for c in cols]).agg(F.min("_first").alias("_first")).select("_first")
-    return df.join(first, q(ordinal) == F.col("_first"), "left_semi")
+    return _earliest(df, {c: _near_key(df, c, digits) for c in cols}, ordinal)
 
 
 def value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
@@ -131,101 +146,73 @@ def profile_missing(df: DataFrame, cols: Iterable[str] | None = None) -> DataFra
     return row.select(F.inline(counts))
 
 
-class _Bracket:
-    """Interval known to hold a column's two middle values, and the rows before and up to its end."""
-
-    def __init__(self, index: int):
-        self.index, self.low, self.high = index, -INF, INF
-        self.n = self.below = self.upto = 0
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return (self.n + 1) // 2, self.n // 2 + 1
-
-    @property
-    def inside(self) -> int:
-        return self.upto - self.below
-
-    def holds_middle(self, below: int, upto: int) -> bool:
-        return below < self.ranks[0] and upto >= self.ranks[1]
-
-    def column(self) -> Column:
-        return F.col(f"c{self.index}")
-
-    def cell(self) -> Column:
-        return F.when((self.column() >= self.low) & (self.column() <= self.high), self.column())
-
-
-def _narrow(table: DataFrame, brackets: list[_Bracket], accuracy: int) -> bool:
-    """One round: cut each bracket around the wanted ranks by a sketch of the values inside, and
-    count the rows below and up to the new ends. True if any bracket shrank."""
-    margin = 10.0 / accuracy
-    wanted = []
-    for b in brackets:
-        centre = [(rank - b.below) / b.inside for rank in b.ranks] if b.inside else [0.5, 0.5]
-        wanted.append((max(0.0, centre[0] - margin), min(1.0, centre[1] + margin)))
-    probs = sorted({p for pair in wanted for p in pair})
-    cells = table.select(*[b.cell().alias(f"c{b.index}") for b in brackets])
-    sketched = cells.approxQuantile(cells.columns, probs, 1.0 / accuracy)
-    ends = {b.index: (values[probs.index(lo)], values[probs.index(hi)])
-            for b, values, (lo, hi) in zip(brackets, sketched, wanted) if values}
-    if not ends:
-        return False
-    counted = table.agg(*[c for i, (lo, hi) in ends.items() for c in (
-        F.count(f"c{i}").alias(f"n{i}"), count_where(F.col(f"c{i}") < lo).alias(f"b{i}"),
-        count_where(F.col(f"c{i}") <= hi).alias(f"u{i}"))]).first()
-    shrank = False
-    for b in brackets:
-        if b.index in ends:
-            b.n, below, upto = (counted[f"{k}{b.index}"] for k in "nbu")
-            known = b.inside or b.n
-            b.below, b.upto = (b.below, b.upto) if b.upto else (0, b.n)
-            # A sketch that missed leaves the wider bracket, which is still right.
-            if b.holds_middle(below, upto) and upto - below <= known:
-                shrank |= upto - below < known
-                (b.low, b.high), b.below, b.upto = ends[b.index], below, upto
-    return shrank
-
-
-def fit_medians(df: DataFrame, cols: Iterable[str] | None = None, accuracy: int = 1000,
-                tally_limit: int = 1_000_000) -> DataFrame:
+#: Leading bits that one round of the median selection settles; 64 / ``BITS`` rounds give the exact value.
+BITS = 16
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned 64-bit numbers in the same order: the bits, turned over where negative."""
+    bits = (x + 0.0).view(np.int64)  # minus zero becomes zero
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-1 << 63)).view(np.uint64)
+
+
+def _from_ordered_bits(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return struct.unpack("<d", bits.to_bytes(8, "little"))[0]
+
+
+def _histogram(table: DataFrame, prefixes: list[list[int]], known: int, bits: int) -> DataFrame:
+    """(col, prefix, bin, n): how many values of a column begin with a prefix of ``known`` bits, by the ``bits`` bits behind it.
+
+    A task counts all columns in one pass over its rows and sends what occurs, so neither a frequent value nor a
+    column gathers in one place.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {(i, p): np.zeros(1 << bits, np.int64) for i, wanted in enumerate(prefixes) for p in set(wanted)}
+        for batch in batches:
+            for i, wanted in enumerate(prefixes):
+                if not wanted:
+                    continue
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                keys = _ordered_bits(x[np.isfinite(x)])
+                for p in set(wanted):
+                    mine = keys[keys >> np.uint64(64 - known) == np.uint64(p)] if known else keys
+                    totals[i, p] += np.bincount((mine >> np.uint64(64 - known - bits)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits)
+        for (i, p), n in totals.items():
+            some = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.full(len(some), i, np.int32)), pa.array(np.full(len(some), p, np.int64)),
+                                   pa.array(some), pa.array(n[some])], ["col", "prefix", "bin", "n"])
+
+    return table.mapInArrow(count, "col int, prefix long, bin long, n long").groupBy("col", "prefix", "bin").agg(F.sum("n").alias("n"))
+
+
+def fit_medians(df: DataFrame, cols: Iterable[str] | None = None, bits: int = BITS) -> DataFrame:
     """Exact median per column as rows (column_name, value); 0 where a column has no value.
 
-    Spark's exact ``median`` keeps every distinct value of a column in one task's memory. Here
-    mergeable quantile sketches bracket all medians at once, a count tells how many rows lie
-    below each bracket, and both are repeated inside the brackets (each round keeps about 2 % of
-    the rows) until at most ``tally_limit`` values per column are left to be tallied one by one.
-    A frequent value closes its bracket at once and needs no tally.
+    Spark's exact ``median`` keeps every distinct value of a column in one task's memory. Here the two middle values
+    are selected by their bits: doubles keep their order as 64-bit numbers, a round counts the values of all columns
+    by the next ``bits`` bits, and running sums over at most 2^bits bins tell which bin holds the rank. A
+    fixed number of passes, 64 / ``bits``, gives the values exactly, whatever their distribution. The driver
+    gets two rows per column and round.
     """
+    if 64 % bits:
+        raise ValueError("bits must divide 64")
     names = list(cols or numeric_columns(df))
-    clean = inf_to_null(df.select(*[q(c) for c in names]))
-    clean = clean.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    brackets = [_Bracket(i) for i in range(len(names))]
-    todo = brackets
-    while todo and _narrow(clean, todo, accuracy):
-        todo = [b for b in todo if b.n and b.low < b.high and b.inside > tally_limit]
-
     spark = df.sparkSession
-    names_df = spark.createDataFrame(list(enumerate(names)), "col int, column_name string")
-    single = [(b.index, b.low) for b in brackets if b.n and b.low == b.high]
-    medians = spark.createDataFrame(single, "col int, value double")
-    spread = [b for b in brackets if b.n and b.low < b.high]
-    if spread:
-        cells = F.filter(F.array(*[F.when(b.cell().isNotNull(), F.struct(F.lit(b.index).alias("col"), b.column().alias("v")))
-                                   for b in spread]), lambda x: x.isNotNull())
-        tally = (clean.select(F.explode(cells).alias("x"))
-                 .groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v")).agg(F.count("*").alias("k")))
-        known = spark.createDataFrame([(b.index, b.below, *b.ranks) for b in spread], "col int, below long, r1 long, r2 long")
-        running = Window.partitionBy("col").orderBy("v")
-        placed = (tally.join(known, "col").withColumn("upto", F.col("below") + F.sum("k").over(running))
-                  .withColumn("before", F.col("upto") - F.col("k")))
-
-        def at(rank: str) -> Column:
-            return F.max(F.when((F.col("before") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("v")))
-
-        medians = medians.unionByName(placed.groupBy("col").agg(((at("r1") + at("r2")) / 2).alias("value")))
-    return (names_df.join(medians, "col", "left")
-            .select("column_name", F.coalesce("value", F.lit(0.0)).alias("value")))
+    table = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    # Per column and side (lower, upper middle value): the bits known so far and the rank among the values with these bits.
+    sought: dict[tuple[int, int], tuple[int, int | None]] = {(i, side): (0, None) for i in range(len(names)) for side in (0, 1)}
+    for known in range(0, 64, bits):
+        wanted = spark.createDataFrame([(i, side, *x) for (i, side), x in sought.items()], "col int, side int, prefix long, rank long")
+        counts = _histogram(table, [[sought[i, s][0] for s in (0, 1) if (i, s) in sought] for i in range(len(names))], known, bits)
+        same = Window.partitionBy("col", "prefix")
+        placed = counts.withColumn("upto", F.sum("n").over(same.orderBy("bin"))).withColumn("all", F.sum("n").over(same))
+        rank = F.coalesce("rank", F.floor((F.col("all") + 1 + F.col("side")) / 2))
+        hits = (placed.join(F.broadcast(wanted), ["col", "prefix"]).withColumn("rank", rank)
+                .where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))).collect())
+        sought = {(r["col"], r["side"]): (r["prefix"] << bits | r["bin"], r["rank"] - r["upto"] + r["n"]) for r in hits}
+    medians = [(name, sum(_from_ordered_bits(sought[i, s][0]) for s in (0, 1)) / 2 if (i, 0) in sought else 0.0) for i, name in enumerate(names)]
+    return spark.createDataFrame(medians, "column_name string, value double")
 
 
 def medians_as_dict(medians: DataFrame) -> dict[str, float]:

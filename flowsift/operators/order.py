@@ -1,9 +1,9 @@
 """Global order, exact splits and samples without a single-task sort.
 
-``row_number() over (order by ...)`` alone sends every row to one task. Here rows go to buckets
-whose order is known, each bucket is numbered on its own, and a small table of bucket sizes
-supplies the offset. Buckets stay level even if one key value holds most of the table, because
-such a value gets its own bucket, cut further by the (unique) ordinal.
+``row_number() over (order by ...)`` alone sends every row to one task. Here rows are dealt out by
+ranges of the sort columns in their own types, each range is numbered on its own, and a small table of
+range sizes supplies the offset. Ranges stay level even if one value holds most of the table, because
+the last sort column is unique (an ordinal, or the values themselves) and cuts such a value further.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalars import FLOATS, INF, q
+from flowsift.session import materialise
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -37,63 +38,45 @@ def _bucketize(df: DataFrame, source: str, out: str, cuts: list[float]) -> DataF
 
 
 def sort_key(df: DataFrame, key: str) -> Column:
-    """The key as it is ordered by: missing ones and NaN as 0, whole numbers without rounding to double."""
+    """The key as it is ordered by: missing ones and NaN as 0, in its own type."""
     kind = next(f.dataType for f in df.schema.fields if f.name == key)
     c = q(key)
     return F.coalesce(F.nanvl(c, F.lit(0.0)) if isinstance(kind, FLOATS) else c, F.lit(0))
 
 
-def range_buckets(df: DataFrame, key: str, ordinal: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_b`` and ``_s``: all rows of a smaller (_b, _s) precede those of a larger one in
-    (key, ordinal) order, and no pair holds much more than its share of the rows.
+def in_ranges(df: DataFrame, by: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` written in the order of ``by``, with ``_range`` and ``_at``: all rows of a smaller range come first,
+    and ``_at`` numbers the rows of a range without gaps.
 
-    One pass collects 2 x ``buckets`` quantiles to the driver. A value that spans m > 1 of the n
-    key quantiles is cut by min(n, m^2) quantiles of the ordinal, so there are never more than
-    about n^1.5 pairs. Missing keys and NaN sort as 0. Whole numbers beyond 2^53 can be equal as
-    doubles and yet differ, so such a value is not cut by the ordinal.
+    Spark cuts the ranges at sampled values of all columns of ``by`` together, so whole numbers need not pass for doubles
+    and a value in most rows is cut by the columns behind it. The table is written because a range keeps its
+    rows only if it is not sorted anew.
     """
-    n = buckets or default_buckets(df)
-    keyed = (df.withColumn("_k", sort_key(df, key).cast("double"))
-             .withColumn("_o", q(ordinal).cast("double")))
-    probs = [i / n for i in range(1, n)]
-    key_q, ord_q = keyed.approxQuantile(["_k", "_o"], probs, 1.0 / (4 * n))
-    key_cuts, hot = _cuts(key_q)
-    if dict(df.dtypes)[key] not in ("double", "float"):
-        hot = [v for v in hot if abs(v) <= 2.0 ** 53]
-    tagged = _bucketize(keyed, "_k", "_b", key_cuts)
-    if not hot:
-        return tagged.withColumn("_s", F.lit(0.0)).drop("_k", "_o")
-    ord_cuts, _ = _cuts(ord_q)
-    tagged = _bucketize(tagged, "_o", "_oc", ord_cuts)
-    parts = [0] * (len(key_cuts) - 1)
-    for value in hot:
-        # Plus infinity has the last bucket to itself, any other value the one that it begins.
-        parts[len(parts) - 1 if value == INF else key_cuts.index(value)] = min(len(ord_cuts) - 1, key_q.count(value) ** 2)
-    own_parts = F.get(F.lit(parts), F.col("_b").cast("int"))
-    return (tagged.withColumn("_s", F.floor(F.col("_oc") * own_parts / float(len(ord_cuts) - 1)).cast("double"))
-            .drop("_k", "_o", "_oc"))
+    dealt = df.repartitionByRange(ranges, *map(q, by)) if ranges else df.repartitionByRange(*map(q, by))
+    return materialise(dealt.sortWithinPartitions(*map(q, by)).withColumn("_range", F.spark_partition_id())
+                       .withColumn("_at", F.monotonically_increasing_id()), "ranges")
 
 
-def with_offsets(tagged: DataFrame, cells: list[str], within: list[str] | None = None) -> DataFrame:
-    """Add ``_off``: rows in the earlier cells (of the same ``within`` group).
+def place_in_order(df: DataFrame, by: list[str], within: str | None = None, out: str = "place", ranges: int | None = None) -> DataFrame:
+    """0-based place of each row in the order of ``by``, counted anew for each value of ``within``, the first of ``by``.
 
-    The table of cells has one row per bucket, a number bounded by the bucket count and not by
-    the data, so the one-task running sum stays small; Spark broadcasts it if its size allows.
+    The table of offsets has one row per range and value of ``within`` in it. Without ``within`` these are as
+    many as ranges; with it, ``within`` should have few values, such as column names.
     """
-    group = within or []
-    sizes = tagged.groupBy(*group, *cells).agg(F.count("*").alias("_n"))
-    spec = Window.partitionBy(*group).orderBy(*cells) if group else Window.orderBy(*cells)
-    offsets = sizes.select(*group, *cells, (F.sum("_n").over(spec) - F.col("_n")).alias("_off"))
-    return tagged.join(offsets, [*group, *cells])
+    rows = in_ranges(df, by, ranges)
+    cells = [*([within] if within else []), "_range"]
+    sizes = rows.groupBy(*map(q, cells)).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    earlier = Window.partitionBy(*([q(within)] if within else [])).orderBy("_range")
+    offsets = sizes.select(*[q(c).alias(f"_c{i}") for i, c in enumerate(cells)], (F.sum("_n").over(earlier) - F.col("_n") - F.col("_from")).alias("_off"))
+    same = [q(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cells)]
+    return (rows.join(offsets, same).withColumn(out, F.col("_at") + F.col("_off"))
+            .select(*[q(c) for c in df.columns], out))
 
 
-def global_row_number(df: DataFrame, key: str, ordinal: str, out: str = "rn",
-                      buckets: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, key: str, ordinal: str, out: str = "rn", buckets: int | None = None) -> DataFrame:
     """1-based position in (key, ordinal) order over the whole table; missing keys and NaN sort as 0."""
-    tagged = with_offsets(range_buckets(df, key, ordinal, buckets), ["_b", "_s"])
-    inside = Window.partitionBy("_b", "_s").orderBy(sort_key(df, key), q(ordinal))
-    return (tagged.withColumn(out, F.col("_off") + F.row_number().over(inside))
-            .drop("_b", "_s", "_off"))
+    placed = place_in_order(df.withColumn("_key", sort_key(df, key)), ["_key", ordinal], out="_place", ranges=buckets)
+    return placed.select(*[q(c) for c in df.columns], (F.col("_place") + 1).alias(out))
 
 
 def seeded_hash(identifier: str, seed: int) -> Column:

@@ -39,13 +39,10 @@ def clean_labelled(df: DataFrame, profile: Profile, ordinal: str = ORD) -> DataF
     what is left. The first row of a group stays with its own label.
     """
     labelled = profile.label(df)
-    features = [c for c in labelled.columns if c not in ("label", ordinal)]
-    first = (labelled.groupBy(*[q(c) for c in features])
-             .agg(F.min(q(ordinal)).alias(ordinal), F.min_by("label", q(ordinal)).alias("label")))
-    kept = clean.inf_to_null(clean.drop_known(first, [c for c in profile.drops if c != "label"]))
-    # The near-copy step reads its input twice.
-    kept = materialise(kept, "exact")
-    return clean.dedup_near(kept, [c for c in kept.columns if c not in ("label", ordinal)], ordinal)
+    cleaned = clean.inf_to_null(clean.drop_known(labelled, [c for c in profile.drops if c != "label"]))
+    # Exact copies are near copies too and the earliest of them all is the earliest of the exact ones it belongs to, so
+    # one pass over rounded rows does both steps.
+    return clean.dedup_near(cleaned, [c for c in cleaned.columns if c not in ("label", ordinal)], ordinal)
 
 
 def fit_state(train: DataFrame, profile: Profile) -> sinks.PrepState:
@@ -57,7 +54,7 @@ def fit_state(train: DataFrame, profile: Profile) -> sinks.PrepState:
     names = [c for c in train.columns if c not in META]
     kinds = dict(train.dtypes)
     categoricals = [c for c in names if c in profile.categoricals or kinds[c] == "string"]
-    encoders = encode.small_table(encode.fit_encoder(train, categoricals)) if categoricals else (
+    encoders = encode.fit_encoder(train, categoricals) if categoricals else (
         train.sparkSession.createDataFrame([], encode.SCHEMA))
     numbers = numeric_columns(train, [*META, *categoricals])
     medians = clean.medians_as_dict(clean.fit_medians(train, numbers))

@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,14 +35,47 @@ def test_medians_equal_the_plain_definition(spark):
             "even": [float(i) if i < 1000 else None for i in range(2001)], "none": [None] * 2001}
     df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(5)
     got = clean.medians_as_dict(clean.fit_medians(df))
-    # Narrowing round after round, down to a handful of values, gives the same.
-    assert got == clean.medians_as_dict(clean.fit_medians(df, accuracy=100, tally_limit=5))
-    assert got == clean.medians_as_dict(clean.fit_medians(df, accuracy=15, tally_limit=5))
+    # Smaller steps give the same.
+    assert got == clean.medians_as_dict(clean.fit_medians(df, bits=8))
+    assert got == clean.medians_as_dict(clean.fit_medians(df, bits=4))
     for name, values in cols.items():
         finite = [v for v in values if v is not None and v == v and abs(v) != INF]
         assert got[name] == pytest.approx(statistics.median(finite) if finite else 0.0, rel=1e-12), name
 
 
+def test_medians_of_extreme_values(spark):
+    tiny, huge = 5e-324, 1.7e308
+    cols = {"signs": [-0.0, 0.0, -tiny, tiny, -huge, huge], "near": [1.0, 1.0 + 2 ** -52, 1.0 - 2 ** -53, None, None, None],
+            "below": [-huge, -1.0, -1.0 - 2 ** -52, None, None, None], "one": [None] * 5 + [-3.5], "same": [7.0] * 6}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(3)
+    want = {c: statistics.median(x for x in v if x is not None) for c, v in cols.items()}
+    assert clean.medians_as_dict(clean.fit_medians(df)) == want
+    assert clean.medians_as_dict(clean.fit_medians(df.where("same is null"))) == dict.fromkeys(cols, 0.0)
+
+
+def test_ordered_bits_keep_order_and_value():
+    values = [-INF, -1e300, -1.0, -5e-324, 0.0, 5e-324, 0.5, 1.0, 1e300, INF]
+    keys = clean._ordered_bits(np.array(values)).tolist()
+    assert keys == sorted(keys) and [clean._from_ordered_bits(k) for k in keys] == values
+
+
+def test_duplicates_with_gaps_signs_and_wide_rows(spark):
+    rows = [(0, None, "a", 1.0), (1, "a", None, 1.0), (2, None, "a", 1.0), (3, "", "a", 1.0), (4, None, "a", -0.0), (5, None, "a", 0.0), (6, None, "a", NAN),
+            (7, None, "a", NAN), (8, None, None, None), (9, None, None, None), (10, "a", "", 1.0), (11, None, "a", 1.00004)]
+    df = spark.createDataFrame(rows, "ord long, x string, y string, z double").repartition(4)
+    assert sorted(r.ord for r in clean.dedup_exact(df, "ord").collect()) == [0, 1, 3, 4, 6, 8, 10, 11]
+    # Rounded, NaN is missing.
+    assert sorted(r.ord for r in clean.dedup_near(df, ["x", "y", "z"], "ord").collect()) == [0, 1, 3, 4, 6, 8, 10]
+    assert sorted(r.ord for r in clean.dedup_near(df, ["z"], "ord").collect()) == [0, 4, 6]
+
+
+def test_only_digests_are_grouped(spark):
+    wide = spark.range(10).select("id", *[F.col("id").cast("double").alias(f"column_{i}") for i in range(70)])
+    plan = clean.dedup_near(wide, wide.columns[1:], "id")._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "HashAggregate" in line]
+    assert grouped and all("column_7" not in line.split("functions")[0] for line in grouped)
+
+
 def test_labels(spark):
     text = spark.createDataFrame([(" BENIGN ",), ("BENIGN",), ("DoS",), (None,)], "Label string")
     assert [r.label for r in clean.label_from_text(text).collect()] == [0, 0, 1, 1]
@@ -85,11 +119,21 @@ def test_dictionary_and_unseen_values(spark):
     known = encode.fit_encoder(df, ["proto"])
     assert {r.value: r.code for r in known.collect()} == {"nan": 0, "tcp": 1, "udp": 2}
     new = spark.createDataFrame([("udp",), ("icmp",), (None,)], "proto string")
-    for limit in (100_000, 1):
-        assert [r.proto for r in encode.encode(new, known, ["proto"], limit=limit).orderBy(F.col("proto")).collect()] == [0, 0, 2]
+    for hint in (None, "merge"):
+        assert [r.proto for r in encode.encode(new, known, ["proto"], hint=hint).orderBy(F.col("proto")).collect()] == [0, 0, 2]
     assert sorted(r.proto for r in encode.encode(new, known, ["proto"], unseen=-1).collect()) == [-1, 0, 2]
 
 
+def test_large_dictionaries_are_numbered_range_by_range(spark):
+    df = spark.range(200_000).select(F.hex(F.xxhash64("id")).alias("long"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("v"), F.col("id") % 7)).alias("short"),
+                                     F.lit(None).cast("string").alias("none"))
+    known = encode.fit_encoder(df, ["long", "short", "none"], ranges=9).collect()
+    for name in df.columns:
+        found = sorted((r.code, r.value) for r in known if r.column_name == name)
+        assert [v for _, v in found] == sorted({"nan" if r[0] is None else r[0] for r in df.select(name).distinct().collect()})
+        assert [c for c, _ in found] == list(range(len(found)))
+
+
 def test_common_schema_of_both_profiles(spark):
     assert (len(COMMON), len(SOURCES["u"]), len(SOURCES["c"])) == (64, 38, 37)
     u = to_common(spark.createDataFrame([(16.0, 8.0, 3, 5)], "sload double, dload double, sinpkt int, dinpkt int"), "u").first()

@@ -22,10 +22,29 @@ def test_row_number_with_a_hot_value_and_gaps(spark, partitions, buckets):
 
 def test_hot_value_is_cut_into_level_buckets(spark):
     df = spark.range(20000).select("id", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("t"))
-    sizes = [r["count"] for r in order.range_buckets(df, "t", "id", 16).groupBy("_b", "_s").count().collect()]
+    sizes = [r["count"] for r in order.in_ranges(df, ["t", "id"], 16).groupBy("_range").count().collect()]
     assert sum(sizes) == 20000 and max(sizes) < 3 * 20000 / 16
 
 
+def test_whole_numbers_that_are_one_double_are_told_apart_and_cut(spark):
+    # Nanoseconds: 3,000 successive numbers round to a dozen doubles.
+    start = 1_700_000_000_000_000_001
+    rows = [(i, start + (i * 7919) % 3000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t long").repartition(5)
+    assert len({float(t) for _, t in rows}) < 20
+    assert _numbers(df, 16) == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: r[1]), 1)}
+    sizes = [r["count"] for r in order.in_ranges(df, ["t", "id"], 16).groupBy("_range").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 3 * 3000 / 16
+
+
+def test_places_per_value(spark):
+    rows = [(None if i % 5 == 0 else "ab"[i % 2], (i * 37) % 400) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(6)
+    got = {(r.g, r.v): r.place for r in order.place_in_order(df, ["g", "v"], within="g", ranges=11).collect()}
+    for g in (None, "a", "b"):
+        assert [got[g, v] for v in sorted(v for x, v in rows if x == g)] == list(range(sum(x == g for x, _ in rows)))
+
+
 def test_row_number_of_small_tables(spark):
     empty = spark.createDataFrame([], "id long, t double")
     assert _numbers(empty, 4) == {}
