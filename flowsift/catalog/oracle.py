@@ -226,6 +226,15 @@ ranked AS (SELECT flow_id, label, row_number() OVER (PARTITION BY label ORDER BY
 split AS (SELECT flow_id, label::BIGINT AS label, CASE WHEN nth <= n_train THEN 'train' WHEN nth <= n_train + n_val THEN 'validation'
   ELSE 'test' END AS split FROM ranked JOIN sizes USING (label))"""
 
+# The same split over what cleaning leaves: copies go, the least id stays.
+PLANTED = ctes("flows") + """,
+cleaned AS (SELECT min(flow_id) AS flow_id, label FROM (SELECT flow_id, (sttl = 128)::INT AS label, service, state, spkts, dpkts, sttl,
+  round_even(sbytes::DOUBLE / 7 * 10000, 0) / 10000 AS rate FROM flows) GROUP BY label, service, state, spkts, dpkts, sttl, rate)""" + (
+    SPLIT[len(ctes("flows")):].replace("FROM flows", "FROM cleaned"))
+# Every fitted tree tells the planted label, so the test part is judged without a mistake.
+PERFECT = PLANTED + """ SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_score, 1.0::DOUBLE AS roc_auc, count(*) FILTER (label = 0) AS true_negatives,
+  0::BIGINT AS false_positives, 0::BIGINT AS false_negatives, count(*) FILTER (label = 1) AS true_positives, count(*) AS total_samples FROM split WHERE split = 'test'"""
+
 RAW_CLEAN = ctes("raw_flows") + f", clean AS (SELECT * REPLACE ({finite('flow_bytes_s')} AS flow_bytes_s) FROM raw_flows)"
 
 CATEGORY = "coalesce({c}, 'nan')"
@@ -427,6 +436,11 @@ ORACLE: dict[str, str] = {
     "run_summary": SUMMARY + " SELECT * FROM summary",
     "hybrid_detection": JUDGED + f""" SELECT flow_id, analysis_id, final_verdict, triggered_by, severity, {r('score')} AS probability, n_alerts, matched_rules FROM judged""",
     "detections_store": JUDGED + " SELECT detection_id, flow_id, analysis_id, triggered_by, severity FROM hit",
+    "detection_lookup": SUMMARY + """ SELECT detection_id, flow_id, h.analysis_id, severity, flow_count FROM hit h JOIN summary USING (analysis_id)
+ JOIN (SELECT analysis_id, min(detection_id) AS a, max(detection_id) AS z FROM hit GROUP BY 1) e ON e.analysis_id = h.analysis_id AND detection_id IN (a, z)""",
+    "training_run": PERFECT, "evaluation_run": PERFECT,
+    "csv_flows": ctes("flows") + """ SELECT flow_id, CASE WHEN flow_id // 1000 % 2 = 0 THEN dur END AS dur, service, sbytes AS total_length,
+  row_number() OVER (ORDER BY flow_id // 1000 % 2, flow_id) - 1 AS ord FROM flows""",
     "kpi_totals": SUMMARY + " SELECT count(*) AS runs, sum(flow_count)::BIGINT AS flows, sum(total_intrusions)::BIGINT AS intrusions FROM summary",
     "kpi_severity": JUDGED + " SELECT severity, count(*) AS n FROM hit GROUP BY 1",
     "kpi_trigger": JUDGED + " SELECT triggered_by, count(*) AS n FROM hit GROUP BY 1",

@@ -8,6 +8,7 @@ as text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from flowsift.catalog.fixtures import table
 from flowsift.functions.scalars import q
 from flowsift.operators import (alerts, attribution, clean, common_schema, connections, encode, fuse, metrics, model,
                                 order, packets, reports, rules, views)
-from flowsift.plans import pipelines
+from flowsift.plans import pipelines, profiles
 from flowsift.plans.pipelines import hybrid_detection
 from flowsift.session import materialise, scratch_path
 from flowsift.sources import flows as flow_sources
@@ -489,14 +490,28 @@ def hybrid_detection_query(spark, sf):
 
 
 def detections_store(spark, sf):
-    """Store all runs, then read the whole store back."""
-    from flowsift.session import scratch_path
+    """Store all runs, store them again, then read the whole store back."""
+    path = _stored(spark, sf, 2)
+    return plain(sinks.read_detections(spark, path).select("detection_id", "flow_id", "analysis_id", "triggered_by", "severity"))
 
-    judged = _judged(spark, sf)
+
+def _stored(spark, sf, times: int = 1) -> str:
+    judged = materialise(_judged(spark, sf), "judged")
     path = scratch_path(spark, "store")
-    sinks.write_detections(fuse.detection_rows(judged), views.run_summary(judged), path)
-    return plain(sinks.read_detections(spark, path).select(
-        "detection_id", "flow_id", F.col("analysis_id").cast("string").alias("analysis_id"), "triggered_by", "severity"))
+    for _ in range(times):
+        sinks.write_detections(fuse.detection_rows(judged), views.run_summary(judged), path)
+    return path
+
+
+def detection_lookup(spark, sf):
+    """The first and the last id of each run, each looked up in the store by id alone, with the summary of its run."""
+    path = _stored(spark, sf)
+    stored = sinks.read_detections(spark, path)
+    ends = stored.groupBy("analysis_id").agg(F.min("detection_id").alias("a"), F.max("detection_id").alias("z")).collect()
+    found = [sinks.lookup_detection(stored, i).join(sinks.lookup_run(spark, path, r["analysis_id"]).select("analysis_id", "flow_count"), "analysis_id")
+             for r in ends for i in (r["a"], r["z"])]
+    rows = reduce(DataFrame.unionByName, found).select("detection_id", "flow_id", "analysis_id", "severity", "flow_count")
+    return plain(rows)
 
 
 # -- views and reports
@@ -668,6 +683,50 @@ def global_attribution(spark, sf):
     return attribution.global_attribution(matrix, fitted, MODEL_FEATURES)
 
 
+def _planted(spark, sf) -> DataFrame:
+    """Labelled flows with copies: whether one is an attack shows in one feature, so any fitted tree knows it."""
+    flows = table(spark, sf, "flows").select(
+        "flow_id", F.col("src_ip").alias("srcip"), "service", "state", "spkts", "dpkts", "sttl", (F.col("sbytes") / 7).alias("rate"),
+        (F.col("sttl") == 128).cast("int").alias("label"))
+    return flows.unionByName(flows.where("flow_id % 3 = 0").withColumn("flow_id", F.col("flow_id") + 10_000_000_000))
+
+
+PLANTED = pipelines.TrainConfig(boost=model.BoostConfig(trees=3, depth=3, rate=0.5, column_sample=1.0, row_sample=1.0))
+
+
+def _trained_run(spark, sf) -> str:
+    path = scratch_path(spark, "run")
+    pipelines.run_training(_planted(spark, sf), profiles.U, "flow_id", PLANTED, path)
+    return path
+
+
+def _outcome(metrics_: DataFrame) -> DataFrame:
+    return plain(metrics_.select("accuracy", "f1_score", "roc_auc", "true_negatives", "false_positives", "false_negatives", "true_positives", "total_samples"))
+
+
+def training_run(spark, sf):
+    """A whole training run, as its stored metrics tell: cleaned, split, fitted, evaluated on the test part."""
+    return _outcome(spark.read.json(f"{_trained_run(spark, sf)}/metrics"))
+
+
+def evaluation_run(spark, sf):
+    """A saved model evaluated on the test part of the table it was trained on."""
+    tables = pipelines.run_evaluation(spark, _planted(spark, sf), profiles.U, "flow_id", _trained_run(spark, sf), PLANTED)
+    return _outcome(tables["metrics"])
+
+
+def csv_flows(spark, sf):
+    """Flows written as CSV files of two headers and read back by name, numbered by file and row."""
+    rows = table(spark, sf, "flows").select("flow_id", "dur", "service", F.col("sbytes").alias(" Total Length"), F.expr("flow_id div 1000 % 2").alias("half"))
+    path = scratch_path(spark, "csv")
+    for half, names in ((0, ["flow_id", "dur", "service", " Total Length"]), (1, [" Total Length", "flow_id", "service"])):
+        (rows.where(F.col("half") == half).select(*map(q, names)).repartitionByRange("flow_id").sortWithinPartitions("flow_id")
+         .write.csv(f"{path}/{half}", header=True))
+    types = {"flow_id": T.LongType(), "Total Length": T.LongType(), "dur": T.DoubleType()}
+    back = flow_sources.read_flow_csvs(spark, [f"{path}/0", f"{path}/1"], lambda n: types.get(n, T.StringType()), ordinal="ord")
+    return back.select("flow_id", "dur", "service", F.col("Total Length").alias("total_length"), "ord")
+
+
 QUERIES: dict[str, Query] = {
     "hybrid_detection": hybrid_detection_query,
     **{f.__name__: f for f in (
@@ -679,7 +738,8 @@ QUERIES: dict[str, Query] = {
         extract_flows_u, split_stratified, split_summary, sample_n, class_weight, binary_metrics, class_report,
         threshold_sweep, threshold_best, roc_curve, roc_auc, pr_curve, pr_auc, compare_detectors, complementarity, flow_results,
         rule_signatures, rules_empty, match_alerts, match_alerts_gravest, verdicts, fuse_verdicts,
-        severity_detection, severity_incident, detection_rows, run_summary, detections_store, kpi_totals,
+        severity_detection, severity_incident, detection_rows, run_summary, detections_store, detection_lookup, training_run, evaluation_run,
+        csv_flows, kpi_totals,
         kpi_severity, kpi_trigger, breakdown_protocol, top_src, top_dst, recent_incidents, activity_series,
         fit_medians_narrowed, encode_categories_joined, packets_to_flows_blocks, conn_window_counts_blocks,
         attributions_add_up, importance_total, row_number_gaps, metrics_unscored, conn_log_lines, explained_incidents, match_alerts_aliases,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowsift.functions.scalars import numeric_columns, q
 from flowsift.operators import attribution, clean, encode, fuse, metrics, model, order, reports, views
 from flowsift.operators.alerts import match_alerts
+from flowsift.operators.common_schema import descriptions_of
 from flowsift.operators.rules import Rule, apply_rules
 from flowsift.plans.profiles import Profile
 from flowsift.session import materialise
@@ -58,7 +59,7 @@ def fit_state(train: DataFrame, profile: Profile) -> sinks.PrepState:
         train.sparkSession.createDataFrame([], encode.SCHEMA))
     numbers = numeric_columns(train, [*META, *categoricals])
     medians = clean.medians_as_dict(clean.fit_medians(train, numbers))
-    return sinks.PrepState(encoders, medians, names)
+    return sinks.PrepState(encoders, medians, names, descriptions_of(names))
 
 
 def apply_state(df: DataFrame, state: sinks.PrepState, keep: Sequence[str], fill: str = "median") -> DataFrame:
@@ -115,8 +116,9 @@ def run_training(df: DataFrame, profile: Profile, ordinal: str, config: TrainCon
     fitting = matrix.filter("split <> 'test'").withColumn("is_val", F.col("split") == "validation")
     fitted = model.train_model(fitting, features, "label", cfg.boost, "is_val")
     limit = cfg.threshold if cfg.threshold is not None else profile.threshold
+    # All tables of the evaluation read labels and scores only, computed once.
     scored = model.score(matrix.filter("split = 'test'"), fitted, features, limit)
-    results = evaluate(scored, limit)
+    results = evaluate(materialise(scored.select("label", "score"), "scored"), limit)
     if out:
         model.save_model(fitted, f"{out}/model")
         state.save(f"{out}/state")

@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
     Only a local master may go without the setting; it gets a folder under the system's
-    temporary directory.
+    temporary directory. On a cluster the setting is taken as given: a folder that is mounted on all machines
+    may be named without a scheme or with ``file:``.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import csv
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from flowsift.functions.scalars import q
 from flowsift.operators.clean import column_differences, inf_to_null, union_flows
 from flowsift.sources.schemas import (EXPORTER, EXPORTER_METADATA, PACKETS, RAW_TO_PRESPLIT_U, RAW_U, type_c,
                                       type_u)
+from flowsift.session import materialise
 
 log = logging.getLogger("flowsift.sources")
 
@@ -28,19 +32,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths that exist; a warning for each other one, an error if none is left."""
-    found = []
-    for path in paths:
-        if path_exists(spark, path):
-            found.append(path)
-        else:
-            log.warning("file not found: %s", path)
-    if not found:
-        raise FileNotFoundError(f"none of the input files exists: {list(paths)}")
-    return found
-
-
 def unique_names(names: Sequence[str]) -> list[str]:
     """Trimmed names; the second X becomes X.1, the third X.2."""
     seen: dict[str, int] = {}
@@ -56,64 +47,104 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names(df.columns))
 
 
-def data_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The files behind paths, folders and patterns, in the order given and by name within one."""
+_PATTERN = set("*?[]{}\\")
+
+
+def data_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The files behind paths, folders and patterns, in the order given and by name within one, as {path: address}.
+
+    The address is what Spark's file metadata says. A folder is listed once, however many of its files are named.
+    A warning for each path that does not exist, an error if none does.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for path in paths:
+    folders: dict[str, dict[str, object]] = {}
+
+    def statuses(found) -> list:
+        return sorted(((s.getPath(), s) for s in found or ()), key=lambda x: x[0].toString())
+
+    def one(path: str) -> list:
         target = jvm.org.apache.hadoop.fs.Path(path)
         system = target.getFileSystem(conf)
-        for status in sorted(system.globStatus(target), key=lambda s: s.getPath().toString()):
-            listed = [status] if status.isFile() else [s for s in system.listStatus(status.getPath()) if s.isFile()]
-            names = [s.getPath() for s in listed if s.getPath().getName()[0] not in "._"]
-            out += sorted(p.toString() for p in names)
+        if _PATTERN & set(path) or target.getParent() is None:
+            return statuses(system.globStatus(target))
+        folder = target.getParent().toString()
+        if folder not in folders:
+            there = system.exists(target.getParent())
+            folders[folder] = {p.getName(): (p, s) for p, s in statuses(system.listStatus(target.getParent()) if there else ())}
+        return [folders[folder][target.getName()]] if target.getName() in folders[folder] else []
+
+    out: dict[str, str] = {}
+    for path in paths:
+        found = one(path)
+        if not found:
+            log.warning("file not found: %s", path)
+        for p, status in found:
+            inside = [(p, status)] if status.isFile() else statuses(p.getFileSystem(conf).listStatus(p))
+            for f, s in inside:
+                if s.isFile() and f.getName()[0] not in "._":
+                    out.setdefault(f.toString(), _one_spelling(f.toUri().toString()))
+    if not out:
+        raise FileNotFoundError(f"none of the input files exists: {list(paths)}")
     return out
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """Names in the first line of a file. Only that line is read, without a job."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(conf).open(target)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), encoding))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+def _one_spelling(address: str) -> str:
+    """A file's address in one spelling: local ones come with one slash or three."""
+    return "file:/" + address.removeprefix("file:").lstrip("/") if address.startswith("file:") else address
 
 
 def _same_path(column: Column) -> Column:
-    """A file's address in one spelling: local ones come with one slash or three."""
     return F.regexp_replace(column, "^file:/+", "file:/")
 
 
-def charset_of(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
-    """UTF-8, or Latin-1 for the files that are no valid UTF-8. One pass over the files."""
-    marked = (spark.read.text(list(files)).select("value", _same_path(F.col("_metadata.file_path")).alias("file"))
-              .filter(~F.is_valid_utf8("value")).select("file").distinct())
-    latin = {r["file"] for r in marked.collect()}  # at most one row per file
-    return {f: "ISO-8859-1" if _address(spark, f) in latin else "UTF-8" for f in files}
+def file_statistics(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """(file, head, utf8, lines) per file: its first line as bytes, whether it is valid UTF-8, and its lines.
 
+    One pass over all files as lines of bytes. Each task gives a row per stretch of a file that it reads; a file's first line is that of
+    the stretch at byte 0. Files without lines are absent.
+    """
+    lines = spark.read.text(list(files)).select(_same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                                F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("utf8"))
 
-def _address(spark: SparkSession, path: str) -> str:
-    """The path as Spark's file metadata spells it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    full = target.getFileSystem(conf).makeQualified(target).toUri()
-    return "file:/" + full.toString().removeprefix("file:").lstrip("/") if full.getScheme() == "file" else full.toString()
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            file, block = (pc.dictionary_encode(batch.column(c)).indices.to_numpy() for c in ("file", "block"))
+            cuts = np.flatnonzero((np.diff(file, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            ends = np.append(cuts[1:], batch.num_rows)
+            good = np.add.reduceat(batch.column("utf8").to_numpy(zero_copy_only=False).astype(np.int64), cuts) if len(cuts) else cuts
+            at = pa.array(cuts)
+            yield pa.record_batch([batch.column("file").take(at), batch.column("block").take(at), batch.column("line").take(at), pa.array(good == ends - cuts),
+                                   pa.array(ends - cuts)], ["file", "block", "line", "utf8", "lines"])
+
+    parts = lines.mapInArrow(sum_up, "file string, block long, line binary, utf8 boolean, lines long")
+    # A task's batches come in the order of the file, so the first row of the stretch at byte 0 has the first line.
+    parts = parts.withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("row")))
+    return parts.groupBy("file").agg(F.min_by("line", "at").alias("head"), F.min("utf8").alias("utf8"), F.sum("lines").alias("lines"))
+
+
+def _names_in(head: bytes, encoding: str) -> list[str]:
+    """Column names in a first line."""
+    line = head.decode(encoding, "ignore").lstrip("\ufeff").rstrip("\r")
+    return next(csv.reader([line]), []) if line else []
+
+
+def charset_of(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """UTF-8, or Latin-1 for the files that are no valid UTF-8. One pass over the files."""
+    found = data_files(spark, files)
+    latin = {r["file"] for r in file_statistics(spark, list(found)).where("not utf8").select("file").collect()}
+    return {f: "ISO-8859-1" if address in latin else "UTF-8" for f, address in found.items()}
 
 
 def with_file_order(df: DataFrame, order: dict[str, int], ordinal: str) -> DataFrame:
     """Number rows from 0 in the order of files, then of rows in a file; ``df`` is a scan with column ``_at``
     (file, block, row id).
 
-    Spark's row id grows along a block of a file, and blocks are known by their start. One aggregate
-    gives the span of row ids of each block, running sums over the blocks (not the rows) the number
-    where each begins.
+    The scan is written first: row ids belong to one run of it. Spark's row id grows along a block of a file, and blocks
+    are known by their start. One aggregate gives the span of row ids of each block, running sums over the blocks (not
+    the rows) the number where each begins.
     """
     spark = df.sparkSession
+    df = materialise(df, "scan")
     files = spark.createDataFrame(list(order.items()), "file string, nth long")
     spans = (df.select("_at").groupBy("_at.file", "_at.block")
              .agg(F.min("_at.row").alias("low"), (F.max("_at.row") - F.min("_at.row") + 1).alias("n")).join(files, "file"))
@@ -140,18 +171,31 @@ def _scan(spark: SparkSession, files: Sequence[str], names: Sequence[str], type_
 
 def _read_files(spark: SparkSession, paths: Sequence[str], type_of: TypeOf, encoding: str | dict[str, str] | None,
                 ordinal: str | None, names: Sequence[str] | None = None) -> DataFrame:
-    """All files, one scan per distinct header and charset, aligned by column name."""
-    files = data_files(spark, existing(spark, paths))
-    if encoding is None:
-        charsets = charset_of(spark, files)
+    """All files, one scan per distinct header and charset, aligned by column name.
+
+    Headers and charsets come from one pass over the files (none if names and charset are given), the rows from a second.
+    The driver gets a file's name and the digest of its header, and each distinct header once.
+    """
+    files = data_files(spark, paths)
+    if isinstance(encoding, dict):
+        charsets = {f: encoding[p] for p in encoding for f in data_files(spark, [p])}
+        charsets = {f: charsets.get(f, "UTF-8") for f in files}
     else:
-        charsets = {f: encoding.get(f, "UTF-8") if isinstance(encoding, dict) else encoding for f in files}
-        if isinstance(encoding, dict):
-            charsets |= {f: encoding[p] for p in encoding for f in data_files(spark, [p]) if f in charsets}
+        charsets = dict.fromkeys(files, encoding or "UTF-8")
+    heads: dict[str, bytes] = {}
+    known: dict[str, tuple] = {}
+    if encoding is None or names is None:
+        said = materialise(file_statistics(spark, list(files)).withColumn("digest", F.sha2("head", 256)), "files")
+        known = {r["file"]: r for r in said.select("file", "digest", "utf8").collect()}
+        heads = {r["digest"]: bytes(r["head"]) for r in said.dropDuplicates(["digest"]).select("digest", "head").collect()}
     groups: dict[tuple, list[str]] = {}
-    for f in files:
-        head = tuple(names) if names else tuple(unique_names(_header(spark, f, charsets[f])))
-        groups.setdefault((head, charsets[f]), []).append(f)
+    for f, address in files.items():
+        fact = known.get(address)
+        charset = "ISO-8859-1" if encoding is None and fact is not None and not fact["utf8"] else charsets[f]
+        head = tuple(names) if names else tuple(unique_names(_names_in(heads[fact["digest"]], charset))) if fact else ()
+        groups.setdefault((head, charset), []).append(f)
+    # A file without lines has no header and no rows.
+    groups = {key: members for key, members in groups.items() if key[0]} or groups
     parts = [_scan(spark, members, head, type_of, charset, names is None, ordinal is not None)
              for (head, charset), members in groups.items()]
     for i, differing in enumerate(column_differences(parts), 2):
@@ -160,7 +204,10 @@ def _read_files(spark: SparkSession, paths: Sequence[str], type_of: TypeOf, enco
     whole = union_flows(parts, allow_missing=True)
     if ordinal is None:
         return whole
-    return with_file_order(whole, {_address(spark, f): i for i, f in reversed(list(enumerate(files)))}, ordinal)
+    order: dict[str, int] = {}
+    for address in files.values():
+        order.setdefault(address, len(order))
+    return with_file_order(whole, order, ordinal)
 
 
 def read_flow_csv(spark: SparkSession, path: str, type_of: TypeOf = type_c, encoding: str | None = None,

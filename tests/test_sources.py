@@ -134,11 +134,52 @@ def test_detection_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(analysis_id" in plan and "EqualTo(detection_id,d1)" in plan
 
 
+def test_rerun_replaces_what_was_stored(spark, tmp_path):
+    schema, path = "detection_id string, analysis_id string, is_intrusion boolean", str(tmp_path / "store")
+
+    def store(rows, runs):
+        sinks.write_detections(spark.createDataFrame(rows, schema), spark.createDataFrame(runs, "analysis_id string, flow_count int"), path)
+
+    def stored():
+        return sorted((r.detection_id, r.analysis_id) for r in sinks.read_detections(spark, path).collect())
+
+    first = [("d1", "2024-01-01 10:00", True), ("d2", "2024-01-01 10:00", True), ("d3", "007", True)]
+    store(first, [("2024-01-01 10:00", 2), ("007", 1)])
+    store(first, [("2024-01-01 10:00", 2), ("007", 1)])
+    assert stored() == [("d1", "2024-01-01 10:00"), ("d2", "2024-01-01 10:00"), ("d3", "007")]
+    assert sinks.lookup_run(spark, path, "007").count() == 1
+    # One run again with another result, one that finds nothing any more, one that is new.
+    store([("d4", "007", True), ("d1", "2024-01-01 10:00", False), ("d5", "r/3", True)], [("2024-01-01 10:00", 5), ("007", 9), ("r/3", 1)])
+    assert stored() == [("d4", "007"), ("d5", "r/3")]
+    assert sinks.lookup_run(spark, path, "2024-01-01 10:00").first().flow_count == 5
+    with pytest.raises(LookupError):
+        sinks.lookup_detection(sinks.read_detections(spark, path), "d1")
+
+
+def test_lookup_by_id_skips_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select(F.concat(F.lit("det-"), F.md5(F.col("id").cast("string"))).alias("detection_id"),
+                                       F.concat(F.lit("run"), F.col("id") % 3).alias("analysis_id"), F.lit(True).alias("is_intrusion"), "id")
+    path = str(tmp_path / "store")
+    sinks.write_detections(rows, rows.groupBy("analysis_id").count(), path)
+    some = rows.where("id = 4321").first().detection_id
+    found = sinks.read_detections(spark, path).filter(F.col("detection_id") == some)
+    assert [r.id for r in found.collect()] == [4321]
+
+    def leaves(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return leaves(plan.executedPlan())
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(leaves, below), []) if below else [plan]
+
+    (scan,) = leaves(found._jdf.queryExecution().executedPlan())
+    assert "Scan" in scan.nodeName() and scan.metrics().get("numOutputRows").get().value() < 100_000
+
+
 def test_many_small_files_keep_their_order(spark, tmp_path):
-    """Hundreds of files of two headers and two charsets: one scan per header and charset, rows by file, then row."""
+    """Thousands of files of two headers and two charsets: one scan per header and charset, rows by file, then row."""
     paths, want = [], []
-    for i in range(600):
-        path = tmp_path / f"part {(i * 7) % 600:03d}.csv"
+    for i in range(2000):
+        path = tmp_path / f"part {(i * 7) % 2000:04d}.csv"
         names, text = (("a", "Label"), "BENIGN") if i % 2 else (("Label", "b"), "Web Attack – é")
         rows = [(f"{i}.{j}", text) if i % 2 else (text, f"{i}.{j}") for j in range(1 + i % 3)]
         body = "\n".join([",".join(names), *(",".join(r) for r in rows)])
@@ -152,6 +193,38 @@ def test_many_small_files_keep_their_order(spark, tmp_path):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2 * 3 + 1
 
 
+def test_file_statistics_over_stretches(spark, tmp_path):
+    """A file of many stretches, one without lines, odd names, a folder and a pattern."""
+    body = "\n".join(["a,b", *(f"{i},{'x' * 50}" for i in range(20_000))])
+    (tmp_path / "big é.csv").write_text(body + "\n\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "latin.csv").write_bytes("b,a\né,1".encode("latin-1"))
+    (tmp_path / "_skipped.csv").write_text("z\n1\n")
+    paths = [str(tmp_path / "[bl]*.csv"), str(tmp_path / "empty.csv"), str(tmp_path)]
+    files = flows.data_files(spark, paths)
+    assert [f.rsplit("/", 1)[1] for f in files] == ["big é.csv", "latin.csv", "empty.csv"]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        found = {r.file.rsplit("/", 1)[1]: (bytes(r.head), r.utf8, r.lines) for r in flows.file_statistics(spark, list(files)).collect()}
+        df = flows.read_flow_csvs(spark, paths, lambda _: T.StringType(), ordinal="ord").orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found == {"big%20é.csv": (b"a,b", True, 20_002), "latin.csv": (b"b,a", False, 2)}
+    assert [(r.a, r.ord) for r in df] == [(str(i), i) for i in range(20_000)] + [("1", 20_000)] and df[-1].b == "é"
+    assert flows.charset_of(spark, [str(tmp_path / "latin.csv")]) == {next(f for f in files if "latin" in f): "ISO-8859-1"}
+    only = flows.read_flow_csv(spark, str(tmp_path / "empty.csv"))
+    assert only.columns == [] and only.count() == 0
+
+
+def test_descriptions_follow_the_features():
+    from flowsift.operators.common_schema import COMMON, DESCRIPTIONS, descriptions_of
+
+    assert list(DESCRIPTIONS) == COMMON and len(set(DESCRIPTIONS.values())) == 64
+    said = descriptions_of(["sttl", "FIN Flag Count", "flow_duration", "unheard of"])
+    assert said == {"sttl": DESCRIPTIONS["src_ttl"], "FIN Flag Count": DESCRIPTIONS["tcp_flags_fin"], "flow_duration": DESCRIPTIONS["flow_duration"]}
+
+
 def test_name_tables_hold_what_they_should():
     from flowsift.operators.common_schema import COMMON, SOURCES
 
