@@ -81,15 +81,17 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(conf).delete(target, True)
 
 
-def materialise(df: DataFrame, stem: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, stem: str = "stage", outer: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage before a table is used by several jobs. The result survives the loss of
     executors because it is a table, not executor storage. It stays until the enclosing
-    ``intermediates`` block ends; without one, the folder's owner removes it.
+    ``intermediates`` block ends; without one, the folder's owner removes it. ``outer`` gives it to the block around
+    that one, as the result for which the inner block's tables were made.
     """
     path = scratch_path(df.sparkSession, stem)
-    if _owned:
-        _owned[-1].append(path)
+    owners = _owned[:-1] if outer else _owned
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
