@@ -7,8 +7,9 @@ from their sizes.
 
 * Routing. Boxes of whole vectors overlap too much to tell tasks apart, so the groups are dealt into more than
   ``r`` bands: two linked documents differ in at most ``r`` bands and so have equal counts in another. The
-  address of a leaf is (size class, band, counts in the band). Documents that meet at the address of a few are tested by
-  the summed minima of their whole vectors; documents at a crowded address are joined by a star, never by pairs. What
+  address of a leaf is (size class, band, counts in the band). Documents that meet at the addresses of a few must meet at
+  as many of them as the bound on differing bands demands, and are then tested by the summed minima of their
+  whole vectors; documents at a crowded address are joined by a star, never by pairs. What
   is connected so forms families, outside of which no link can exist. Passages that many documents share would
   make one family of all of them, so bands are taken over the rarer n-grams, which differ no more than the whole
   sets do. Documents with too few of these are routed by all their n-grams as well.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import intermediates, materialise
 from . import common
 from .graph import components
 
@@ -45,6 +46,8 @@ FEW = 8
 #: Cells of the table that tells frequent n-grams from rare ones, whatever the corpus; it goes out in pages.
 CELLS, PAGE = 1 << 23, 1 << 16
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an address that tell its kind.
+_KIND = np.uint64(255)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -99,22 +102,26 @@ class Rule:
             at += 1
         return out
 
-    def addresses(self, grams: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-        """The leaves of the routing level: a hash of each band's counts.
+    def addresses(self, grams: np.ndarray, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves of the routing level, a hash of each band's counts, and how many of a leaf's kind two linked sets share.
 
         A set gives all bands that hold one of its rare n-grams. If these are more than the bands in which a
-        partner can differ, one of them is shared with every partner. If they are not, the set also gives bands over
-        all its n-grams, empty ones included where needed, and meets there every partner of that kind.
+        partner can differ, one of them is shared with every partner; all but the bands that differ are. If they are not
+        more, the set also gives bands over all its n-grams, empty ones included where needed, and meets there every partner
+        of that kind. The last eight bits of an address tell its kind: size class and whether all n-grams count. The numbers end at 255.
         """
         rare = grams if frequent is None else grams[~frequent[cell_of(grams)]]
-        out = []
+        out, least = [], []
         for size_class, most, bands in self.bands(len(grams)):
             counts, full = _bands(rare, bands)
-            out.append(_address(counts, full, size_class))
+            out.append(_address(counts, full, 2 * size_class))
+            least.append(np.full(len(full), min(255, max(1, len(full) - most)), np.uint8))
             if len(full) <= most:
                 counts, full = _bands(grams, bands)
-                out.append(_address(counts, full if len(full) > most else np.arange(bands), size_class | 1 << 20))
-        return np.concatenate(out)
+                use = full if len(full) > most else np.arange(bands)
+                out.append(_address(counts, use, 2 * size_class + 1))
+                least.append(np.full(len(use), min(255, max(1, len(use) - most)), np.uint8))
+        return np.concatenate(out), np.concatenate(least)
 
 
 def cell_of(grams: np.ndarray) -> np.ndarray:
@@ -131,7 +138,7 @@ def _bands(grams: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _address(counts: np.ndarray, use: np.ndarray, name: int) -> np.ndarray:
-    return common.mix(counts[use] ^ common.mix(use.astype(np.uint64) + np.uint64(name << 40)))
+    return common.mix(counts[use] ^ common.mix(use.astype(np.uint64) + np.uint64(name << 40))) & ~_KIND | np.uint64(name)
 
 
 def frequent_cells(docs: DataFrame, width: int, text: str) -> np.ndarray:
@@ -167,18 +174,19 @@ def frequent_cells(docs: DataFrame, width: int, text: str) -> np.ndarray:
     return out
 
 
-def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What the addresses say, as edges (a, b, times, certain), and the (key, node) pairs that a later meeting needs.
+def meetings(keys: np.ndarray, nodes: np.ndarray, least: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What the addresses say, as edges (a, b, kind, times, needed), and the (key, node, least) triples that a later meeting needs.
 
-    At an address of at most ``FEW`` nodes every two of them are an edge, to be tested before it counts. A larger
-    address gives a star around its least node, which counts untested; one node more than ``FEW`` of it go on, so that
-    it is known for a large one.
+    At an address of at most ``FEW`` nodes every two of them are an edge of the address's kind. How often they need to meet
+    follows from both ends: all bands that hold anything are given by both, so the greater number holds; where a set
+    may give empty bands as well, the lesser one. A larger address gives a star around its least node, which counts
+    untested and has kind -1; one node more than ``FEW`` of it go on, so that it is known for a large one.
     """
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, least = keys[order], nodes[order], least[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[fresh], nodes[fresh]
+    keys, nodes, least = keys[fresh], nodes[fresh], least[fresh]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
@@ -186,24 +194,22 @@ def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     found = []
     for k in range(2, FEW + 1):
         at = first[size == k]
+        kind = (keys[at] & _KIND).astype(np.int64)
         for i in range(k):
             for j in range(i + 1, k):
-                found.append((nodes[at + j], nodes[at + i], 0))
-    large = np.repeat(size > FEW, size)
+                x, y = least[at + i].astype(np.int64), least[at + j].astype(np.int64)
+                found.append((nodes[at + j], nodes[at + i], kind, np.where(kind % 2 == 0, np.maximum(x, y), np.minimum(x, y))))
+    large = np.repeat(size > FEW, size) & ~new
     hub = nodes[np.repeat(first, size)]
-    found.append((nodes[large & ~new], hub[large & ~new], 1))
-    a, b, certain = (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]),
-                     np.concatenate([np.full(len(f[0]), f[2], np.int64) for f in found]))
-    times = np.ones(len(a), np.int64)
-    if len(a):
-        order = np.lexsort((certain, b, a))
-        a, b, certain = a[order], b[order], certain[order]
-        start = np.ones(len(a), bool)
-        start[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (certain[1:] != certain[:-1])
-        times = np.diff(np.append(np.flatnonzero(start), len(a)))
-        a, b, certain = a[start], b[start], certain[start]
+    found.append((nodes[large], hub[large], np.full(int(large.sum()), -1), np.ones(int(large.sum()), np.int64)))
+    a, b, kind, needed = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(4))
+    order = np.lexsort((kind, b, a))
+    a, b, kind, needed = a[order], b[order], kind[order], needed[order]
+    start = np.ones(len(a), bool)
+    start[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
+    times = np.diff(np.append(np.flatnonzero(start), len(a)))
     go = np.arange(len(keys)) - np.repeat(first, size) <= FEW
-    return a, b, times, certain, keys[go], nodes[go]
+    return [a[start], b[start], kind[start], times, needed[start]], [keys[go], nodes[go], least[go]]
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
@@ -226,7 +232,7 @@ def may_link(a: bytes, b: bytes, rule: Rule) -> bool:
 
 
 def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> DataFrame:
-    """Documents as (key, node, short, n, sketch), and edges (a, b, w, certain) between short names that share an address."""
+    """Documents as (key, node, short, n, sketch), and edges (a, b, kind, w, needed) between short names that share an address."""
     session, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * parts
@@ -251,49 +257,50 @@ def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> Data
             if not there:
                 continue
             each = [rule.addresses(s, hot) for s in there.values()]
-            keys = np.concatenate(each)
-            ids = np.repeat(np.array([short(n) for n in there], np.int64), [len(x) for x in each])
-            a, b, w, certain, keys, ids = meetings(keys, ids)
-            nothing, only = block.column("key").type, certain == 1  # the others meet again
+            ids = np.repeat(np.array([short(n) for n in there], np.int64), [len(x) for x, _ in each])
+            edge, (keys, ids, least) = meetings(np.concatenate([x for x, _ in each]), ids, np.concatenate([x for _, x in each]))
+            nothing, only = block.column("key").type, edge[2] < 0  # the others meet again
             if only.any():
-                yield rows(1, [int(a[0] % buckets)], pa.nulls(1, nothing), p=[a[only].tobytes()], q=[b[only].tobytes()], w=[w[only].tobytes()],
-                           c=[certain[only].tobytes()])
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                yield rows(1, [int(edge[0][0] % buckets)], pa.nulls(1, nothing), p=[edge[0][only].tobytes()], q=[edge[1][only].tobytes()],
+                           w=[edge[3][only].tobytes()])
+            bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((ids, bucket))
-            keys, ids, bucket = keys[order], ids[order], bucket[order]
+            keys, ids, bucket, least = keys[order], ids[order], bucket[order], least[order]
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
             # A bucket's share: all keys in the order of their nodes, each node once, and how many keys it has.
             own = [np.unique(ids[x:y], return_counts=True) for x, y in zip(cuts, cuts[1:])]
             yield rows(2, bucket[cuts[:-1]].tolist(), pa.nulls(len(cuts) - 1, nothing), p=[keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:])],
-                       q=[names.tobytes() for names, _ in own], w=[times.astype("<u4").tobytes() for _, times in own])
+                       q=[names.tobytes() for names, _ in own], w=[times.astype("<u4").tobytes() for _, times in own],
+                       c=[least[x:y].tobytes() for x, y in zip(cuts, cuts[1:])])
 
-    out_names = ["key", "node", "short", "n", "sketch", "a", "b", "w", "certain"]
+    out_names = ["key", "node", "short", "n", "sketch", "a", "b", "kind", "w", "needed"]
 
-    def edges(key_type, a, b, w, certain):
-        k = len(a)
+    def edges(key_type, *columns):
+        k = len(columns[0])
         return pa.record_batch([pa.nulls(k, key_type), pa.nulls(k, pa.binary()), *(pa.nulls(k, pa.int64()),) * 2, pa.nulls(k, pa.binary()),
-                                pa.array(a), pa.array(b), pa.array(w), pa.array(certain)], out_names)
+                                *map(pa.array, columns)], out_names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, key_type = [], [], pa.null()
+        keys, ids, least, key_type = [], [], [], pa.null()
         for batch in batches:
             key_type = batch.column("key").type
             what = batch.column("what").to_numpy(zero_copy_only=False)
             docs_ = batch.filter(pa.array(what == 0))
             k, nodes = docs_.num_rows, docs_.column("node")
             brief = pa.array([short(n) if n else None for n in nodes.to_pylist()], pa.int64())
-            yield pa.record_batch([docs_.column("key"), nodes, brief, docs_.column("n"), docs_.column("p"), *(pa.nulls(k, pa.int64()),) * 4], out_names)
-            for row in zip(*(batch.filter(pa.array(what == 1)).column(c).to_pylist() for c in "pqwc")):
-                yield edges(key_type, *(np.frombuffer(x, np.int64) for x in row))
-            for p, q, w in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in "pqw")):
+            yield pa.record_batch([docs_.column("key"), nodes, brief, docs_.column("n"), docs_.column("p"), *(pa.nulls(k, pa.int64()),) * 5], out_names)
+            for row in zip(*(batch.filter(pa.array(what == 1)).column(c).to_pylist() for c in "pqw")):
+                a, b, w = (np.frombuffer(x, np.int64) for x in row)
+                yield edges(key_type, a, b, np.full(len(a), -1), w, np.ones(len(a), np.int64))
+            for p, q, w, c in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in "pqwc")):
                 keys.append(np.frombuffer(p, np.uint64))
                 ids.append(np.repeat(np.frombuffer(q, np.int64), np.frombuffer(w, "<u4")))
+                least.append(np.frombuffer(c, np.uint8))
         if keys:
-            a, b, w, certain, _, _ = meetings(np.concatenate(keys), np.concatenate(ids))
-            yield edges(key_type, a, b, w, certain)
+            yield edges(key_type, *meetings(np.concatenate(keys), np.concatenate(ids), np.concatenate(least))[0])
 
     return materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(deal, schema)
-                       .repartition(parts, "bucket").mapInArrow(meet, f"key {kind}, node binary, short long, n long, sketch binary, a long, b long, w long, certain long"), "routed")
+                       .repartition(parts, "bucket").mapInArrow(meet, f"key {kind}, node binary, short long, n long, sketch binary, a long, b long, kind long, w long, needed long"), "routed")
 
 
 def _tested(routed: DataFrame, rule: Rule) -> DataFrame:
@@ -304,12 +311,18 @@ def _tested(routed: DataFrame, rule: Rule) -> DataFrame:
             good = [may_link(x, y, rule) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.select(["a", "b", "w"]).filter(pa.array(good, pa.bool_()))
 
-    edges = routed.where("a is not null").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("certain").alias("certain"))
+    # A pair counts as often as it meets at addresses of one kind; where that is too seldom for every kind, it has no link or
+    # both its ends are in the star of a crowded address. Only then are the sketches fetched.
+    met = routed.where("a is not null").groupBy("a", "b", "kind").agg(F.sum("w").alias("w"), F.max("needed").alias("needed"))
+    edges = materialise(met.where("kind < 0 or w >= needed").groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("kind").alias("kind")), "pairs")
     sketches = routed.where("node is not null").select("short", "sketch").dropDuplicates(["short"])
-    pairs = (edges.where("certain = 0").join(sketches.select(F.col("short").alias("a"), F.col("sketch").alias("sa")), "a")
+    todo = materialise(edges.where("kind >= 0"), "tested")
+    ends = materialise(todo.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends")
+    sketches = materialise(sketches.join(ends, F.col("end") == F.col("short"), "left_semi"), "sketches")
+    pairs = (todo.join(sketches.select(F.col("short").alias("a"), F.col("sketch").alias("sa")), "a")
              .join(sketches.select(F.col("short").alias("b"), F.col("sketch").alias("sb")), "b"))
-    return materialise(edges.where("certain = 1").select("a", "b", "w").union(
-        pairs.select("a", "b", "w", "sa", "sb").mapInArrow(test, "a long, b long, w long")), "edges")
+    return materialise(edges.where("kind < 0").select("a", "b", "w").union(
+        pairs.select("a", "b", "w", "sa", "sb").mapInArrow(test, "a long, b long, w long")), "edges", outer=True)
 
 
 class Tree:
@@ -441,7 +454,8 @@ def _compare(rows: DataFrame, by: list[str], rule: Rule) -> DataFrame:
 
 def links_of(docs: DataFrame, routed: DataFrame, rule: Rule, width: int, text: str, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between nodes that connect whatever the rule connects."""
-    edges = _tested(routed, rule)
+    with intermediates(docs.sparkSession):
+        edges = _tested(routed, rule)
     family = components(edges.select("a", "b"))
     sizes = routed.where("node is not null").groupBy("node", "short").agg(F.max("n").alias("n"))
     weight = edges.groupBy(F.col("a").alias("short")).agg(F.sum("w").alias("w"))

@@ -94,6 +94,17 @@ def test_join_of_odd_rows(odd_docs, no_docs):
     assert ngram_join.similar_groups(no_docs).count() == 0
 
 
+def meet(rule, a, b, *frequent):
+    """Whether two sets meet at as many addresses of some kind as their routing demands."""
+    (x, least_x), (y, least_y) = rule.addresses(a, *frequent), rule.addresses(b, *frequent)
+    shared = np.intersect1d(x, y)
+    for kind in set((shared & np.uint64(255)).tolist()):
+        need = [int(least[(keys & np.uint64(255)) == np.uint64(kind)][0]) for keys, least in ((x, least_x), (y, least_y))]
+        if (shared & np.uint64(255) == np.uint64(kind)).sum() >= (max if kind % 2 == 0 else min)(need):
+            return True
+    return False
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     rule = ngram_join.Rule(80)
@@ -103,7 +114,7 @@ def test_bound_is_never_below_the_overlap():
         tree = ngram_join.Tree([a, b], 64)
         assert np.minimum(tree.points[0], tree.points[1]).sum() >= ngram_join.overlap(a, b) == len(np.intersect1d(a, b))
         if ngram_join.overlap(a, b) >= rule.needed(len(a), len(b)):
-            assert np.intersect1d(rule.addresses(a), rule.addresses(b)).size
+            assert meet(rule, a, b)
             assert 1 in tree.near(tree.points[0], len(a), rule)
 
 
@@ -118,14 +129,16 @@ def test_sketches_never_rule_out_a_link():
                 if len(b) and ngram_join.overlap(a, b) >= rule.needed(len(a), len(b)):
                     assert ngram_join.may_link(ngram_join.sketch_of(a), ngram_join.sketch_of(b), rule)
                     frequent = rng.random(ngram_join.CELLS) < rng.choice([0, 0.3, 0.9, 1.0])
-                    assert np.intersect1d(rule.addresses(a, frequent), rule.addresses(b, frequent)).size
+                    assert meet(rule, a, b, frequent)
 
 
 def test_meetings_keep_what_shares_an_address():
     rng = np.random.default_rng(6)
     keys = np.concatenate([rng.integers(0, 300, 900), np.full(40, 1000)]).astype(np.uint64)
     nodes = np.concatenate([rng.integers(0, 500, 900), rng.integers(0, 500, 40)]).astype(np.int64)
-    a, b, times, certain, go_keys, go_nodes = ngram_join.meetings(keys, nodes)
+    least = (nodes % 7 + 1).astype(np.uint8)
+    (a, b, kind, times, needed), (go_keys, go_nodes, go_least) = ngram_join.meetings(keys, nodes, least)
+    assert (go_least == go_nodes % 7 + 1).all()
     members = {}
     for k, n in zip(keys.tolist(), nodes.tolist()):
         members.setdefault(k, set()).add(n)
@@ -135,8 +148,12 @@ def test_meetings_keep_what_shares_an_address():
         want = {(x, y) for x in group for y in group if x > y} if len(group) <= ngram_join.FEW else {(x, low) for x in group if x != low}
         assert want <= pairs
         assert sum(go_keys == k) == min(len(group), ngram_join.FEW + 1)
-    assert {(x, y) for x, y, c in zip(a.tolist(), b.tolist(), certain.tolist()) if c} == {
+    assert {(x, y) for x, y, c in zip(a.tolist(), b.tolist(), kind.tolist()) if c < 0} == {
         (x, min(g)) for g in members.values() if len(g) > ngram_join.FEW for x in g if x != min(g)}
+    for x, y, c, w, n in zip(a.tolist(), b.tolist(), kind.tolist(), times.tolist(), needed.tolist()):
+        if c >= 0:
+            assert w == sum({x, y} <= g and k % 256 == c and len(g) <= ngram_join.FEW for k, g in members.items())
+            assert n == (max if c % 2 == 0 else min)(x % 7 + 1, y % 7 + 1)
 
 
 def test_components(spark):
