@@ -90,10 +90,15 @@ _DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s?|&
 _ENDS = ("com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|cc|eu|us|uk|ca|au|nz|in|de|fr|es|it|nl|be|ch|at|pl|pt|"
          "se|no|fi|dk|ie|cz|ru|ua|jp|cn|kr|br|mx|ar|za|example|test|online|site|xyz")
 #: Bare words are signs only where a whole address is spelled: name at host dot end.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\s{1,2}at\s{1,2}|@)(?:[A-Za-z0-9-]{1,63}(?:\s{1,2}dot\s{1,2}|\.)){1,4}(?:" + _ENDS + r")(?![A-Za-z0-9])")
+_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+)(?P<at>\s{1,2}at\s{1,2}|@)(?P<host>(?:[A-Za-z0-9-]+(?:\s{1,2}dot\s{1,2}|\.))+)(?P<end>" + _ENDS + r")(?![A-Za-z0-9])")
+#: Ends that are words of plain prose as well ("he was at home dot it was late").
+_WORDS = frozenset("name int info app co me tv us in de es it be at no se fi test online site net example".split())
+#: What may follow an address but seldom such a word within a sentence, and what announces an address.
+_STOP = re.compile(r"\s*(?:\Z|[\n.,;:!?)\]}>\"'|])")
+_MAIL = re.compile(r"(?i)(?:mail|contact|reach|write|adress|address|correo|kontakt)\W")
 _AT_WORD = re.compile(r"\sat\s")
 _BARE_DOT = re.compile(r"(?i)\s{1,2}dot\s{1,2}")
-_LOCAL_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s{1,2}dot\s{1,2}(?=[A-Za-z0-9._%+-]{1,64}\s?(?:@|\[at\]|\(at\)|\{at\}|at\s))")
+_LOCAL_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s{1,2}dot\s{1,2}(?=[A-Za-z0-9._%+-]+\s?(?:@|\[at\]|\(at\)|\{at\}|at\s))")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s{1,2}(?:dot|point)\s{1,2}(?=[0-9])")
 
 
@@ -147,9 +152,18 @@ def _spelled(mapped: Mapped) -> None:
     mapped.replace(spans)
 
 
+def _address(m: re.Match) -> bool:
+    """Whether a spelled address is one. If all its signs are words and so is its end, a second hint is needed: the sentence ends
+    there, the name is no plain word, or something nearby announces an address."""
+    if m["at"] == "@" or "." in m["host"] or m["end"].lower() not in _WORDS:
+        return True
+    return (_STOP.match(m.string, m.end()) is not None or not m["local"].isalpha()
+            or _MAIL.search(m.string, max(0, m.start() - 30), m.start()) is not None)
+
+
 def _bare(mapped: Mapped) -> None:
     spans = []
-    for m in _BARE.finditer(mapped.text):
+    for m in filter(_address, _BARE.finditer(mapped.text)):
         if m["at"] != "@":
             spans.append((*m.span("at"), "@"))
         spans += [(*d.span(), ".") for d in _BARE_DOT.finditer(mapped.text, m.end("at"), m.end())]

@@ -388,3 +388,28 @@ def packing_pattern():
     from flowsift.llm.packing import BYTE_LEVEL
 
     return BYTE_LEVEL
+
+
+@pytest.mark.parametrize("text", ["he was at home dot it was late", "meet me at noon dot me and you", "look at this dot in 5", "a stop at the red dot no one saw",
+                                  "we met at lunch dot us two", "Sie war at home dot de facto"])
+def test_plain_prose_is_no_address(text):
+    assert pii.find(text) == ([], []) and pii.masked(text) == text
+
+
+@pytest.mark.parametrize("text, part", [
+    ("a" * 70 + " at example dot com", "a" * 70 + " at example dot com"), ("bob at a dot b dot c dot d dot e dot com", "bob at a dot b dot c dot d dot e dot com"),
+    ("mail bob at home dot it and ask", "bob at home dot it"), ("bob at home dot it.", "bob at home dot it"), ("say bob7 at home dot me now", "bob7 at home dot me"),
+    ("bob at home.it was", "bob at home.it"), ("he is bob at home dot com today", "bob at home dot com"), ("n" * 500 + "@" + "h." * 60 + "x dot com", None)])
+def test_spelled_addresses_of_any_length(text, part):
+    part = text if part is None else part
+    at = text.index(part)
+    assert (0, at, at + len(part)) in pii.find(text)[1]
+
+
+def test_long_chains_of_words_take_linear_time():
+    import time
+
+    for text in ("a dot " * 40_000, "x at y dot " * 20_000, "q" * 200_000 + " at z", "w." * 100_000 + " dot "):
+        start = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - start < 20
