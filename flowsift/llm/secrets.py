@@ -8,6 +8,7 @@ looks at the nearest part of each role on either side, so a scope full of parts
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,26 +46,49 @@ WEAK = (
 COMPANY = {"weak_id": ("secret",), "weak_secret": ("identifier",), "endpoint": ("identifier", "secret")}
 
 
+#: Matches that one running sum covers; the sums of stretches of so many are summed up apart.
+_STRETCH_BITS = 8
+_SPANS = "array<struct<start:int,rank:int,end:int>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, kind: Kind, rank: int) -> Column:
     """Leftmost non-overlapping matches that are long enough, as structs (start, rank, end) in characters.
 
-    What lies between the matches comes from splitting at the same pattern, so positions are running sums.
+    What lies between the matches comes from splitting at the same pattern, so positions are running sums. A sum that
+    gathers its results copies them at each step; it is therefore taken over stretches of matches, then within each.
     """
     regex = F.lit(kind.pattern)
     between = F.transform(F.split(text, kind.pattern, -1), lambda s: F.length(s))
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
-    sized = F.zip_with(F.transform(whole, lambda s: F.length(s)), F.transform(F.regexp_extract_all(text, regex, F.lit(kind.group)), lambda s: F.length(s)),
+    sized = F.zip_with(F.transform(F.regexp_extract_all(text, regex, F.lit(0)), lambda s: F.length(s)),
+                       F.transform(F.regexp_extract_all(text, regex, F.lit(kind.group)), lambda s: F.length(s)),
                        lambda a, b: F.struct(a.alias("all"), b.alias("part")))
-    gaps = F.zip_with(F.slice(between, 1, F.size(sized)), sized, lambda g, m: F.struct(g.alias("gap"), m["all"].alias("all"), m["part"].alias("part")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("found"))
+    # The last gap has no match behind it.
+    pieces = F.zip_with(between, sized, lambda g, m: F.struct(g.alias("gap"), m["all"].alias("all"), m["part"].alias("part")))
+    none = F.array().cast(_SPANS)
 
     def add(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
         hit = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + m["all"]).alias("end")))
         return F.struct((start + m["all"]).alias("at"), F.when(m["part"] >= kind.least, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
 
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return F.when(F.size(sized) > 0, F.aggregate(gaps, zero, add)["found"]).otherwise(empty)
+    def placed(stretches: Column) -> Column:
+        sums = F.transform(stretches, lambda ms: F.aggregate(ms, F.lit(0), lambda n, m: n + m["gap"] + m["all"]))
+        begins = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+                             lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(stretches, begins, lambda ms, at: F.aggregate(ms, F.struct(at.alias("at"), none.alias("found")), add)["found"]))
+
+    def spans(found: Column) -> Column:
+        n = F.size(found) - 1
+        stretches = F.transform(F.sequence(F.lit(0), F.shiftright(n - 1, _STRETCH_BITS)),
+                                lambda i: F.slice(found, F.shiftleft(i, _STRETCH_BITS) + 1, F.least(F.lit(1 << _STRETCH_BITS), n - F.shiftleft(i, _STRETCH_BITS))))
+        return F.when(n > 0, _bound(stretches, placed)).otherwise(none)
+
+    return _bound(pieces, spans)
 
 
 def _named(spans: Column, kinds: tuple[Kind, ...]) -> Column:

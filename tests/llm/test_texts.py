@@ -413,3 +413,11 @@ def test_long_chains_of_words_take_linear_time():
         start = time.perf_counter()
         pii.find(text)
         assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 513, 100_000])
+def test_positions_in_a_text_of_many_matches(spark, n):
+    text = "".join(f"token={'x' * (10 + i % 5)}{'é' * (i % 3)} " for i in range(n))
+    hits = [m for m in re.finditer(r"""token=([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_assign == len(hits) and row.base == ",".join(f"assign:{m.start()}:{m.end()}" for m in hits)
