@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import common
 
 #: Entries of the broadcast table and bytes of its longest word: some 2 MB at most, whatever the corpus.
 TABLE_WORDS, WORD_BYTES = 1 << 15, 32
+#: Parts by hash of the words that are as frequent as the last in the table.
+_PARTS = 4096
 #: A space next to another space (or the sign that stands for one) is no cut; neither is one at either end.
 _UNSAFE = " [ ▁]|▁ |^ | $"
 
@@ -46,7 +49,7 @@ def _counter(path: str) -> tuple[Callable[[str], int], Callable[[str], int], str
 
 
 def frequent(docs: DataFrame, text: str, entries: int = TABLE_WORDS) -> list[str]:
-    """The most frequent units of all texts, as far as each task's own leading ``entries`` tell."""
+    """At most ``entries`` of the most frequent units of all texts, as far as each task's own leading ``entries`` tell."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -56,7 +59,7 @@ def frequent(docs: DataFrame, text: str, entries: int = TABLE_WORDS) -> list[str
             counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
             top = np.argsort(-counts, kind="stable")[:entries]
             for word, n in zip(coded.dictionary.take(pa.array(top)).to_pylist(), counts[top].tolist()):
-                if len(word) <= WORD_BYTES:
+                if len(word.encode()) <= WORD_BYTES:
                     seen[word] += n
             if len(seen) > 8 * entries:
                 seen = Counter(dict(seen.most_common(2 * entries)))
@@ -64,9 +67,26 @@ def frequent(docs: DataFrame, text: str, entries: int = TABLE_WORDS) -> list[str
         yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
                               ["word", "n"])
 
-    top = (docs.select(F.col(text).alias("text")).mapInArrow(summary, "word string, n long")
-           .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(entries))
-    return [r.word for r in top.collect()]
+    counted = materialise(docs.select(F.col(text).alias("text")).mapInArrow(summary, "word string, n long")
+                          .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    # The cut follows from a histogram of the counts in steps of a sixteenth of a power of two, within the step it falls into from
+    # hashes; only words beyond it come to the driver.
+    step = F.floor(F.log2("n") * 16)
+    part = F.pmod(F.xxhash64("word"), F.lit(_PARTS))
+    room, cut, parts = entries, None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        cut = r["step"]
+        if r["words"] > room:
+            parts = 0
+            for p in counted.where(step == cut).groupBy(part.alias("part")).agg(F.count("*").alias("words")).orderBy("part").collect():
+                if p["words"] > room:
+                    break
+                room, parts = room - p["words"], p["part"] + 1
+            break
+        room, parts = room - r["words"], _PARTS
+    if cut is None:
+        return []
+    return [r.word for r in counted.where((step > cut) | ((step == cut) & (part < parts))).orderBy(F.desc("n"), "word").collect()]
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
