@@ -37,6 +37,11 @@ def packed(items: list[bytes]) -> bytes:
     return zlib.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(items), 1)
 
 
+def checksum(raw: bytes, sizes) -> int:
+    """Of the words in a row and where they end."""
+    return zlib.crc32(np.fromiter(sizes, "<u4").tobytes(), zlib.crc32(raw))
+
+
 def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
     """(sizes, all items in a row)."""
     raw = zlib.decompress(data)
@@ -79,7 +84,8 @@ def _block(texts: pa.Array, find) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, send_words: bool) -> DataFrame:
     """One of the two things a block sends: its words, by bucket; or its documents as word numbers.
 
-    Both come from the same scan and the same code, so names of blocks and numbers of words agree.
+    Both come from the same scan and the same code, so names of blocks and numbers of words agree. Where the scan does not give
+    the same rows twice, the checksums of each bucket's words, which go with the numbers, tell.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -91,10 +97,10 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, se
             flat, at, words = _block(common.texts_of(block.column("text")), find)
             bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
             name, n = (part << 32) + made, block.num_rows
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+            lists = [[words[i] for i in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
             if send_words:
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
-                lists = [[words[i] for i in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
                 yield pa.record_batch([pa.array([name] * len(lists), pa.int64()), pa.array(bucket[order[cuts[:-1]]], pa.int32()), pa.array(map(packed, lists), pa.binary())],
                                       ["block", "bucket", "words"])
             else:
@@ -103,7 +109,8 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, buckets: int, se
                 yield pa.record_batch([
                     pa.array([name] * (n + 1), pa.int64()), pa.array([0] + [2] * n, pa.int32()), pa.array([-1] + [int(wide)] * n, pa.int32()),
                     pa.concat_arrays([pa.nulls(1, block.column("key").type), block.column("key")]),
-                    pa.array([zlib.compress(bucket.astype("<u4").tobytes(), 1)] + [zlib.compress(x, 1) for x in raw], pa.binary())],
+                    pa.array([zlib.compress(np.uint32(len(lists)).tobytes() + np.array([checksum(b"".join(x), map(len, x)) for x in lists], "<u4").tobytes()
+                                            + bucket.astype("<u4").tobytes(), 1)] + [zlib.compress(x, 1) for x in raw], pa.binary())],
                     ["block", "what", "bucket", "key", "data"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
@@ -132,7 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                     ids, last = common.Memo(lambda w: np.array(bpe.encode_ordinary(w.decode()), "<u4").tobytes(), 1 << 21), bucket
                 sizes, raw = unpacked(data)
                 ends = np.cumsum(sizes).tolist()
-                out.append(packed([ids[raw[a:b]] for a, b in zip([0, *ends], ends)]))
+                out.append(np.uint32(checksum(raw, sizes)).tobytes() + packed([ids[raw[a:b]] for a, b in zip([0, *ends], ends)]))
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
     coded = (_blocks(docs, key, text, pattern, buckets, True).repartition("bucket").sortWithinPartitions("bucket")
@@ -141,19 +148,22 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             .unionByName(coded.select("block", F.lit(1).alias("what"), "bucket", F.lit(None).cast(kind).alias("key"), "data")))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, owner, held, table = None, None, {}, None
+        block, owner, sums, held, table = None, None, None, {}, None
         for batch in batches:
             keys, out = [], []
             for i, (name, what, bucket, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "what", "bucket", "data")))):
                 if name != block:
                     block, owner, held, table = name, None, {}, None
                 if what == 0:
-                    owner = np.frombuffer(zlib.decompress(data), "<u4")
+                    raw = np.frombuffer(zlib.decompress(data), "<u4")
+                    owner, sums = raw[1 + raw[0]:], raw[1:1 + raw[0]]
                 elif what == 1:
                     held[bucket] = data
                 else:
                     if table is None:
-                        table = _table(owner, held)
+                        if owner is None or [int.from_bytes(held[b][:4], "little") for b in sorted(held)] != sums.tolist():
+                            raise RuntimeError("two scans of the documents gave different rows: write the table before encoding it")
+                        table = _table(owner, {b: x[4:] for b, x in held.items()})
                         held = {}
                     flat, at, sizes = table
                     raw = zlib.decompress(data)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -190,3 +191,30 @@ def test_varints_come_back(numbers):
 def test_packed_lists_come_back(items):
     sizes, raw = byte_bpe.unpacked(byte_bpe.packed(items))
     assert sizes.tolist() == list(map(len, items)) and raw == b"".join(items)
+
+
+@pytest.mark.parametrize("entries", [1, 5, 40, 300, 10_000])
+def test_frequent_words_within_bounds(spark, entries):
+    from collections import Counter
+
+    rng = random.Random(entries)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(60)) for _ in range(200)]
+    found = token_counts.frequent(spark.createDataFrame([(t,) for t in texts], "text string").repartition(50), "text", entries)
+    counts = Counter(w for t in texts for w in t.split(" "))
+    assert len(found) == len(set(found)) <= entries
+    if entries >= 10_000:
+        assert set(found) == {w for w, n in counts.items() if n > 1}
+    elif entries >= 40:
+        # All words clearly more frequent than the last one that fits are there.
+        limit = sorted(counts.values(), reverse=True)[entries - 1]
+        assert {w for w, n in counts.items() if n > 1.2 * limit} <= set(found) and len(found) > entries / 2
+
+
+def test_scans_that_differ_are_found_out(spark, monkeypatch):
+    """Blocks of two scans that hold other rows must not be put together."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('word', id, ' and more') as text").repartition(2)
+    path, real = public_tokenizers.path("byte_bpe_50k.tiktoken"), byte_bpe._blocks
+    monkeypatch.setattr(byte_bpe, "_blocks", lambda d, key, text, pattern, buckets, send_words: real(
+        d if send_words else d.withColumn("text", d.text.substr(1, 9)), key, text, pattern, buckets, send_words))
+    with pytest.raises(Exception, match="two scans"):
+        byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()
