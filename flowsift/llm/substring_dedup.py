@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import intermediates, materialise
 from . import common
 
 #: Words of a window.
@@ -175,7 +175,7 @@ def least_names(block: Block, start: np.ndarray, end: np.ndarray, ids: np.ndarra
     place[order] = np.where(ids[order] > ids[first][group], _DONE, rank[group])
     sent = first[dealt]
     high = (two[sent] >> np.uint64(32)).astype("<u4")
-    return [(int(bucket[dealt[a]]), one[sent[a:b]].astype("<u8").tobytes() + high[a:b].tobytes(), ids[sent[a:b]].astype("<i8").tobytes())
+    return [(int(bucket[dealt[a]]), one[sent[a:b]].astype("<u8").tobytes() + high[a:b].tobytes(), zstandard.ZstdCompressor(level=1).compress(ids[sent[a:b]].astype("<i8").tobytes()))
             for a, b in zip(cuts, cuts[1:])], place
 
 
@@ -195,7 +195,7 @@ def _are_later(names: list[bytes], ids: list[bytes]) -> list[bytes]:
     sizes = [len(n) // 12 for n in names]
     one = np.concatenate([np.frombuffer(n, "<u8", k) for n, k in zip(names, sizes)])
     two = np.concatenate([np.frombuffer(n, "<u4", k, 8 * k) for n, k in zip(names, sizes)])
-    own = np.concatenate([np.frombuffer(i, "<i8") for i in ids])
+    own = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(i), "<i8") for i in ids])
     order = np.lexsort((own, two, one))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
@@ -235,12 +235,30 @@ def _text_rows(block: int, keys: list, texts: list[bytes], known: list[bytes] |
     start, held = 0, 0
     for i, text in enumerate([*texts, None]):
         if i > start and (text is None or held + len(text) > CHUNK):
-            extra = known and struct.pack(f"<{i - start}Q", *map(len, known[start:i])) + b"".join(known[start:i])
-            yield (_TEXTS, block, start, keys[start:i], _packed(texts[start:i]), extra or None, None, None, None)
+            yield (_TEXTS, block, start, keys[start:i], _packed(texts[start:i]), _packed(known[start:i]) if known else None, None, None, None)
             start, held = i, 0
         held += len(text or b"")
 
 
+def _ranges(decided: np.ndarray, open_: np.ndarray) -> bytes:
+    """What is known of a document: ranges (start, end) that go, ranges (start, end, place in the answer) still open.
+
+    Starts and ends as steps and lengths, which compress well: most are 1.
+    """
+    parts = [struct.pack("<Q", decided.shape[1])]
+    for table in (decided, open_):
+        parts += [np.diff(table[0], prepend=0).astype("<i4").tobytes(), (table[1] - table[0]).astype("<u4").tobytes()]
+    return b"".join([*parts, open_[2].astype("<u4").tobytes()])
+
+
+def _from_ranges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (k,) = struct.unpack_from("<Q", data)
+    n = (len(data) - 8 - 8 * k) // 12
+    decided, steps = np.frombuffer(data, "<i4", 2 * k, 8).astype(np.int64).reshape(2, k), np.frombuffer(data, "<i4", 2 * n, 8 + 8 * k).astype(np.int64).reshape(2, n)
+    start, begin = np.cumsum(decided[0]), np.cumsum(steps[0])
+    return np.array([start, start + decided[1]]), np.array([begin, begin + steps[1], np.frombuffer(data, "<u4", n, 8 + 8 * k + 8 * n).astype(np.int64)])
+
+
 def _read_rows(table: pa.Table) -> tuple[np.ndarray, list, list[bytes], list[bytes]]:
     """(answers, keys, texts, what is known of each) of a block's rows, which lie in order."""
     bits, keys, texts, known = [], [], [], []
@@ -251,11 +269,7 @@ def _read_rows(table: pa.Table) -> tuple[np.ndarray, list, list[bytes], list[byt
         keys += keys_
         texts += _unpacked(data)
         if extra:
-            sizes = struct.unpack_from(f"<{len(keys_)}Q", extra)
-            at = 8 * len(keys_)
-            for size in sizes:
-                known.append(extra[at:at + size])
-                at += size
+            known += _unpacked(extra)
     return (np.concatenate(bits).astype(bool) if bits else np.empty(0, bool)), keys, texts, known
 
 
@@ -359,7 +373,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
                 rows = slice(at[i], at[i + 1])
                 mine = np.concatenate([columns[0][rows] - block.at[i], columns[1][rows] - block.at[i], columns[2][rows]])
                 before = decided[i] if decided else np.empty((2, 0), np.int64)
-                left.append((i, struct.pack("<Q", before.shape[1]) + before.astype("<u4").tobytes() + mine.astype("<u4").tobytes()))
+                left.append((i, _ranges(before, mine.reshape(3, -1))))
             else:
                 removed = None
                 if decided and decided[i].shape[1]:
@@ -369,17 +383,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
         yield _batch(list(_text_rows(name, [keys[i] for i, _ in left], [texts[i] for i, _ in left], [k for _, k in left])))
         yield _batch(list(_messages(name, messages)))
 
-    def _known(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(2 rows of decided ranges, 3 rows of open ones) of a document."""
-        (k,) = struct.unpack_from("<Q", data)
-        flat = np.frombuffer(data, "<u4", -1, 8).astype(np.int64)
-        return flat[:2 * k].reshape(2, k), flat[2 * k:].reshape(3, -1)
-
     def _judged(table: pa.Table):
         """(block name, keys, texts, ranges that go, ranges that stay open) with the answers at hand."""
         answers, keys, texts, known = _read_rows(table)
         gone, still = [], []
-        for before, (start, end, where) in map(_known, known):
+        for before, (start, end, where) in map(_from_ranges, known):
             later = where == _DONE
             later[~later] = answers[where[~later]]
             gone.append(np.concatenate([before, [start[later], end[later]]], axis=1))
@@ -404,9 +412,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
             yield _batch([_result(name, k, t, _covered(len(t.split()), *g, window)) for k, t, g in zip(keys, texts, gone)])
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    first = materialise(slim.mapInArrow(cut, _SCHEMA), "blocks")
-    second = materialise(_asked(first, _are_shared, 5).mapInArrow(prove, _SCHEMA), "segments")
-    third = materialise(_asked(second, _are_later, 12).mapInArrow(narrow, _SCHEMA), "windows")
-    last = _asked(third, _are_later, 12).mapInArrow(remove, _SCHEMA)
-    out = second.where(F.col("kind") == _RESULT).unionByName(third.where(F.col("kind") == _RESULT)).unionByName(last)
+    done = F.col("kind") == _RESULT
+    # Each round's table goes when the next is written.
+    with intermediates(docs.sparkSession):
+        with intermediates(docs.sparkSession):
+            first = materialise(slim.mapInArrow(cut, _SCHEMA), "blocks")
+            second = materialise(_asked(first, _are_shared, 5).mapInArrow(prove, _SCHEMA), "segments", outer=True)
+        third = materialise(_asked(second, _are_later, 12).mapInArrow(narrow, _SCHEMA), "windows", outer=True)
+        early = materialise(second.where(done).unionByName(third.where(done)), "results", outer=True)
+    out = early.unionByName(_asked(third, _are_later, 12).mapInArrow(remove, _SCHEMA))
     return out.select(F.col("keys")[0].alias(key), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
