@@ -113,3 +113,14 @@ def test_two_sided_capture_hits_the_port_rule(spark):
     fired = apply_rules(named).filter("sig.is_intrusion")
     assert flows.count() == 200 and fired.count() == 100
     assert {r.dst_port for r in fired.collect()} == {445}
+
+
+def test_packets_are_read_and_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    spark.createDataFrame(random_packets(500, 3), PACKETS).write.parquet(path)
+    table = spark.read.parquet(path)
+    plan = packets.flow_segments(table, 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("Exchange") == 1
+    # What follows reads the segments; numbers of sides with one segment are not even read.
+    flows = packets.packets_to_flows(table, block=50)._jdf.queryExecution()
+    assert path not in flows.optimizedPlan().toString() and path not in flows.executedPlan().toString()
