@@ -633,7 +633,10 @@ def _trained(spark, sf) -> tuple[PipelineModel, DataFrame]:
         flows = order.split_stratified(table(spark, sf, "flows"), "flow_id")
         known = encode.fit_encoder(flows.filter("split = 'train'"), ["service", "state"])
         coded = encode.encode(flows, known, ["service", "state"])
-        matrix = materialise(clean.conform_features(coded, MODEL_FEATURES, ["flow_id", "label", "split"]), "matrix")
+        # Kept for the session, so no block of intermediates may own it.
+        path = scratch_path(spark, "matrix")
+        clean.conform_features(coded, MODEL_FEATURES, ["flow_id", "label", "split"]).write.parquet(path)
+        matrix = spark.read.parquet(path)
         fitting = matrix.filter("split <> 'test'").withColumn("is_val", F.col("split") == "validation")
         _models[key] = model.train_model(fitting, MODEL_FEATURES, "label", BOOST, "is_val"), matrix
     return _models[key]
