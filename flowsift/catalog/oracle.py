@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from flowsift.catalog.fixtures import ctes
 from flowsift.functions.severity import BANDS, RANKS
-from flowsift.operators.common_schema import COMMON, SOURCES
+from flowsift.operators.common_schema import COMMON, SOURCES, descriptions_of
 from flowsift.operators.connections import COUNTERS
 from flowsift.operators.metrics import SWEEP
 from flowsift.sources.schemas import EXPORTER
@@ -226,6 +226,13 @@ ranked AS (SELECT flow_id, label, row_number() OVER (PARTITION BY label ORDER BY
 split AS (SELECT flow_id, label::BIGINT AS label, CASE WHEN nth <= n_train THEN 'train' WHEN nth <= n_train + n_val THEN 'validation'
   ELSE 'test' END AS split FROM ranked JOIN sizes USING (label))"""
 
+_FEATURES = ["service", "state", "spkts", "dpkts", "sttl", "rate"]
+_SAID = {name: said for name, said in descriptions_of(_FEATURES).items()}
+PREP = ctes("flows") + ", p AS (SELECT service, state, spkts, dpkts, sttl, sbytes::DOUBLE / 7 AS rate FROM (FROM flows UNION ALL FROM flows WHERE flow_id % 3 = 0)) " + " UNION ALL ".join(
+    [f"SELECT 'median' AS part, '{c}' AS name, '' AS value, {r(f'median({c}::DOUBLE)')} AS number FROM p" for c in ("spkts", "dpkts", "sttl", "rate")]
+    + [f"SELECT 'code', '{c}', v, (row_number() OVER (ORDER BY v) - 1)::DOUBLE FROM (SELECT DISTINCT coalesce({c}, 'nan') AS v FROM p)" for c in ("service", "state")]
+    + [f"SELECT 'feature', '{c}', '{_SAID.get(c, '')}', {i}::DOUBLE" for i, c in enumerate(_FEATURES)])
+
 # The same split over what cleaning leaves: copies go, the least id stays.
 PLANTED = ctes("flows") + """,
 cleaned AS (SELECT min(flow_id) AS flow_id, label FROM (SELECT flow_id, (sttl = 128)::INT AS label, service, state, spkts, dpkts, sttl,
@@ -441,6 +448,13 @@ ORACLE: dict[str, str] = {
     "training_run": PERFECT, "evaluation_run": PERFECT,
     "csv_flows": ctes("flows") + """ SELECT flow_id, CASE WHEN flow_id // 1000 % 2 = 0 THEN dur END AS dur, service, sbytes AS total_length,
   row_number() OVER (ORDER BY flow_id // 1000 % 2, flow_id) - 1 AS ord FROM flows""",
+    "csv_charsets": ctes("flows") + " SELECT flow_id, concat(CASE WHEN flow_id % 3 = 0 THEN 'Überfall é ' ELSE 'accès ' END, coalesce(service, '?')) AS said FROM flows",
+    "headerless_flows": ctes("flows") + """ SELECT flow_id, src_ip AS srcip, src_port::VARCHAR AS sport, CASE WHEN protocol = 6 THEN 'tcp' ELSE 'udp' END AS proto, service, state, dur,
+  sbytes, spkts, dpkts, label::BIGINT AS label, 49::BIGINT AS width FROM flows""",
+    "presplit_flows": ctes("flows") + " SELECT flow_id AS id, dur, service, spkts, label::BIGINT AS label FROM flows",
+    "prep_state": PREP,
+    "profile_labels": ctes("raw_flows", "flows") + """ SELECT 'u' AS profile, flow_id AS id, label::BIGINT AS label FROM flows
+ UNION ALL SELECT 'c', ord, CASE WHEN trim(label_text) = 'BENIGN' THEN 0 ELSE 1 END::BIGINT FROM raw_flows""",
     "kpi_totals": SUMMARY + " SELECT count(*) AS runs, sum(flow_count)::BIGINT AS flows, sum(total_intrusions)::BIGINT AS intrusions FROM summary",
     "kpi_severity": JUDGED + " SELECT severity, count(*) AS n FROM hit GROUP BY 1",
     "kpi_trigger": JUDGED + " SELECT triggered_by, count(*) AS n FROM hit GROUP BY 1",
@@ -474,5 +488,6 @@ ORACLE: dict[str, str] = {
 
 # The paths for large tables give the same rows.
 ORACLE |= {other: ORACLE[name] for other, name in (
+    ("flow_results_csv", "flow_results"), ("metrics_sink", "class_report"),
     ("fit_medians_narrowed", "fit_medians"), ("encode_categories_joined", "encode_categories"),
     ("packets_to_flows_blocks", "packets_to_flows"), ("conn_window_counts_blocks", "conn_window_counts"))}

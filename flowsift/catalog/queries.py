@@ -24,7 +24,7 @@ from flowsift.plans.pipelines import hybrid_detection
 from flowsift.session import materialise, scratch_path
 from flowsift.sources import flows as flow_sources
 from flowsift.sources import logs, sinks
-from flowsift.sources.schemas import EXPORTER
+from flowsift.sources.schemas import EXPORTER, RAW_U
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -730,6 +730,71 @@ def csv_flows(spark, sf):
     return back.select("flow_id", "dur", "service", F.col("Total Length").alias("total_length"), "ord")
 
 
+def csv_charsets(spark, sf):
+    """Flows written as UTF-8 and as Latin-1, read back without naming either."""
+    rows = table(spark, sf, "flows").select("flow_id", F.concat(F.when(F.col("flow_id") % 3 == 0, "Überfall é ").otherwise("accès "), F.coalesce("service", F.lit("?"))).alias("said"))
+    path = scratch_path(spark, "charsets")
+    for part, charset in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        rows.where(F.col("flow_id") % 2 == part).write.option("encoding", charset).csv(f"{path}/{part}", header=True)
+    back = flow_sources.read_flow_csvs(spark, [f"{path}/0", f"{path}/1"], lambda n: T.LongType() if n == "flow_id" else T.StringType())
+    return back.select("flow_id", "said")
+
+
+def headerless_flows(spark, sf):
+    """Flows written without names in the default column order, read by position under their pre-split names."""
+    flows = table(spark, sf, "flows")
+    have = {"srcip": F.col("src_ip"), "dstip": F.col("dst_ip"), "sport": F.col("src_port"), "dsport": F.col("dst_port"), "proto": F.when(F.col("protocol") == 6, "tcp").otherwise("udp"),
+            "state": F.col("state"), "service": F.col("service"), "dur": F.col("dur"), "sbytes": F.col("sbytes"), "Spkts": F.col("spkts"), "Dpkts": F.col("dpkts"),
+            "stcpb": F.col("flow_id"), "Label": F.col("label")}
+    path = scratch_path(spark, "headerless")
+    flows.select(*[have.get(n, F.lit(1)).cast("string").alias(f"c{i}") for i, n in enumerate(RAW_U)]).write.csv(path)
+    back = flow_sources.presplit_names(flow_sources.read_headerless(spark, [path]))
+    return plain(back.select(F.col("stcpb").alias("flow_id"), "srcip", "sport", "proto", "service", "state", "dur", "sbytes", "spkts", "dpkts", F.col("Label").alias("label"),
+                             (F.lit(len(back.columns))).alias("width")))
+
+
+def presplit_flows(spark, sf):
+    """The pre-split pair, written with one half of the flows each and read as one table."""
+    flows = table(spark, sf, "flows").select(F.col("flow_id").alias("id"), "dur", "service", "spkts", "label")
+    path = scratch_path(spark, "presplit")
+    for name, part in (("train", 0), ("test", 1)):
+        flows.where(F.col("id") % 2 == part).write.csv(f"{path}/{name}", header=True)
+    return plain(flow_sources.read_presplit(spark, f"{path}/train", f"{path}/test"))
+
+
+def flow_results_csv(spark, sf):
+    """Per-flow results written as CSV and read back. CSV does not tell an empty list of rules from a missing one."""
+    rows, path = flow_results(spark, sf), scratch_path(spark, "results")
+    sinks.write_flow_results(rows, path, "csv")
+    return spark.read.csv(path, header=True, schema=rows.schema).fillna("", ["signature_rules"])
+
+
+def metrics_sink(spark, sf):
+    """Metrics written as JSON lines and read back."""
+    rows, path = class_report(spark, sf), scratch_path(spark, "metrics")
+    sinks.write_metrics(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def prep_state(spark, sf):
+    """What a saved preparation holds: dictionary, medians, features with descriptions."""
+    rows, path = _planted(spark, sf).select("service", "state", "spkts", "dpkts", "sttl", "rate"), scratch_path(spark, "state")
+    pipelines.fit_state(rows, profiles.U).save(path)
+    state = sinks.PrepState.load(spark, path)
+    numbers = spark.createDataFrame(sorted(state.medians.items()), "name string, number double").select(F.lit("median").alias("part"), "name", F.lit("").alias("value"), "number")
+    features = spark.createDataFrame([(f, state.descriptions.get(f, ""), float(i)) for i, f in enumerate(state.features)], "name string, value string, number double")
+    codes = state.encoders.select(F.lit("code"), "column_name", "value", F.col("code").cast("double"))
+    return plain(numbers.union(codes).union(features.select(F.lit("feature"), "name", "value", "number")))
+
+
+def profile_labels(spark, sf):
+    """Labels by either profile's own rule, the profile found by its name."""
+    whole = table(spark, sf, "flows").select(F.col("flow_id").alias("id"), F.col("label").alias("Label"))
+    text = table(spark, sf, "raw_flows").select(F.col("ord").alias("id"), F.col("label_text").alias(" Label"))
+    found = [profiles.get_profile(name).label(rows).withColumn("profile", F.lit(name.lower())) for name, rows in (("U", whole), ("c", text))]
+    return plain(found[0].unionByName(found[1]).select("profile", "id", "label"))
+
+
 QUERIES: dict[str, Query] = {
     "hybrid_detection": hybrid_detection_query,
     **{f.__name__: f for f in (
@@ -742,7 +807,7 @@ QUERIES: dict[str, Query] = {
         threshold_sweep, threshold_best, roc_curve, roc_auc, pr_curve, pr_auc, compare_detectors, complementarity, flow_results,
         rule_signatures, rules_empty, match_alerts, match_alerts_gravest, verdicts, fuse_verdicts,
         severity_detection, severity_incident, detection_rows, run_summary, detections_store, detection_lookup, training_run, evaluation_run,
-        csv_flows, kpi_totals,
+        csv_flows, csv_charsets, headerless_flows, presplit_flows, flow_results_csv, metrics_sink, prep_state, profile_labels, kpi_totals,
         kpi_severity, kpi_trigger, breakdown_protocol, top_src, top_dst, recent_incidents, activity_series,
         fit_medians_narrowed, encode_categories_joined, packets_to_flows_blocks, conn_window_counts_blocks,
         attributions_add_up, importance_total, row_number_gaps, metrics_unscored, conn_log_lines, explained_incidents, match_alerts_aliases,
