@@ -60,8 +60,8 @@ def in_ranges(df: DataFrame, by: list[str], ranges: int | None = None) -> DataFr
 def place_in_order(df: DataFrame, by: list[str], within: str | None = None, out: str = "place", ranges: int | None = None) -> DataFrame:
     """0-based place of each row in the order of ``by``, counted anew for each value of ``within``, the first of ``by``.
 
-    The table of offsets has one row per range and value of ``within`` in it. Without ``within`` these are as
-    many as ranges; with it, ``within`` should have few values, such as column names.
+    The table of offsets has one row per range and value of ``within`` in it, at most as many as ranges and values together,
+    and is broadcast: ``within`` should have few values, such as column names.
     """
     rows = in_ranges(df, by, ranges)
     cells = [*([within] if within else []), "_range"]
@@ -69,7 +69,7 @@ def place_in_order(df: DataFrame, by: list[str], within: str | None = None, out:
     earlier = Window.partitionBy(*([q(within)] if within else [])).orderBy("_range")
     offsets = sizes.select(*[q(c).alias(f"_c{i}") for i, c in enumerate(cells)], (F.sum("_n").over(earlier) - F.col("_n") - F.col("_from")).alias("_off"))
     same = [q(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cells)]
-    return (rows.join(offsets, same).withColumn(out, F.col("_at") + F.col("_off"))
+    return (rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_at") + F.col("_off"))
             .select(*[q(c) for c in df.columns], out))
 
 
