@@ -129,11 +129,14 @@ def cell_of(grams: np.ndarray) -> np.ndarray:
 
 
 def _bands(grams: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """A random linear hash of each band's group counts, and the bands that hold anything."""
+    """A random linear hash of each band's group counts, and the bands that hold anything.
+
+    A band has 2^32 groups: with few, bands of different n-grams had equal counts by chance, as often as the square of the documents.
+    """
     band = ((grams >> np.uint64(20)) % np.uint64(bands)).astype(np.int64)
     counts = np.zeros(bands, np.uint64)
     with np.errstate(over="ignore"):
-        np.add.at(counts, band, common.mix((grams & np.uint64(0xFFFF)) + np.uint64(1)))
+        np.add.at(counts, band, common.mix((grams & np.uint64(0xFFFFFFFF)) + np.uint64(1)))
     return counts, np.flatnonzero(np.bincount(band, minlength=bands))
 
 
