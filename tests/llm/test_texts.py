@@ -380,7 +380,7 @@ def test_words_are_those_of_the_pattern():
 
 
 def test_queries_are_registered():
-    assert [k for k in catalog.QUERIES if k.startswith("op")] == sorted(catalog.QUERIES, key=lambda k: int(k[2:].split("_")[0])) and len(catalog.QUERIES) == 10
+    assert [k for k in catalog.QUERIES if k.startswith("op")] == sorted(catalog.QUERIES, key=lambda k: int(k[2:].split("_")[0])) and len(catalog.QUERIES) == 13
     assert public_tokenizers.PATTERN == packing_pattern()
 
 
