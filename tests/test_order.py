@@ -77,3 +77,18 @@ def test_sample_takes_the_least_hashes(spark):
     got = {r["id"] for r in order.sample_n(spark.range(500).repartition(5), "id", 20, seed=7).collect()}
     assert got == set(sorted(range(500), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())[:20])
     assert order.sample_n(spark.range(3), "id", 20).count() == 3
+
+
+def test_split_never_deals_rows_out_by_class(spark):
+    df = spark.range(5000).select(F.col("id").alias("flow_id"), (F.col("id") % 2).alias("label"), F.lit(1.5).alias("wide"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if Spark took the bounds for large
+    try:
+        split = order.split_stratified(df, "flow_id")
+        sizes = {tuple(r) for r in split.groupBy("label", "split").count().collect()}
+        plan = split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sizes == {(c, s, n) for c in (0, 1) for s, n in (("train", 1750), ("validation", 375), ("test", 375))}
+    assert "hashpartitioning(_s#" not in plan and "wide" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert plan.count("BroadcastHashJoin") >= 2
