@@ -12,7 +12,8 @@ from their sizes.
   whole vectors; documents at a crowded address are joined by a star, never by pairs. What
   is connected so forms families, outside of which no link can exist. Passages that many documents share would
   make one family of all of them, so bands are taken over the rarer n-grams, which differ no more than the whole
-  sets do. Documents with too few of these are routed by all their n-grams as well.
+  sets do. Documents whose rarer n-grams fill too few bands are routed by finer bands of these as well, and by all
+  their n-grams only if even those are too few.
 * Inside a family (or a chunk of one of bounded size) an R-tree is packed over the count vectors. A query
   passes a node only if the sum of minima with the node's upper corner allows enough overlap, then each point,
   and what survives is verified on the n-grams themselves. Points that are already connected are skipped.
@@ -43,6 +44,9 @@ CHUNK = 1 << 20
 LEAF = 32
 #: Documents at an address whose pairs are tested one by one.
 FEW = 8
+#: How many times as many bands the finer ones are, and the first number of their kinds; a text that Spark can hold has
+#: fewer than 2^31 n-grams and so a size class below 57.
+FINER, FINER_KIND = 8, 140
 #: Cells of the table that tells frequent n-grams from rare ones, whatever the corpus; it goes out in pages.
 CELLS, PAGE = 1 << 23, 1 << 16
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -69,14 +73,25 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def node_of(grams: np.ndarray) -> bytes:
-    """A 128-bit name of the set; its first eight bytes serve as the short name in routing."""
+    """A 128-bit name of the set; its first six bytes serve as the short name in routing."""
     with np.errstate(over="ignore"):
         return (np.add.reduce(common.mix(grams)).tobytes() + np.add.reduce(common.mix(grams ^ _K)).tobytes()
                 + np.uint32(len(grams)).tobytes())
 
 
 def short(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
+    return int.from_bytes(node[:6], "little")
+
+
+def narrow(numbers: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
 
 
 class Rule:
@@ -107,16 +122,21 @@ class Rule:
 
         A set gives all bands that hold one of its rare n-grams. If these are more than the bands in which a
         partner can differ, one of them is shared with every partner; all but the bands that differ are. If they are not
-        more, the set also gives bands over all its n-grams, empty ones included where needed, and meets there every partner
-        of that kind. The last eight bits of an address tell its kind: size class and whether all n-grams count. The numbers end at 255.
+        more, the set also gives ``FINER`` times as many bands of them, of which the same holds among the sets that give these.
+        If even those are not more, it gives bands over all its n-grams too, empty ones included where needed, and meets there
+        every partner of that kind. The last eight bits of an address tell its kind: size class, whether bands are fine and
+        whether all n-grams count. The numbers end at 255.
         """
         rare = grams if frequent is None else grams[~frequent[cell_of(grams)]]
         out, least = [], []
         for size_class, most, bands in self.bands(len(grams)):
-            counts, full = _bands(rare, bands)
-            out.append(_address(counts, full, 2 * size_class))
-            least.append(np.full(len(full), min(255, max(1, len(full) - most)), np.uint8))
-            if len(full) <= most:
+            for number, name in ((bands, 2 * size_class), (FINER * bands, FINER_KIND + 2 * size_class)):
+                counts, full = _bands(rare, number)
+                out.append(_address(counts, full, name))
+                least.append(np.full(len(full), min(255, max(1, len(full) - most)), np.uint8))
+                if len(full) > most:
+                    break
+            else:
                 counts, full = _bands(grams, bands)
                 use = full if len(full) > most else np.arange(bands)
                 out.append(_address(counts, use, 2 * size_class + 1))
@@ -267,14 +287,15 @@ def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> Data
                 yield rows(1, [int(edge[0][0] % buckets)], pa.nulls(1, nothing), p=[edge[0][only].tobytes()], q=[edge[1][only].tobytes()],
                            w=[edge[3][only].tobytes()])
             bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((ids, bucket))
-            keys, ids, bucket, least = keys[order], ids[order], bucket[order], least[order]
+            kinds = (keys & _KIND).astype(np.uint8)
+            order = np.lexsort((least, kinds, bucket))
+            keys, ids, bucket, least, kinds = keys[order], ids[order], bucket[order], least[order], kinds[order]
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            # A bucket's share: all keys in the order of their nodes, each node once, and how many keys it has.
-            own = [np.unique(ids[x:y], return_counts=True) for x, y in zip(cuts, cuts[1:])]
-            yield rows(2, bucket[cuts[:-1]].tolist(), pa.nulls(len(cuts) - 1, nothing), p=[keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:])],
-                       q=[names.tobytes() for names, _ in own], w=[times.astype("<u4").tobytes() for _, times in own],
-                       c=[least[x:y].tobytes() for x, y in zip(cuts, cuts[1:])])
+            # A bucket's share takes the same 13 bytes an address at any number of buckets: 40 bits of it, as the bucket tells
+            # more of them and addresses that are taken for equal only add pairs to test, the node, the kind and the least.
+            spans = list(zip(cuts, cuts[1:]))
+            yield rows(2, bucket[cuts[:-1]].tolist(), pa.nulls(len(spans), nothing), p=[narrow(keys[x:y] >> np.uint64(24), 5) for x, y in spans],
+                       q=[narrow(ids[x:y], 6) for x, y in spans], w=[kinds[x:y].tobytes() for x, y in spans], c=[least[x:y].tobytes() for x, y in spans])
 
     out_names = ["key", "node", "short", "n", "sketch", "a", "b", "kind", "w", "needed"]
 
@@ -295,9 +316,9 @@ def _route(docs: DataFrame, rule: Rule, width: int, key: str, text: str) -> Data
             for row in zip(*(batch.filter(pa.array(what == 1)).column(c).to_pylist() for c in "pqw")):
                 a, b, w = (np.frombuffer(x, np.int64) for x in row)
                 yield edges(key_type, a, b, np.full(len(a), -1), w, np.ones(len(a), np.int64))
-            for p, q, w, c in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in "pqwc")):
-                keys.append(np.frombuffer(p, np.uint64))
-                ids.append(np.repeat(np.frombuffer(q, np.int64), np.frombuffer(w, "<u4")))
+            for bucket, p, q, w, c in zip(*(batch.filter(pa.array(what == 2)).column(c).to_pylist() for c in ("bucket", *"pqwc"))):
+                keys.append(wide(p, 5) << np.uint64(24) | np.uint64((bucket & 0xFFFF) << 8) | np.frombuffer(w, np.uint8))
+                ids.append(wide(q, 6).astype(np.int64))
                 least.append(np.frombuffer(c, np.uint8))
         if keys:
             yield edges(key_type, *meetings(np.concatenate(keys), np.concatenate(ids), np.concatenate(least))[0])
@@ -318,7 +339,7 @@ def _tested(routed: DataFrame, rule: Rule) -> DataFrame:
     # both its ends are in the star of a crowded address. Only then are the sketches fetched.
     met = routed.where("a is not null").groupBy("a", "b", "kind").agg(F.sum("w").alias("w"), F.max("needed").alias("needed"))
     edges = materialise(met.where("kind < 0 or w >= needed").groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("kind").alias("kind")), "pairs")
-    sketches = routed.where("node is not null").select("short", "sketch").dropDuplicates(["short"])
+    sketches = routed.where("node is not null").select("short", "sketch").distinct()  # of every node, should two share a name
     todo = materialise(edges.where("kind >= 0"), "tested")
     ends = materialise(todo.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends")
     sketches = materialise(sketches.join(ends, F.col("end") == F.col("short"), "left_semi"), "sketches")
@@ -413,45 +434,49 @@ def chunk_links(sets: list[np.ndarray], rule: Rule, queries: list[int] | None =
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, width: int, text: str) -> DataFrame:
-    """(short, node, grams) of the documents whose set is a member, each set once per task.
+    """(short, node, packed) of the documents whose set is a member, each set once per task.
 
-    A filter of fixed size thins the documents out before the join, which settles what is a member.
+    The compressed text goes out, as it is less than half of the n-grams, which its readers make again. A filter of fixed size thins the documents out before the join, which settles what is a member.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(common.membership(members, "short"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = common.Memo(lambda _: True, 1 << 20)
         for block in common.blocks(batches, "text"):
-            out = []
-            for grams in shingle_sets(common.texts_of(block.column("text")), width):
+            out, texts = [], common.texts_of(block.column("text"))
+            for i, grams in enumerate(shingle_sets(texts, width)):
                 if len(grams):
                     node = node_of(grams)
                     if node not in seen and common.may_hold(bitmap.value, np.array([short(node)]))[0]:
                         seen[node]
-                        out.append((short(node), node, grams.tobytes()))
+                        out.append((short(node), node, zlib.compress(texts[i].as_buffer())))
             cols = list(zip(*out)) or [[]] * 3
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-                                  ["short", "node", "grams"])
+                                  ["short", "node", "packed"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(sets, "short long, node binary, grams binary")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(sets, "short long, node binary, packed binary")
     return found.join(members, "short")
 
 
-def _compare(rows: DataFrame, by: list[str], rule: Rule) -> DataFrame:
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    return shingle_sets(pa.array([zlib.decompress(packed)], pa.binary()).cast(pa.string()), width)[0]
+
+
+def _compare(rows: DataFrame, by: list[str], rule: Rule, width: int) -> DataFrame:
     """Links (a, b) within the groups of ``by``; rows with ``asks`` are compared with all, others only with those."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.grouped(batches, by):
             held: dict[bytes, tuple] = {}
-            for node, grams, asks, group in zip(*(table.column(c).to_pylist() for c in ("node", "grams", "asks", "comp"))):
+            for node, packed, asks, group in zip(*(table.column(c).to_pylist() for c in ("node", "packed", "asks", "comp"))):
                 if node not in held or asks:
-                    held[node] = (grams, asks, group)
+                    held[node] = (packed, asks, group)
             nodes = list(held)
-            links = chunk_links([np.frombuffer(g, np.uint64) for g, _, _ in held.values()], rule,
+            links = chunk_links([_unpacked(p, width) for p, _, _ in held.values()], rule,
                                 [i for i, (_, asks, _) in enumerate(held.values()) if asks], [c for _, _, c in held.values()])
             yield pa.record_batch([pa.array([nodes[i] for i, _ in links], pa.binary()), pa.array([nodes[j] for _, j in links], pa.binary())], ["a", "b"])
 
-    return (rows.select(*by, "node", "grams", "asks", "comp").repartition(*by).sortWithinPartitions(*by)
+    return (rows.select(*by, "node", "packed", "asks", "comp").repartition(*by).sortWithinPartitions(*by)
             .mapInArrow(compare, "a binary, b binary"))
 
 
@@ -475,7 +500,7 @@ def links_of(docs: DataFrame, routed: DataFrame, rule: Rule, width: int, text: s
         F.when(F.col("central"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
     none = F.lit(None).cast("binary").alias("comp")
     inner = _sets_of(docs, everywhere, width, text).withColumn("asks", F.lit(True)).withColumn("comp", none)
-    links = materialise(_compare(inner, ["family", "chunk"], rule), "links")
+    links = materialise(_compare(inner, ["family", "chunk"], rule, width), "links")
     several = placed.where("chunks > 1")
     if several.isEmpty():
         return links
@@ -490,11 +515,11 @@ def links_of(docs: DataFrame, routed: DataFrame, rule: Rule, width: int, text: s
     sets = materialise(_sets_of(docs, state.join(askers.select("family").distinct(), "family", "left_semi").drop("node"), width, text), "sets")
     # A task compares one chunk of a family with one chunk's outsiders.
     left = (sets.where("outside").withColumn("ask", F.col("chunk")).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-            .select("family", "chunk", "ask", "node", "grams", F.lit(True).alias("asks"), "comp"))
+            .select("family", "chunk", "ask", "node", "packed", F.lit(True).alias("asks"), "comp"))
     asked = askers.groupBy("family").agg(F.collect_set("chunk").alias("asking"))  # at most ``chunks`` numbers
     right = (sets.join(asked, "family").withColumn("ask", F.explode("asking"))
-             .select("family", "chunk", "ask", "node", "grams", F.lit(False).alias("asks"), "comp"))
-    return links.union(materialise(_compare(left.unionByName(right), ["family", "chunk", "ask"], rule), "outside"))
+             .select("family", "chunk", "ask", "node", "packed", F.lit(False).alias("asks"), "comp"))
+    return links.union(materialise(_compare(left.unionByName(right), ["family", "chunk", "ask"], rule, width), "outside"))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",

@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowsift.llm import catalog, common, embedding_dedup, graph, ngram_join
@@ -132,6 +134,32 @@ def test_sketches_never_rule_out_a_link():
                     assert meet(rule, a, b, frequent)
 
 
+def test_half_a_text_in_common_makes_no_crowd():
+    # Half of each set is frequent: before the finer bands all n-grams routed such sets, and their common half joined them all.
+    rng = np.random.default_rng(8)
+    rule = ngram_join.Rule(80)
+    for n in (120, 400, 1500):
+        common_half = rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)
+        frequent = np.zeros(ngram_join.CELLS, bool)
+        frequent[ngram_join.cell_of(common_half)] = True
+        keys = []
+        for _ in range(3 * ngram_join.FEW):
+            own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            own = own[~frequent[ngram_join.cell_of(own)]][:n // 2]
+            keys.append(np.unique(rule.addresses(np.unique(np.concatenate([common_half, own])), frequent)[0]))
+        assert np.unique(np.concatenate(keys), return_counts=True)[1].max() <= ngram_join.FEW
+
+
+def test_what_is_shuffled_is_read_back():
+    numbers = np.array([0, 1, 255, 256, (1 << 40) - 1], np.int64)
+    assert len(ngram_join.narrow(numbers, 5)) == 25
+    assert ngram_join.wide(ngram_join.narrow(numbers, 5), 5).tolist() == numbers.tolist()
+    assert ngram_join.wide(ngram_join.narrow(numbers, 6), 6).tolist() == numbers.tolist()
+    for text in ("", "One", "a B\tc\n d e f \u00e9\u2028g h " * 9):
+        packed = zlib.compress(pa.array([text])[0].as_buffer())
+        assert ngram_join._unpacked(packed, 3).tolist() == ngram_join.shingle_sets(pa.array([text]), 3)[0].tolist()
+
+
 def test_meetings_keep_what_shares_an_address():
     rng = np.random.default_rng(6)
     keys = np.concatenate([rng.integers(0, 300, 900), np.full(40, 1000)]).astype(np.uint64)
