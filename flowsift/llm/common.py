@@ -75,13 +75,15 @@ def list_parts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.values.slice(at[0], at[-1] - at[0]), at - at[0]
 
 
-def expand(texts: pa.Array, first: Callable[[str], Sequence[int]], later: Callable[[str], Sequence[int]],
-           whole: Callable[[str], Sequence[int]], unsafe: str = _UNSAFE) -> tuple[np.ndarray, np.ndarray]:
+def expand(texts: pa.Array, first: Callable[[str], Sequence[int]], later: Callable[[str], Sequence[int]] | None,
+           whole: Callable[[str], Sequence[int]], unsafe: str = _UNSAFE,
+           together: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per text the concatenated codes of its units, as (flat codes, offsets).
 
     A text is cut at its spaces. Each distinct unit of the block is coded once: ``later`` codes a unit
     that follows a space, ``first`` the unit that begins a text. Texts that match ``unsafe`` go to
-    ``whole`` uncut.
+    ``whole`` uncut. ``together``, in place of ``later``, codes all units that follow a space at once, as (flat codes,
+    codes per unit).
     """
     n = len(texts)
     odd = pc.match_substring_regex(texts, unsafe).to_numpy(zero_copy_only=False)
@@ -99,11 +101,16 @@ def expand(texts: pa.Array, first: Callable[[str], Sequence[int]], later: Callab
     seen = np.zeros(len(words), bool)
     seen[code[used]] = True
     nothing: tuple[int, ...] = ()
-    table = [later(w) if s else nothing for w, s in zip(words, seen.tolist())]
+    table = [later(w) if s else nothing for w, s in zip(words, seen.tolist())] if together is None else []
     table += [whole(rare[i]) if i in rare else first(h) for i, h in enumerate(head)]
     code[starts[:-1]] = len(words) + np.arange(n)
     sizes = np.fromiter(map(len, table), np.int64, len(table))
     flat = np.fromiter(chain.from_iterable(table), np.int64, int(sizes.sum()))
+    if together is not None:
+        many, counts = together([w for w, s in zip(words, seen.tolist()) if s])
+        own = np.zeros(len(words), np.int64)
+        own[seen] = counts
+        flat, sizes = np.concatenate([many, flat]), np.concatenate([own, sizes])
     at = offsets_of(sizes)
     lengths = sizes[code]
     out = flat[ranges(at[code], lengths)].astype(np.uint32)

@@ -123,8 +123,8 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def rank_encoder(path: str):
-    """An encoder by ranks that gives the tokenizer file's ids, or None where merges don't follow the order of ids."""
+def rank_encoding(path: str):
+    """An encoding by ranks that gives the tokenizer file's ids, or None where merges don't follow the order of ids."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -141,7 +141,22 @@ def rank_encoder(path: str):
 
     signs = byte_signs()
     ranks = {bytes(signs[c] for c in token): i for token, i in vocab.items()}
-    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
+def units_encoder(encoding):
+    """Ids of many units at once, as (flat ids, ids per unit): each unit follows a space and holds none.
+
+    They are encoded as one text. A token that begins with a space begins a unit, as nothing else in the text has that byte.
+    """
+    opens = np.zeros(encoding.n_vocab, bool)
+    opens[[i for i in range(encoding.n_vocab) if encoding.decode_single_token_bytes(i)[:1] == b" "]] = True
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = encoding.encode_to_numpy(" " + " ".join(units), disallowed_special=()) if units else np.empty(0, np.uint32)
+        return flat, np.diff(np.flatnonzero(opens[flat]), append=len(flat))
+
+    return encode
 
 
 def encoder(path: str):
@@ -154,15 +169,15 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     model = Tokenizer.from_file(path)
     whole = lambda text: model.encode(text, add_special_tokens=False).ids
-    fast = rank_encoder(path)
-    if fast is None:
+    encoding = rank_encoding(path)
+    if encoding is None:
         return lambda texts: common.expand(texts, whole, whole, whole, "(?s:.*)")
     special = "|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values())
     holds = re.compile(special) if special else None
-    plain = lambda text: whole(text) if holds and holds.search(text) else fast(text)
-    memo = common.Memo(lambda unit: fast(" " + unit))
+    plain = lambda text: whole(text) if holds and holds.search(text) else encoding.encode_ordinary(text)
+    units = units_encoder(encoding)
     unsafe = "|".join(x for x in (common._UNSAFE, special) if x)
-    return lambda texts: common.expand(texts, plain, memo.__getitem__, plain, unsafe)
+    return lambda texts: common.expand(texts, plain, None, plain, unsafe, units)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

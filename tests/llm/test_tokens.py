@@ -48,6 +48,18 @@ def pieces_of(encode, texts):
     return [flat[a:b].tolist() for a, b in zip(at, at[1:])]
 
 
+def test_units_are_encoded_in_one_call(monkeypatch):
+    # A call per distinct word cost as much as the encoding itself.
+    encoding, calls = packing.rank_encoding(BYTES), []
+    units = ["plain", "It's", "x\n", "\u00e9\u4e2d\U0001f600", "<|endoftext|>", "12,3.4", "#$%", "\x00", "plain"]
+    want = [encoding.encode_ordinary(" " + u) for u in units]
+    monkeypatch.setattr(type(encoding), "encode_ordinary", lambda self, text: calls.append(text) or [])
+    flat, counts = packing.units_encoder(encoding)(units)
+    assert [part.tolist() for part in np.split(flat, np.cumsum(counts)[:-1])] == want and not calls
+    flat, counts = packing.units_encoder(encoding)([])
+    assert len(flat) == len(counts) == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD, min_size=1, max_size=6))
 def test_units_encode_like_whole_texts(texts):
