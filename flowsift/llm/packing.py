@@ -195,12 +195,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text:
         ranks, before = np.zeros(window, np.int64), 0
         for block in common.blocks(batches, "text"):
             flat, at = encode(common.texts_of(block.column("text")))
-            rows = []
+            rows, narrow = [], "<u2" if flat.max(initial=0) < 65536 else "<u4"
             for i in range(block.num_rows):
                 ids = np.append(flat[at[i]:at[i + 1]], end_id).astype("<u4")
                 full, tail = divmod(len(ids), window)
                 crcs = [zlib.crc32(ids[k * window:(k + 1) * window]) for k in range(full)]
-                rows.append((part, before, tail, int(ranks[tail]), len(ids), crcs, ids[full * window:].astype("<u2" if flat.max(initial=0) < 65536 else "<u4").tobytes()))
+                rows.append((part, before, tail, int(ranks[tail]), len(ids), crcs, ids[full * window:].astype(narrow).tobytes()))
                 before += full
                 ranks[tail] += 1
             cols = list(zip(*rows))
